@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .licence_scan import scan_licences, scan_sql
 from .sharding import shard_documents
 from .store import load
+from .substring_dedup import dedup_report, dedup_sql
 
 
 def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +20,13 @@ def op5_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(load(spark, sf_dir, "documents"))
 
 
+def op6_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ring_shards, op5_licence_digests)}
+    return {f.__name__: f for f in (op2_ring_shards, op5_licence_digests, op6_countmin_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licence_digests": scan_sql()}
+    return {"op5_licence_digests": scan_sql(), "op6_countmin_substrings": dedup_sql()}
