@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .licence_scan import scan_licences, scan_sql
+from .packing import pack_documents
 from .sharding import shard_documents
 from .store import load
 from .substring_dedup import dedup_report, dedup_sql
@@ -16,6 +17,10 @@ def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(load(spark, sf_dir, "documents"))
 
 
+def op3_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(load(spark, sf_dir, "documents"))
+
+
 def op5_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(load(spark, sf_dir, "documents"))
 
@@ -25,7 +30,7 @@ def op6_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ring_shards, op5_licence_digests, op6_countmin_substrings)}
+    return {f.__name__: f for f in (op2_ring_shards, op3_swap_packing, op5_licence_digests, op6_countmin_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
