@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .licence_scan import scan_licences, scan_sql
+from .near_dup import near_duplicate_classes
 from .packing import pack_documents
 from .sharding import shard_documents
 from .store import load
@@ -29,8 +30,12 @@ def op6_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(load(spark, sf_dir, "documents"))
 
 
+def op8_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(load(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ring_shards, op3_swap_packing, op5_licence_digests, op6_countmin_substrings)}
+    return {f.__name__: f for f in (op2_ring_shards, op3_swap_packing, op5_licence_digests, op6_countmin_substrings, op8_bagminhash_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
