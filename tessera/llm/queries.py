@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminated_pairs, contaminated_sql
 from .licence_scan import scan_licences, scan_sql
 from .near_dup import near_duplicate_classes
 from .packing import pack_documents
@@ -34,9 +35,13 @@ def op8_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
     return near_duplicate_classes(load(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("version")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ring_shards, op3_swap_packing, op5_licence_digests, op6_countmin_substrings, op8_bagminhash_near_duplicates)}
+    return {f.__name__: f for f in (op2_ring_shards, op3_swap_packing, op5_licence_digests, op6_countmin_substrings, op8_bagminhash_near_duplicates, op9_template_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licence_digests": scan_sql(), "op6_countmin_substrings": dedup_sql()}
+    return {"op5_licence_digests": scan_sql(), "op6_countmin_substrings": dedup_sql(), "op9_template_decontamination": contaminated_sql()}
