@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
+from .batches import parts
 from .components import components
 from .store import written
 
@@ -105,7 +106,7 @@ def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _signed(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             nodes, keys = [], []
             for text in batch.column("text").to_pylist():
                 shingles, counts = bag(text, shingle)
@@ -118,7 +119,7 @@ def _signed(shingle: int, bands: int, rows: int):
 
 def _bags(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             keys, counts = [], []
             for text in batch.column("text").to_pylist():
                 k, n = bag(text, shingle)
@@ -142,7 +143,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
             of = lambda k, n: (np.frombuffer(k, np.uint64), np.frombuffer(n, "<u4").astype(np.int64))
             pairs = zip(columns["keys_a"], columns["counts_a"], columns["keys_b"], columns["counts_b"], strict=True)

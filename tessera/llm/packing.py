@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import parts
 from .store import written
 from .tokens import RANKS, VOCABULARY, encoder
 
@@ -145,7 +146,7 @@ def _pieces(capacity: int, vocabulary: str, ranks: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, seen = encoder(vocabulary, ranks), TaskContext.get().partitionId(), Counter()
         end = np.array([END], "<u4")
-        for batch in batches:
+        for batch in parts(batches):
             source, rows, ids_of = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.concatenate((encode(text or ""), end))

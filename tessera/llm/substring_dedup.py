@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
+from .batches import parts
 from .store import written
 
 WIDTH = 50
@@ -105,7 +106,7 @@ def repeated_cells(docs: DataFrame, width: int = WIDTH, cells: int = CELLS, dept
     partial = docs.select("text").mapInArrow(_partial_sketches(width, cells, depth), "row int, segment int, once binary, more binary")
     merged = partial.repartition("row", "segment").mapInArrow(_merge_sketches, "row int, segment int, bits binary")
     bits = np.zeros((depth, cells // 8), np.uint8)
-    for row, segment, part in merged.toLocalIterator():  # depth * cells / 8 bytes in all
+    for row, segment, part in merged.collect():  # depth * cells / 8 bytes in all
         bits[row, segment * SEGMENT // 8 : (segment + 1) * SEGMENT // 8] = np.frombuffer(part, np.uint8)
     return bits
 
@@ -120,12 +121,12 @@ def estimated_repeated(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def _runs(width: int, bits):
-    """(doc_id, version, text) to the runs whose anchor is estimated repeated."""
+    """(doc_id, version, text) to the runs whose anchor is estimated repeated; equal runs of a document are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = bits.value
-        for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+        for batch in parts(batches):
+            held: list[list[np.ndarray]] = [[] for _ in range(8)]
             for doc_id, version, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = H.words(text or "")
                 anchor = anchors(words, width)
@@ -140,38 +141,45 @@ def _runs(width: int, bits):
                 up, down = H.IN_WINDOW_2.upto(len(window) + 1)
                 sums = np.zeros(len(window) + 1, np.uint64)
                 np.cumsum(window * up[: len(window)], out=sums[1:])
+                starts, sizes = starts[keep], sizes[keep]
                 content = H.mix((sums[starts + sizes] - sums[starts]) * down[starts] + sizes.astype(np.uint64))
-                n = int(keep.sum())
-                for part, values in zip(parts, (np.full(n, doc_id, np.int64), np.full(n, version, np.int64), anchor[starts][keep].view(np.int64), content[keep].view(np.int64), starts[keep].astype(np.int32), sizes[keep].astype(np.int32), window[np.repeat(keep, sizes)]), strict=True):
-                    part.append(values)
-            if parts[0]:
-                *columns, window = (np.concatenate(p) for p in parts)
-                ends = np.concatenate(([0], np.cumsum(columns[5], dtype=np.int64) * 8)).astype(np.int32)
-                binary = pa.Array.from_buffers(pa.binary(), len(columns[0]), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(window.tobytes())])
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), binary], ["doc_id", "version", "anchor", "content", "start", "n", "windows"])
+                _, first, which = np.unique(np.stack((anchor[starts], content)), axis=1, return_index=True, return_inverse=True)
+                which = which.ravel()
+                own, size = starts[first], sizes[first]
+                inside = np.repeat(own - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+                same = np.full(len(first), doc_id, np.int64), np.full(len(first), version, np.int64)
+                places = starts[np.argsort(which, kind="stable")].astype(np.int32)
+                for column, values in zip(held, (*same, anchor[own].view(np.int64), content[first].view(np.int64), size.astype(np.int32), places, np.bincount(which), window[inside]), strict=True):
+                    column.append(values)
+            if held[0]:
+                *columns, places, times, window = (np.concatenate(h) for h in held)
+                ends = lambda n: pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+                starts = pa.ListArray.from_arrays(ends(times), pa.array(places))
+                windows = pa.Array.from_buffers(pa.binary(), len(times), [None, ends(columns[4].astype(np.int64) * 8).buffers()[1], pa.py_buffer(window.tobytes())])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), starts, windows], ["doc_id", "version", "anchor", "content", "n", "starts", "windows"])
 
     return run
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs to single windows."""
-    for batch in batches:
-        doc_id, version, anchor, start, n = (np.asarray(batch.column(i)) for i in range(5))
-        window = [np.frombuffer(x, np.int64) for x in batch.column(5).to_pylist()]
-        if len(n):
-            at = np.concatenate([np.arange(s, s + k, dtype=np.int32) for s, k in zip(start, n, strict=True)])
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(x, n)) for x in (doc_id, version, anchor)), pa.array(at), pa.array(np.concatenate(window))], ["doc_id", "version", "anchor", "start", "window"])
+    """Runs to single windows; `at` is a window's place in its run."""
+    for batch in parts(batches):
+        n = np.asarray(batch.column("n"))
+        window = np.frombuffer(b"".join(batch.column("windows").to_pylist()), np.int64)
+        at = np.arange(n.sum(), dtype=np.int32) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+        kept = batch.select(["doc_id", "version", "anchor", "content"]).take(pa.array(np.repeat(np.arange(len(n)), n)))
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(at.astype(np.int32)), pa.array(window)], ["doc_id", "version", "anchor", "content", "at", "window"])
 
 
 def repeated_ranges(docs: DataFrame, width: int = WIDTH, cells: int = CELLS, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, version, start, n): n windows from word `start` on that a smaller doc_id has too.
+    """(doc_id, version, n, start): n windows from word `start` on that a smaller doc_id has too.
 
     version is a hash of the text; it keeps rows apart that share a doc_id.
     """
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(repeated_cells(docs, width, cells, depth))
     source = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    runs = written(source.mapInArrow(_runs(width, bits), "doc_id long, version long, anchor long, content long, start int, n int, windows binary"), "runs")
+    runs = written(source.mapInArrow(_runs(width, bits), "doc_id long, version long, anchor long, content long, n int, starts array<int>, windows binary"), "runs")
 
     first = runs.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     first = written(first, "first-runs")
@@ -179,16 +187,20 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, cells: int = CELLS, dep
     several = several.where((F.col("_runs") > 1) & (F.col("_min") < F.col("_max"))).select("anchor")
 
     later = runs.drop("windows").join(first.where("first < last").select("anchor", "content", "first"), ["anchor", "content"]).where("doc_id > first")
-    opened = runs.join(first.join(several, "anchor", "left_semi").select("anchor", "content", F.col("first").alias("doc_id")), ["anchor", "content", "doc_id"])
-    opened = written(opened.select("doc_id", "version", "anchor", "start", "n", "windows").mapInArrow(_opened, "doc_id long, version long, anchor long, start int, window long"), "windows")
+    later = later.select("doc_id", "version", "n", F.explode("starts").alias("start"))
+    heads = runs.join(first.join(several, "anchor", "left_semi").select("anchor", "content", F.col("first").alias("doc_id")), ["anchor", "content", "doc_id"])
+    heads = written(heads.select("doc_id", "version", "anchor", "content", "n", "starts", "windows"), "heads")
+    opened = written(heads.drop("starts").mapInArrow(_opened, "doc_id long, version long, anchor long, content long, at int, window long"), "windows")
     least = opened.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    single = opened.join(least.drop("last"), ["anchor", "window"]).where("doc_id > first")
-    return later.select("doc_id", "version", "start", "n").unionByName(single.select("doc_id", "version", "start", F.lit(1).alias("n")))
+    single = opened.join(least.drop("last"), ["anchor", "window"]).where("doc_id > first").select("doc_id", "version", "anchor", "content", "at")
+    single = single.join(heads.select("doc_id", "version", "anchor", "content", "starts"), ["doc_id", "version", "anchor", "content"])
+    single = single.select("doc_id", "version", F.lit(1).alias("n"), F.explode(F.transform("starts", lambda s: s + F.col("at"))).alias("start"))
+    return later.unionByName(single)
 
 
 def _kept(width: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             out: list[list] = [[], [], []]
             for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
                 words = (text or "").encode().split()
