@@ -14,10 +14,15 @@ one is not.
 Candidates are documents that agree in all `rows` registers of one of `bands` bands. With 24 bands of 4 a
 pair at similarity 0.8 is missed with a probability of 3e-6. Every candidate is verified on the whole bags.
 
-Equal bags are one node from the start, so copies are never paired. In each bucket nodes are verified
-against the bucket's least node, which is linear; components are formed; then the bucket's
-remaining pairs from different components are verified. A large bucket of near copies falls into one
-component in the first step and gives no pairs in the second. No step gathers a bucket in one task.
+Equal bags are one node from the start, so copies are never paired. In each bucket the node whose buckets are
+largest (most often what the others were made from) is the head, and all others are verified against it: linear
+in the bucket. Components are formed. What may still be missing are links between two members x, y of
+one head h that are in different components, so that one of them, say x, is not linked to h. If no shingle
+is more frequent in both x and y than in h, their overlap is at most that of x and h, and so y must have at most
+overlap(x, h) * (1 + s) / s - |x| shingles to reach similarity s. Pairs that share such a shingle, and pairs that
+meet this bound, are all verified; no other pair can be a link. Near copies seldom share what sets
+them apart from their head, so a large group of them does not give its pairs. No step gathers a bucket in
+one task.
 """
 
 from __future__ import annotations
@@ -141,20 +146,34 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / (int(m.sum()) + int(n.sum()) - both)
 
 
+def excess(x: tuple[np.ndarray, np.ndarray], h: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Shingles that are more frequent in x than in h."""
+    at = np.minimum(np.searchsorted(h[0], x[0]), len(h[0]) - 1)
+    return x[0][(h[0][at] != x[0]) | (x[1] > h[1][at])]
+
+
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda k, n: (np.frombuffer(k, np.uint64), np.frombuffer(n, "<u4").astype(np.int64))
         for batch in parts(batches):
-            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-            of = lambda k, n: (np.frombuffer(k, np.uint64), np.frombuffer(n, "<u4").astype(np.int64))
-            pairs = zip(columns["keys_a"], columns["counts_a"], columns["keys_b"], columns["counts_b"], strict=True)
-            linked = pa.array([overlap(of(k, m), of(x, n)) >= similarity for k, m, x, n in pairs], pa.bool_())
-            yield batch.select(["a", "b"]).filter(linked)
+            columns = [batch.column(c).to_pylist() for c in ("keys_a", "counts_a", "keys_b", "counts_b")]
+            linked, most, size, apart = [], [], [], []
+            for k, m, x, n in zip(*columns, strict=True):
+                a, b = of(k, m), of(x, n)
+                alike = overlap(a, b)
+                linked.append(alike >= similarity)
+                size.append(int(b[1].sum()))
+                both = alike / (1 + alike) * (size[-1] + int(a[1].sum()))
+                most.append(int(both * (1 + similarity) / similarity - size[-1] + 1e-6))
+                apart.append(excess(b, a).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(most, pa.int64()), pa.array(apart, pa.list_(pa.int64()))], ["a", "b", "linked", "size", "most", "excess"])
 
     return run
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole bags are similar."""
+def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes with what their whole bags say: linked, size (of b), most (shingles that a node may
+    have to be linked to b within a), excess (shingles of b beyond a)."""
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sources = nodes.join(asked, "node").select("node", "doc_id", "version")
     texts = docs.select("doc_id", F.xxhash64("text").alias("version"), "text").join(sources, ["doc_id", "version"])
@@ -162,7 +181,22 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, si
     bags = written(bags, "bags")
     for side in "ab":
         pairs = pairs.join(bags.select(F.col("node").alias(side), F.col("keys").alias(f"keys_{side}"), F.col("counts").alias(f"counts_{side}")), side)
-    return written(pairs.mapInArrow(_verified(similarity), "a binary, b binary"), "links")
+    return written(pairs.mapInArrow(_verified(similarity), "a binary, b binary, linked boolean, size long, most long, excess array<long>"), "compared")
+
+
+def _unheaded(compared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of members of one head that are in different components and may be linked all the same."""
+    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    known = compared.join(root("a"), "a", "left").join(root("b"), "b", "left").withColumns({f"root_{s}": F.coalesce(f"root_{s}", s) for s in "ab"})
+    heads = known.groupBy("a").agg(F.count(F.lit(1)).alias("_n"), F.min("root_b").alias("_low"), F.max("root_b").alias("_high")).where("_n > 1 and _low < _high").select("a")
+    known = written(known.join(heads, "a").select("a", "b", "size", "most", "excess", "root_b", (F.col("root_a") != F.col("root_b")).alias("loose")), "members")
+    spread = known.select("a", F.col("b").alias("y"), F.col("root_b").alias("root_y"), F.explode("excess").alias("shingle"))
+    loose = known.where("loose").select("a", F.col("b").alias("x"), F.col("root_b").alias("root_x"), "most", "excess")
+    alike = loose.select("a", "x", "root_x", F.explode("excess").alias("shingle")).join(spread, ["a", "shingle"]).where("root_x <> root_y")
+    small = known.select("a", F.col("b").alias("y"), F.col("root_b").alias("root_y"), "size")
+    short = loose.where("most > 0").join(small, "a").where("root_x <> root_y and size <= most")
+    pair = F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
+    return alike.select(*pair).union(short.select(*pair)).distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -181,20 +215,20 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, similarity:
     nodes = written(named.agg(F.min(F.struct("doc_id", "version")).alias("_first"), F.min("doc_id").alias("least"), F.first("buckets").alias("buckets")), "nodes")
     nodes = nodes.select("node", "least", "buckets", "_first.doc_id", "_first.version")
     placed = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("bucket", "head")
-    members = written(placed.join(shared, "bucket").where("node <> head"), "buckets")
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(placed.join(sizes, "bucket"), "buckets")
+    weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    heads = shared.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("_top")).select("bucket", F.col("_top.node").alias("head"))
+    members = shared.join(heads, "bucket").where("node <> head")
 
     pairs = written(members.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = _links(pairs, nodes, docs, shingle, similarity)
+    compared = _compared(pairs, nodes, docs, shingle, similarity)
+    links = compared.where("linked").select("a", "b")
     roots = components(links)
-    owned = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = owned.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("bucket")
-    owned = written(owned.join(mixed, "bucket"), "mixed")
-    other = owned.select("bucket", F.col("node").alias("_node"), F.col("root").alias("_root"))
-    rest = owned.join(other, "bucket").where("root < _root").select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = written(_unheaded(compared, roots).join(tested, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        roots = components(links.union(_links(rest, nodes, docs, shingle, similarity)))
+        roots = components(links.union(_compared(rest, nodes, docs, shingle, similarity).where("linked").select("a", "b")))
 
     rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     classes = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id")
