@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import contaminated_pairs, contaminated_sql
 from .licence_scan import scan_licences, scan_sql
 from .near_dup import near_duplicate_classes
+from .neighbours import nearest
 from .packing import pack_documents
 from .sharding import shard_documents
 from .store import load
@@ -39,8 +40,12 @@ def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("version")
 
 
+def op10_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(load(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ring_shards, op3_swap_packing, op5_licence_digests, op6_countmin_substrings, op8_bagminhash_near_duplicates, op9_template_decontamination)}
+    return {f.__name__: f for f in (op2_ring_shards, op3_swap_packing, op5_licence_digests, op6_countmin_substrings, op8_bagminhash_near_duplicates, op9_template_decontamination, op10_collision_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
