@@ -14,6 +14,11 @@ from .packing import pack_documents
 from .sharding import shard_documents
 from .store import load
 from .substring_dedup import dedup_report, dedup_sql
+from .toxicity import score_toxicity
+
+
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
 def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +50,7 @@ def op10_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ring_shards, op3_swap_packing, op5_licence_digests, op6_countmin_substrings, op8_bagminhash_near_duplicates, op9_template_decontamination, op10_collision_neighbours)}
+    return {f.__name__: f for f in (op1_toxicity_chain, op2_ring_shards, op3_swap_packing, op5_licence_digests, op6_countmin_substrings, op8_bagminhash_near_duplicates, op9_template_decontamination, op10_collision_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
