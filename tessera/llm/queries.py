@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cotraining import score_quality
 from .decontaminate import contaminated_pairs, contaminated_sql
 from .licence_scan import scan_licences, scan_sql
 from .near_dup import near_duplicate_classes
@@ -29,6 +30,10 @@ def op3_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"))
 
 
+def op4_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op5_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(load(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_chain, op2_ring_shards, op3_swap_packing, op5_licence_digests, op6_countmin_substrings, op8_bagminhash_near_duplicates, op9_template_decontamination, op10_collision_neighbours)}
+    return {f.__name__: f for f in (op1_toxicity_chain, op2_ring_shards, op3_swap_packing, op4_cotraining_quality, op5_licence_digests, op6_countmin_substrings, op8_bagminhash_near_duplicates, op9_template_decontamination, op10_collision_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
