@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .brown import score_documents
 from .cotraining import score_quality
 from .decontaminate import contaminated_pairs, contaminated_sql
 from .licence_scan import scan_licences, scan_sql
@@ -42,6 +43,10 @@ def op6_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(load(spark, sf_dir, "documents"))
 
 
+def op7_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(load(spark, sf_dir, "documents"))
+
+
 def op8_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(load(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
@@ -55,7 +60,7 @@ def op10_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_chain, op2_ring_shards, op3_swap_packing, op4_cotraining_quality, op5_licence_digests, op6_countmin_substrings, op8_bagminhash_near_duplicates, op9_template_decontamination, op10_collision_neighbours)}
+    return {f.__name__: f for f in (op1_toxicity_chain, op2_ring_shards, op3_swap_packing, op4_cotraining_quality, op5_licence_digests, op6_countmin_substrings, op7_brown_scores, op8_bagminhash_near_duplicates, op9_template_decontamination, op10_collision_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
