@@ -17,12 +17,12 @@ pair at similarity 0.8 is missed with a probability of 3e-6. Every candidate is
 Equal bags are one node from the start, so copies are never paired. In each bucket the node whose buckets are
 largest (most often what the others were made from) is the head, and all others are verified against it: linear
 in the bucket. Components are formed. What may still be missing are links between two members x, y of
-one head h that are in different components, so that one of them, say x, is not linked to h. If no shingle
-is more frequent in both x and y than in h, their overlap is at most that of x and h, and so y must have at most
-overlap(x, h) * (1 + s) / s - |x| shingles to reach similarity s. Pairs that share such a shingle, and pairs that
-meet this bound, are all verified; no other pair can be a link. Near copies seldom share what sets
-them apart from their head, so a large group of them does not give its pairs. No step gathers a bucket in
-one task.
+one head h that are in different components, so that one of them, say x, is not linked to h. Within h their overlap
+is at most that of either with h; the rest must come from the shingles that both have beyond h. How many of those a link
+needs follows from the sizes, and two sets with that many in common meet in the first few of their
+elements, rarest first (prefix filter). Pairs that meet there, and pairs that need none, are all verified; no other pair can be
+a link. Near copies seldom share what sets them apart from their head, so a large group of them does not give
+its pairs. No step gathers a bucket in one task.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
@@ -147,9 +147,12 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def excess(x: tuple[np.ndarray, np.ndarray], h: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Shingles that are more frequent in x than in h."""
+    """What x has beyond h: one element for each further occurrence of a shingle, the same for every x."""
     at = np.minimum(np.searchsorted(h[0], x[0]), len(h[0]) - 1)
-    return x[0][(h[0][at] != x[0]) | (x[1] > h[1][at])]
+    had = np.where(h[0][at] == x[0], h[1][at], 0)
+    more = np.maximum(x[1] - had, 0)
+    first = np.repeat(had - np.r_[0, np.cumsum(more)[:-1]], more)
+    return H.mix(np.repeat(x[0], more) + (first + np.arange(more.sum())).astype(np.uint64) * np.uint64(GOLDEN))
 
 
 def _verified(similarity: float):
@@ -157,23 +160,23 @@ def _verified(similarity: float):
         of = lambda k, n: (np.frombuffer(k, np.uint64), np.frombuffer(n, "<u4").astype(np.int64))
         for batch in parts(batches):
             columns = [batch.column(c).to_pylist() for c in ("keys_a", "counts_a", "keys_b", "counts_b")]
-            linked, most, size, apart = [], [], [], []
+            linked, both, size, head, apart = [], [], [], [], []
             for k, m, x, n in zip(*columns, strict=True):
                 a, b = of(k, m), of(x, n)
-                alike = overlap(a, b)
-                linked.append(alike >= similarity)
+                beyond = excess(b, a)
+                head.append(int(a[1].sum()))
                 size.append(int(b[1].sum()))
-                both = alike / (1 + alike) * (size[-1] + int(a[1].sum()))
-                most.append(int(both * (1 + similarity) / similarity - size[-1] + 1e-6))
-                apart.append(excess(b, a).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(most, pa.int64()), pa.array(apart, pa.list_(pa.int64()))], ["a", "b", "linked", "size", "most", "excess"])
+                both.append(size[-1] - len(beyond))
+                linked.append(both[-1] >= similarity * (head[-1] + size[-1] - both[-1]) - 1e-9)
+                apart.append(beyond.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(head, pa.int64()), pa.array(size, pa.int64()), pa.array(both, pa.int64()), pa.array(apart, pa.list_(pa.int64()))], ["a", "b", "linked", "head", "size", "both", "excess"])
 
     return run
 
 
 def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes with what their whole bags say: linked, size (of b), most (shingles that a node may
-    have to be linked to b within a), excess (shingles of b beyond a)."""
+    """The pairs (a, b) of nodes with what their whole bags say: linked, head and size (of a and b), both (their
+    overlap), excess (what b has beyond a)."""
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sources = nodes.join(asked, "node").select("node", "doc_id", "version")
     texts = docs.select("doc_id", F.xxhash64("text").alias("version"), "text").join(sources, ["doc_id", "version"])
@@ -181,21 +184,32 @@ def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     bags = written(bags, "bags")
     for side in "ab":
         pairs = pairs.join(bags.select(F.col("node").alias(side), F.col("keys").alias(f"keys_{side}"), F.col("counts").alias(f"counts_{side}")), side)
-    return written(pairs.mapInArrow(_verified(similarity), "a binary, b binary, linked boolean, size long, most long, excess array<long>"), "compared")
+    return written(pairs.mapInArrow(_verified(similarity), "a binary, b binary, linked boolean, head long, size long, both long, excess array<long>"), "compared")
 
 
-def _unheaded(compared: DataFrame, roots: DataFrame) -> DataFrame:
+def _unheaded(compared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Pairs of members of one head that are in different components and may be linked all the same."""
     root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     known = compared.join(root("a"), "a", "left").join(root("b"), "b", "left").withColumns({f"root_{s}": F.coalesce(f"root_{s}", s) for s in "ab"})
     heads = known.groupBy("a").agg(F.count(F.lit(1)).alias("_n"), F.min("root_b").alias("_low"), F.max("root_b").alias("_high")).where("_n > 1 and _low < _high").select("a")
-    known = written(known.join(heads, "a").select("a", "b", "size", "most", "excess", "root_b", (F.col("root_a") != F.col("root_b")).alias("loose")), "members")
-    spread = known.select("a", F.col("b").alias("y"), F.col("root_b").alias("root_y"), F.explode("excess").alias("shingle"))
-    loose = known.where("loose").select("a", F.col("b").alias("x"), F.col("root_b").alias("root_x"), "most", "excess")
-    alike = loose.select("a", "x", "root_x", F.explode("excess").alias("shingle")).join(spread, ["a", "shingle"]).where("root_x <> root_y")
-    small = known.select("a", F.col("b").alias("y"), F.col("root_b").alias("root_y"), "size")
-    short = loose.where("most > 0").join(small, "a").where("root_x <> root_y and size <= most")
-    pair = F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
+    known = written(known.join(heads, "a").select("a", "b", "head", "size", "both", "excess", "root_b", (F.col("root_a") != F.col("root_b")).alias("loose")), "members")
+
+    # The elements of each member, rarest in its head's group first.
+    spread = known.select("a", "b", F.explode("excess").alias("element"))
+    often = spread.groupBy("a", "element").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("a", "b").orderBy("often", "element")  # one document's elements
+    ranked = spread.join(often, ["a", "element"]).withColumn("rank", F.row_number().over(order)).where("often > 1")
+    ranked = written(ranked.join(known.select("a", "b", "size", "both", F.size("excess").alias("own"), "root_b", "loose"), ["a", "b"]), "ranked")
+
+    side = lambda df, name: df.select("a", *(["element"] if "element" in df.columns else []), *(F.col(c).alias(f"{c}_{name}") for c in df.columns if c not in ("a", "element")))
+    needs = F.ceil(similarity / (1 + similarity) * (F.col("size_x") + F.col("size_y")) - F.least("both_x", "both_y") - 1e-6)
+    meets = (F.col("rank_x") <= F.col("own_x") - needs + 1) & (F.col("rank_y") <= F.col("own_y") - needs + 1)
+    apart = F.col("root_b_x") != F.col("root_b_y")
+    alike = side(ranked.where("loose"), "x").join(side(ranked, "y"), ["a", "element"]).where(apart & meets)
+    # Without a common element beyond the head: x is not linked to the head, so that y must be shorter than it.
+    bare = known.select("a", "b", "head", "size", "both", "root_b", "loose")
+    short = side(bare.where("loose"), "x").join(side(bare.where("size < head"), "y"), "a").where(apart & (needs <= 0))
+    pair = F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")
     return alike.select(*pair).union(short.select(*pair)).distinct()
 
 
@@ -226,7 +240,7 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, similarity:
     links = compared.where("linked").select("a", "b")
     roots = components(links)
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(_unheaded(compared, roots).join(tested, ["a", "b"], "left_anti"), "rest")
+    rest = written(_unheaded(compared, roots, similarity).join(tested, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         roots = components(links.union(_compared(rest, nodes, docs, shingle, similarity).where("linked").select("a", "b")))
 

@@ -69,3 +69,29 @@ def test_edges_and_chains(spark):
     assert kept[100] == 2 and all(kept[100 + blank + i] == 1 for i in range(3))
     assert N.keep_one(docs).columns == docs.columns
     assert N.near_duplicate_classes(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_excess_counts_what_lies_beyond():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        h, x, y = ((np.unique(rng.integers(0, 30, 20)).astype(np.uint64)) for _ in range(3))
+        h, x, y = ((k, rng.integers(1, 4, len(k))) for k in (h, x, y))
+        counts = [dict(zip(k.tolist(), n.tolist(), strict=True)) for k, n in (h, x, y)]
+        beyond = sum(max(0, min(counts[1].get(s, 0), counts[2].get(s, 0)) - counts[0].get(s, 0)) for s in range(30))
+        assert len(set(N.excess(x, h).tolist()) & set(N.excess(y, h).tolist())) == beyond
+
+
+def test_a_family_without_its_origin(spark):
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(160):
+        words = list(base)
+        for j in rng.choice(150, rng.integers(2, 9), replace=False):
+            words[j] = f"e{rng.integers(0, 3)}"
+        if i % 5 == 0:
+            words = words[: rng.integers(120, 150)]
+        texts.append(" ".join(words))
+    rows = [(int(i), t, "v", "c") for i, t in enumerate(texts)]
+    got = Counter((r.doc_id, r.class_id) for r in N.near_duplicate_classes(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == brute_classes([(d, t) for d, t, *_ in rows])
