@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .batches import parts
-from .linear import fit_logistic, fit_platt, labelled_sample, matrix, pick_features, sigmoid, text_features
+from .linear import fit_logistic, fit_platt, labelled_sample, matrix, pick_features, short, sigmoid, text_features
 
-MOST, POOL, FEATURES = 6000, 4000, 1500
+MOST, POOL, FEATURES = 3000, 2000, 1500
 ROUNDS, SHARE, SURE = 4, 0.05, 0.9
 META = ["source", "lang", "n_chars"]
 
@@ -35,7 +35,7 @@ def meta_features(source: str | None, lang: str | None, n_chars: int | None) ->
     """Hashes of the metadata's values and of their pairs."""
     size = "none" if n_chars is None else str(int(2 * np.log2(max(1, n_chars))))
     facts = [f"source={source}", f"lang={lang}", f"size={size}", f"{source}/{lang}", f"{lang}/{size}"]
-    return np.unique(np.concatenate([H.spans(H.prefix_sums(d), np.array([0]), np.array([len(d)])) for d in (np.frombuffer(f.encode(), np.uint8) for f in facts)]))
+    return short(np.concatenate([H.spans(H.prefix_sums(d), np.array([0]), np.array([len(d)])) for d in (np.frombuffer(f.encode(), np.uint8) for f in facts)]))
 
 
 @dataclass

@@ -27,7 +27,12 @@ def text_features(text: str | None) -> np.ndarray:
         longer = ends - starts > n
         found.append(H.mix(H.spans(sums, starts[longer], starts[longer] + n) + np.uint64(n)))
     found.append(H.mix(np.array(looks(raw, found[0]), np.uint64)))
-    return np.unique(np.concatenate(found))
+    return short(np.concatenate(found))
+
+
+def short(hashes: np.ndarray) -> np.ndarray:
+    """Distinct features: the upper halves of hashes, which is what the driver holds of a sample."""
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))
 
 
 def looks(raw: bytes, words: np.ndarray) -> list[int]:
@@ -83,11 +88,12 @@ def fit_platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def pick_features(rows: list[np.ndarray], y: np.ndarray, most: int, least_rows: int = 3) -> np.ndarray:
     """The `most` features whose presence tells the classes apart best (G statistic), sorted."""
-    keys, at = np.unique(np.concatenate(rows) if rows else np.empty(0, np.uint64), return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    keys, at = np.unique(np.concatenate(rows) if rows else np.empty(0, np.uint32), return_inverse=True)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     n, pos = len(rows), float(y.sum())
-    both = np.bincount(at, weights=y[row].astype(float), minlength=len(keys))
+    at = at.astype(np.int32)
     seen = np.bincount(at, minlength=len(keys)).astype(float)
+    both = np.bincount(at[y.astype(bool)[row]], minlength=len(keys)).astype(float)
     a, b = both + 0.5, seen - both + 0.5
     c, d = pos - both + 0.5, n - pos - seen + both + 0.5
     g = a * np.log(a * (n + 2) / ((a + b) * (a + c))) + b * np.log(b * (n + 2) / ((a + b) * (b + d))) + c * np.log(c * (n + 2) / ((c + d) * (a + c))) + d * np.log(d * (n + 2) / ((c + d) * (b + d)))
@@ -118,12 +124,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_features(t.as_py()).view(np.int64) for t in batch.column("text")]
+            found = [text_features(t.as_py()).view(np.int32) for t in batch.column("text")]
             own = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(found, pa.list_(pa.int64()))], [*own, "features"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(found, pa.list_(pa.int32()))], [*own, "features"])
 
     kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes if c != "text")
-    out = rows.mapInArrow(hashed, f"{kinds}, features array<long>").toPandas()
-    out["features"] = [np.asarray(x, np.int64).view(np.uint64) for x in out["features"]]
-    out["_hash"] = [int(f.sum(dtype=np.uint64)) if len(f) else 0 for f in out["features"]]
+    out = rows.mapInArrow(hashed, f"{kinds}, features array<int>").toPandas()
+    out["features"] = [np.asarray(x, np.int32).view(np.uint32) for x in out["features"]]
+    out["_hash"] = [int(f.sum(dtype=np.uint64)) for f in out["features"]]
     return out.sort_values(["doc_id", "_hash"]).drop_duplicates("doc_id", keep="last").drop(columns="_hash").reset_index(drop=True)

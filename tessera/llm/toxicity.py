@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .batches import parts
-from .linear import fit_logistic, fit_platt, labelled_sample, matrix, pick_features, sigmoid, text_features
+from .linear import fit_logistic, fit_platt, labelled_sample, matrix, pick_features, short, sigmoid, text_features
 
 #: Words that mark a kind of abuse in a document labelled toxic.
 KINDS = {
@@ -33,7 +33,7 @@ KINDS = {
     "contempt": ["trash", "scum", "disgusting"],
 }
 TARGET = "toxic"
-MOST, FEATURES, FOLDS = 6000, 1500, 4
+MOST, FEATURES, FOLDS = 3000, 1500, 4
 
 
 @dataclass
@@ -93,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, kinds: dict[str, list[str]] = KIND
     rows = list(sample["features"])
     marks = {}
     for kind, words in kinds.items():
-        keys = np.concatenate([H.words(w) for w in words])
+        keys = short(np.concatenate([H.words(w) for w in words]))
         marks[kind] = toxic & np.array([np.isin(keys, r).any() for r in rows])
     fold = (H.mix(sample["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(folds)).astype(int)
     return fit_chain(rows, {k: m for k, m in marks.items() if m.any()} | {TARGET: toxic}, fold, features)
