@@ -28,17 +28,18 @@ def places(t: Tables) -> DataFrame:
     return t("supplier").select("s_suppkey", "s_name", "s_acctbal", (F.pmod(key * 37, F.lit(120)) - 60 + F.lit(0.25)).cast("double").alias("lat"), (F.pmod(key * 53, F.lit(300)) - 150 + F.lit(0.5)).cast("double").alias("lon"))
 
 
-#: Intervals: an event lasts to its user's next one, 30 seconds at most.
+#: Intervals: an event lasts to its user's next one, an hour at most.
 TURNS = """(SELECT event_id, user_id, event_type, value, epoch_us(ts) / 1e6 AS start,
-  least(epoch_us(ts) / 1e6 + 600, coalesce(lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) / 1e6, epoch_us(ts) / 1e6 + 600)) AS stop FROM events)"""
+  least(epoch_us(ts) / 1e6 + 3600, coalesce(lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) / 1e6, epoch_us(ts) / 1e6 + 3600)) AS stop FROM events)"""
 
 
 def turns(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
-    start = F.unix_micros("ts") / F.lit(1e6)
-    after = F.lead(F.unix_micros("ts")).over(Window.partitionBy("user_id").orderBy("ts", "event_id")) / F.lit(1e6)
-    return t("events").select("event_id", "user_id", "event_type", "value", start.alias("start"), F.least(start + 600, F.coalesce(after, start + 600)).alias("stop"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    start = micros / F.lit(1e6)
+    after = F.lead(micros).over(Window.partitionBy("user_id").orderBy("ts", "event_id")) / F.lit(1e6)
+    return t("events").select("event_id", "user_id", "event_type", "value", start.alias("start"), F.least(start + 3600, F.coalesce(after, start + 3600)).alias("stop"))
 
 
 #: Albums: regions over nations over customers, by keys that don't meet.
