@@ -62,7 +62,7 @@ def stitch(t: Tables) -> DataFrame:
 @query("""
 WITH c AS (SELECT label, list(m ORDER BY pos) AS v FROM (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x FROM embeddings WHERE vec_id % 3 = 0) GROUP BY 1, 2) GROUP BY 1),
 s AS (SELECT vec_id, c.label, round(list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), v) / sqrt(list_dot_product(v, v)), 6) AS sim FROM embeddings, c WHERE vec_id % 3 <> 0)
-SELECT vec_id, CASE WHEN sim >= 0.3 THEN label ELSE -1 END AS label, round(sim, 4) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS r FROM s) WHERE r = 1""")
+SELECT vec_id, CASE WHEN sim >= 0.3 THEN label ELSE -1 END AS label, sim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS r FROM s) WHERE r = 1""")
 def assign_nearest(t: Tables) -> DataFrame:
     """New vectors to the nearest centroid, or to none."""
     e = t("embeddings")
@@ -71,4 +71,4 @@ def assign_nearest(t: Tables) -> DataFrame:
     bank = bank.select(F.col("label").alias("person"), F.col("label").alias("sample"), F.transform("v", lambda x: x / V.norm(F.col("v"))).alias("p"))
     sims = M.bank_scores(e.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")), bank)
     best = sims.groupBy("q").agg(F.max(F.struct("sim", (-F.col("person")).alias("m"))).alias("b"))
-    return best.select(F.col("q").alias("vec_id"), F.when(F.col("b.sim") >= 0.3, -F.col("b.m")).otherwise(-1).alias("label"), F.round("b.sim", 4).alias("sim"))
+    return best.select(F.col("q").alias("vec_id"), F.when(F.col("b.sim") >= 0.3, -F.col("b.m")).otherwise(-1).alias("label"), "b.sim")

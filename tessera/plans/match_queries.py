@@ -154,14 +154,14 @@ def nearest_period(t: Tables) -> DataFrame:
 
 
 @query(f"""
-SELECT a.label, b.label AS other, round({DOT.format(a="a.v", b="b.v")}, 5) AS sim FROM (SELECT label, list(m ORDER BY pos) AS v FROM (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2) GROUP BY 1) a,
+SELECT a.label, b.label AS other, round({DOT.format(a="a.v", b="b.v")}, 6) AS sim FROM (SELECT label, list(m ORDER BY pos) AS v FROM (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2) GROUP BY 1) a,
 (SELECT label, list(m ORDER BY pos) AS v FROM (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2) GROUP BY 1) b WHERE a.label < b.label""")
 def pairs_threshold(t: Tables) -> DataFrame:
     """Similarities between group centroids."""
     means = t("embeddings").select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
     v = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("v"))
     sims = M.bank_scores(v.select(F.col("label").alias("q"), "v"), v.select(F.col("label").alias("person"), F.col("label").alias("sample"), F.col("v").alias("p")))
-    return sims.where("q < person").select(F.col("q").alias("label"), F.col("person").alias("other"), F.round("sim", 5).alias("sim"))
+    return sims.where("q < person").select(F.col("q").alias("label"), F.col("person").alias("other"), "sim")
 
 
 KNN = f"s AS (SELECT a.vec_id AS q, b.label AS person, b.vec_id AS sample, round({DOT.format(a='a.embedding', b='b.embedding')}, 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 3 <> 0 AND b.vec_id % 3 = 0)"
