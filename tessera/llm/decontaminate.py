@@ -44,13 +44,10 @@ def template(text: Column) -> Column:
     return F.lower(text)
 
 
-def _words(text: Column) -> Column:
-    return F.split(text, PARTING)
-
-
 def _with_words(df: DataFrame, *keys: str) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return df.select(*keys, _words(text).alias("raw"), _words(template(text)).alias("canon"))
+    """Words and template words, one to one: a word of signs alone is an empty template word."""
+    spaced = df.select(*keys, F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), PARTING, " ").alias("_text"))
+    return spaced.select(*(k for k in keys), F.split("_text", " ").alias("raw"), F.split(template(F.col("_text")), " ").alias("canon"))
 
 
 def _candidates(width: int, cells: int, marks: bytes) -> Column:
@@ -120,17 +117,18 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def contaminated_sql(width: int = WIDTH, least: int = LEAST, runs: int = RUNS) -> str:
     """contaminated_pairs (without version) for DuckDB, on tables whose doc_id and item_id are unique."""
-    canon = "text"
+    spaced = f"regexp_replace(text, '{PARTING}', ' ', 'g')"
+    canon = spaced
     for pattern, by in STEPS:
         canon = f"regexp_replace({canon}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
-    words = lambda x: f"regexp_split_to_array({x}, '{PARTING}')"
+    words = lambda x: f"string_split({x}, ' ')"
     bare = lambda x: rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', '', 'g')"
     return rf"""
-    WITH items AS (SELECT item_id, {words("text")} AS raw, {words(f"lower({canon})")} AS canon FROM benchmark),
+    WITH items AS (SELECT item_id, {words(spaced)} AS raw, {words(f"lower({canon})")} AS canon FROM benchmark),
     sized AS (SELECT *, least({width}, len(canon)) AS width, len(canon) - least({width}, len(canon)) + 1 AS runs FROM items WHERE len(canon) >= {least}),
     item_at AS (SELECT *, unnest(range(1, runs + 1)) AS spot FROM sized),
     item_runs AS (SELECT item_id, width, runs, spot, raw[spot:spot + width - 1] AS item_raw, canon[spot:spot + width - 1] AS item_canon FROM item_at),
-    texts AS (SELECT doc_id, {words("text")} AS raw, {words(f"lower({canon})")} AS canon FROM documents),
+    texts AS (SELECT doc_id, {words(spaced)} AS raw, {words(f"lower({canon})")} AS canon FROM documents),
     doc_at AS (SELECT doc_id, raw, canon, width, unnest(range(1, len(canon) - width + 2)) AS pos FROM texts, (SELECT DISTINCT width FROM sized)),
     doc_runs AS (SELECT doc_id, width, pos, raw[pos:pos + width - 1] AS doc_raw, canon[pos:pos + width - 1] AS doc_canon FROM doc_at),
     hits AS (SELECT d.doc_id, i.item_id, i.spot, i.runs, pos - spot AS shift, item_raw, item_canon, doc_raw FROM doc_runs d JOIN item_runs i ON d.width = i.width AND d.doc_canon = i.item_canon),

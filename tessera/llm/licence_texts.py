@@ -65,7 +65,7 @@ NOTICES = [
 
 #: Spellings that count as one: (pattern on lower-case text, replacement).
 SPELLINGS = [
-    (r"\blicenc(e|es|ed|ing)\b", r"licens$1"),
+    (r"licenc(e|es|ed|ing)\b", r"licens$1"),
     (r"\bsub[ -]licens", "sublicens"),
     (r"\bnon[ -]?commercial\b", "noncommercial"),
     (r"\bnon[ -]infringement\b", "noninfringement"),
