@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
+from .store import hash_sample
 
 #: Lengths in bytes of the word beginnings that are features next to whole words.
 PREFIXES = (4, 5, 6, 7)
@@ -119,7 +120,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most
     """
     chosen = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in columns))
     chosen = chosen.where(" and ".join(f"{c} is not null" for c in columns))
-    chosen = chosen.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = hash_sample(chosen.join(docs.select("doc_id"), "doc_id", "left_semi"), "doc_id", most)
     rows = docs.select("doc_id", "text", *extra).join(F.broadcast(chosen), "doc_id")  # `most` rows
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

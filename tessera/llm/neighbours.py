@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import hash_sample, written
 
 K, EVERY = 20, 20
 PROJECTIONS, THRESHOLD, GROWTH = 64, 0.8, 1.15
@@ -99,7 +99,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, projections: int
     if projections > 255:
         raise ValueError("collisions are counted in one byte: 255 projections at most")
     directions = np.random.default_rng(20).standard_normal((facts.d + 1, projections))
-    seen = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    seen = hash_sample(usable, "vec_id", sample).collect()
     lifted = np.array([r.v for r in seen])
     lifted = np.column_stack((lifted, np.sqrt(np.maximum(facts.largest**2 - (lifted**2).sum(axis=1), 0)))) @ directions
     unit, largest = float(np.median(lifted.std(axis=0))) / 2 or 1e-9, facts.largest

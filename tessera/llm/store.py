@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,3 +35,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table by Spark's own reader, so that any store Spark reaches will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows, those of least hash of the key. Rows with larger hashes are sorted out before the sort, so
+    that what tasks send stays near `most` in all, however many tasks there are."""
+    share = min(1.0, 1.2 * most / max(1, df.count()) + 1e-6)
+    near = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return near.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key).limit(most)
