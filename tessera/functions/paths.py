@@ -102,11 +102,8 @@ def chain(key: Column) -> Column:
     items = parts(key)
     start = F.when(root(key) == "", F.array().cast("array<string>")).otherwise(F.array(_keyed(key, root(key))))
     steps = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items))).otherwise(F.array().cast("array<int>"))
-    return F.concat(start, F.transform(steps, lambda i: _keyed(key, F.concat(root(key), F.array_join(F.slice(items, 1, i), _glue(key))))))
-
-
-def _glue(key: Column) -> str:
-    return "/"
+    glued = lambda i: F.when(separator(key) == "\\", F.array_join(F.slice(items, 1, i), "\\")).otherwise(F.array_join(F.slice(items, 1, i), "/"))
+    return F.concat(start, F.transform(steps, lambda i: _keyed(key, F.concat(root(key), glued(i)))))
 
 
 def prefix(folder: str) -> str:

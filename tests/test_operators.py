@@ -35,6 +35,11 @@ def test_paths(spark, key, name, parent, suffix, trimmed):
     assert (row.n, row.p, row.s, row.t) == (name, parent, suffix, trimmed)
 
 
+def test_chain(spark):
+    assert one(spark, paths.chain(F.lit("pc-x:D:\\p\\q"))) == ["pc-x:D:\\", "pc-x:D:\\p", "pc-x:D:\\p\\q"]
+    assert one(spark, paths.chain(F.lit("a/b"))) == ["a", "a/b"]
+
+
 def test_rules(spark):
     keys = ["pc-x:D:\\Games\\a.jpg", "nas:/Games/a", "pc-x:D:\\trash\\Apps\\b", "pc-y:D:\\trash\\Apps\\b", "pc-x:D:\\Games\\keep\\c.jpg", "nas:/x.jpg"]
     df = spark.createDataFrame([(k,) for k in keys], "k string")
