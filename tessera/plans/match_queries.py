@@ -215,7 +215,7 @@ def cannot_link(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT o_orderpriority AS source, o_orderstatus AS model, count(*) AS reviews, sum(CASE WHEN p AND y THEN 1 ELSE 0 END) AS tp, round(sum(CASE WHEN p AND y THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN p THEN 1 ELSE 0 END), 0), 6) AS precision, round(sum(CASE WHEN p AND y THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN y THEN 1 ELSE 0 END), 0), 6) AS recall
+SELECT o_orderpriority AS source, o_orderstatus AS model, count(*) AS reviews, CAST(sum(CASE WHEN p AND y THEN 1 ELSE 0 END) AS BIGINT) AS tp, round(sum(CASE WHEN p AND y THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN p THEN 1 ELSE 0 END), 0), 6) AS precision, round(sum(CASE WHEN p AND y THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN y THEN 1 ELSE 0 END), 0), 6) AS recall
 FROM (SELECT *, o_totalprice > 200000 AS p, c_acctbal > 3000 AS y FROM orders JOIN customer ON c_custkey = o_custkey) GROUP BY 1, 2""")
 def label_quality(t: Tables) -> DataFrame:
     """Precision and recall by source."""
@@ -250,7 +250,7 @@ def multi_group_cards(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT r.source, files, small, faces FROM (SELECT source, count(*) AS files, sum(CASE WHEN n_chars < 500 THEN 1 ELSE 0 END) AS small FROM documents GROUP BY 1) r LEFT JOIN (SELECT source, count(*) AS faces FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1) l USING (source)""")
+SELECT r.source, files, small, faces FROM (SELECT source, count(*) AS files, CAST(sum(CASE WHEN n_chars < 500 THEN 1 ELSE 0 END) AS BIGINT) AS small FROM documents GROUP BY 1) r LEFT JOIN (SELECT source, count(*) AS faces FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1) l USING (source)""")
 def storage_by_source(t: Tables) -> DataFrame:
     """Counters per source from several tables."""
     d = t("documents")
@@ -299,7 +299,7 @@ def cluster_purity(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT count(*) AS events, count(value) AS known, max(ts) AS latest, count(DISTINCT coalesce('person:' || CASE WHEN user_id % 2 = 0 THEN user_id END, 'identity:' || event_type)) AS identities, sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) AS large FROM events""")
+SELECT count(*) AS events, count(value) AS known, max(ts) AS latest, count(DISTINCT coalesce('person:' || CASE WHEN user_id % 2 = 0 THEN user_id END, 'identity:' || event_type)) AS identities, CAST(sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) AS BIGINT) AS large FROM events""")
 def summary_counters(t: Tables) -> DataFrame:
     """Counters and stamps in one pass."""
     identity = F.coalesce(F.concat(F.lit("person:"), F.when(F.col("user_id") % 2 == 0, F.col("user_id")).cast("string")), F.concat(F.lit("identity:"), F.col("event_type")))
