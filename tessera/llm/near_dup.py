@@ -253,8 +253,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     """docs with one row of each class: that of the least doc_id. Rows without words stay, all of them."""
     classes = near_duplicate_classes(docs, shingle, similarity)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
-    blank = F.coalesce(F.regexp_replace("text", "[\x20\x09-\x0d]+", ""), F.lit("")) == ""
-    rows = docs.withColumn("_version_of", F.xxhash64("text"))
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.where(worded).withColumn("_version_of", F.xxhash64("text"))
     rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_version_of") == F.col("_version")), "left_semi")
-    worded = rows.where(~blank).dropDuplicates(["doc_id", "_version_of"])
-    return worded.unionByName(rows.where(blank)).select(*docs.columns)
+    return rows.dropDuplicates(["doc_id", "_version_of"]).select(*docs.columns).unionByName(docs.where(~worded))
