@@ -51,7 +51,19 @@ WITH m AS (SELECT l_partkey AS g, l_orderkey AS path, l_linenumber AS pick FROM
 SELECT g, count(DISTINCT path) AS n, arg_min(path, pick * 10000000 + path) AS cover FROM v GROUP BY g""")
 def visible_highlights(t: Tables) -> DataFrame:
     """Groups without what a viewer may not see, recounted, with the first visible cover."""
-    members = t("lineitem").where("l_partkey < 100").select(F.col("l_partkey").alias("g"), F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("pick"))
+    return _visible(t, t("lineitem").where("l_partkey < 100"))
+
+
+@query("""
+WITH m AS (SELECT l_partkey AS g, l_orderkey AS path, l_linenumber AS pick FROM lineitem), v AS (SELECT m.* FROM m JOIN orders ON o_orderkey = path WHERE o_orderstatus <> 'F')
+SELECT g, count(DISTINCT path) AS n, arg_min(path, pick * 10000000 + path) AS cover FROM v GROUP BY g""")
+def visible_highlights_all(t: Tables) -> DataFrame:
+    """visible_highlights over every group of the table."""
+    return _visible(t, t("lineitem"))
+
+
+def _visible(t: Tables, lines: DataFrame) -> DataFrame:
+    members = lines.select(F.col("l_partkey").alias("g"), F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("pick"))
     seen = t("orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("path"))
     return members.join(seen, "path").groupBy("g").agg(F.count_distinct("path").alias("n"), F.min_by("path", F.struct("pick", "path")).alias("cover"))
 
