@@ -58,7 +58,7 @@ def looks(raw: bytes, words: np.ndarray) -> list[int]:
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 200) -> np.ndarray:
     """Weights and, last, the intercept: penalised likelihood by accelerated gradient steps. x: (rows, features)."""
     ones = np.ones((len(x), 1), np.float32)
-    x, y = np.hstack((x.astype(np.float32), ones)), y.astype(np.float32)
+    x, y = np.hstack((x.astype(np.float32, copy=False), ones)), y.astype(np.float32)
     w = np.zeros(x.shape[1], np.float32)
     ahead, t = w, 1.0
     v = np.ones(x.shape[1], np.float32)
@@ -89,12 +89,12 @@ def fit_platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def pick_features(rows: list[np.ndarray], y: np.ndarray, most: int, least_rows: int = 3) -> np.ndarray:
     """The `most` features whose presence tells the classes apart best (G statistic), sorted."""
-    keys, at = np.unique(np.concatenate(rows) if rows else np.empty(0, np.uint32), return_inverse=True)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    count = lambda part: np.unique(np.concatenate(part) if part else np.empty(0, np.uint32), return_counts=True)
+    keys, seen = count(rows)
+    own, times = count([r for r, good in zip(rows, y.astype(bool), strict=True) if good])
     n, pos = len(rows), float(y.sum())
-    at = at.astype(np.int32)
-    seen = np.bincount(at, minlength=len(keys)).astype(float)
-    both = np.bincount(at[y.astype(bool)[row]], minlength=len(keys)).astype(float)
+    seen, both = seen.astype(float), np.zeros(len(keys))
+    both[np.searchsorted(keys, own)] = times
     a, b = both + 0.5, seen - both + 0.5
     c, d = pos - both + 0.5, n - pos - seen + both + 0.5
     g = a * np.log(a * (n + 2) / ((a + b) * (a + c))) + b * np.log(b * (n + 2) / ((a + b) * (b + d))) + c * np.log(c * (n + 2) / ((c + d) * (a + c))) + d * np.log(d * (n + 2) / ((c + d) * (b + d)))

@@ -41,3 +41,17 @@ def test_edges(spark):
     assert len(out) == len(rows) and all(r.keeps == bool(r.doc_id % 2) for r in out if r.doc_id is not None and 60 <= r.doc_id < 80)
     assert all(r.keeps and r.quality == 0.5 for r in C.score_quality(docs, labels.where("quality = 1")).collect())
     assert C.score_quality(docs.limit(0), labels).collect() == []
+
+
+def test_every_unlabelled_document_may_teach(spark):
+    # Twelve of 2,000 unlabelled documents, far fewer than a share of 200 of them holds, come from a source of their own.
+    good, junk = [f"good{i} " for i in range(12)], [f"junk{i} " for i in range(12)]
+    rng = np.random.default_rng(3)
+    text = lambda words, n: "".join(rng.choice(words, n, replace=False))
+    rows = [(i, text(good if i % 2 else junk, 5), "en", "ab"[i % 2], 40) for i in range(200)]
+    rows += [(1000 + i, text(good, 3) + text(junk, 2), "en", "ab"[i % 2], 40) for i in range(1988)]
+    rows += [(5000 + i, text(good, 12), "en", "rare", 40) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    scored = {r.doc_id: r.p_meta for r in C.score_quality(docs, labels, pool=200).collect()}
+    assert len(scored) == len(rows) and min(scored[5000 + i] for i in range(12)) > 0.7
