@@ -4,10 +4,12 @@ An index block keeps, for each of `projections` random directions, its vectors'
 order. A query's window on a direction is centred on the query's own projection. By virtual rehashing the
 windows of all directions widen together, by `growth` a round; a vector collides on a direction once
 it lies in the window, and when its collisions reach the threshold it is verified on the original
-vectors. A query stops in a block once enough vectors have been verified for its k nearest.
+vectors. A query stops once enough vectors have been verified and the windows are so wide that a vector as good as the
+k-th best verified one collides often enough with a probability of SURE.
 
 Largest inner product becomes nearest distance by one more component: sqrt(M * M - |x|**2) for a
-vector (M: the largest norm), 0 for a query.
+vector, 0 for a query, which is scaled to norm M. A block is cut into ranges of norms, each with its own M (its largest
+norm) and index, searched from the longest vectors down until no shorter one can reach the k-th best.
 
 Vectors are dealt to blocks of a bounded size, query blocks meet vector blocks one by one, each pair in
 a task of its own, and k rows a query and block go on. The result holds the k best over all blocks. Directions and the
@@ -16,7 +18,8 @@ window unit are fitted on a bounded sample (`sample` vectors); every vector is i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -30,6 +33,8 @@ PROJECTIONS, THRESHOLD, GROWTH = 64, 0.8, 1.15
 BLOCK, QUERY_BLOCK, SAMPLE = 16384, 1024, 4096
 #: A query verifies at least this share of a block (and 5 * k vectors) before it stops.
 VERIFIED = 0.15
+#: Norms of one index differ by this factor at most; the chance to verify a vector as good as the k-th best.
+RANGE, SURE = 1.1, 0.9
 #: Every so many vectors stand for all while a window is far too narrow; windows wider than WIDEST units hold everything.
 SPARSE, WIDEST = 16, 1000.0
 
@@ -41,10 +46,10 @@ def _finite(vector: Column) -> Column:
 
 
 class Index:
-    """Sorted projections of one block, and each vector's rank in them."""
+    """Sorted projections of one block's range of norms, and each vector's rank in them."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: np.ndarray, largest: float) -> None:
-        self.ids, self.vectors, self.directions = ids, vectors, directions
+        self.ids, self.vectors, self.directions, self.largest = ids, vectors, directions, largest
         lifted = np.column_stack((vectors, np.sqrt(np.maximum(largest**2 - (vectors**2).sum(axis=1), 0))))
         places = (lifted @ directions).T
         order = np.argsort(places, axis=1, kind="stable")
@@ -61,23 +66,65 @@ class Index:
         inside = rank - low < width  # a rank below low wraps around
         return np.flatnonzero(inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= need)
 
-    def search(self, query: np.ndarray, own: int, k: int, unit: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best of the vectors that collide often enough."""
-        n, m = len(self.ids), len(self.sorted)
-        centre = query @ self.directions[:-1]
+    def search(self, query: np.ndarray, own: int, k: int, unit: float, spread: float, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the vectors that collide often enough; before: the best scores of other ranges."""
+        n, m, length = len(self.ids), len(self.sorted), float(np.linalg.norm(query))
+        centre = (query * (self.largest / length)) @ self.directions[:-1]
         need, wanted, half = int(np.ceil(THRESHOLD * m)), min(n, max(5 * k, int(VERIFIED * n))), unit
-        # Rounds in which too few of every SPARSE-th vector collide are skipped for the rest.
-        while n > 64 * SPARSE and len(self._colliding(self.some, centre, half, need)) * SPARSE < 0.8 * wanted:
-            half *= GROWTH
-        while len(found := self._colliding(self.rank, centre, half, need)) < wanted and half < WIDEST * unit:
-            half *= GROWTH
-        if len(found) < wanted:
-            found = np.arange(n)
-        scores = (self.vectors[found] * query).sum(axis=1)
-        ids = self.ids[found]
-        other = ids != own
-        best = np.lexsort((ids[other], -scores[other]))[:k]
-        return ids[other][best], scores[other][best]
+        found = np.arange(n)
+        if wanted < n:
+            # Rounds in which too few of every SPARSE-th vector collide are skipped for the rest.
+            while n > 64 * SPARSE and len(self._colliding(self.some, centre, half, need)) * SPARSE < 0.8 * wanted:
+                half *= GROWTH
+            while len(few := self._colliding(self.rank, centre, half, need)) < wanted and half < WIDEST * unit:
+                half *= GROWTH
+            known = np.concatenate((before, self._scores(few, query)[self.ids[few] != own]))
+            if len(few) >= wanted and len(known) >= k:
+                # The distance of a vector as good as the k-th best; a wider window can only raise that score.
+                worst = np.partition(known, -k)[-k]
+                wide = spread * math.sqrt(max(2 * self.largest**2 - 2 * self.largest * worst / length, 0.0))
+                found = few if half >= wide else self._colliding(self.rank, centre, wide, need)
+        scores, other = self._scores(found, query), self.ids[found] != own
+        return self.ids[found][other], scores[other]
+
+    def _scores(self, found: np.ndarray, query: np.ndarray) -> np.ndarray:
+        return (self.vectors[found] * query).sum(axis=1)
+
+
+def ranges(ids: np.ndarray, vectors: np.ndarray, directions: np.ndarray) -> list[Index]:
+    """Indexes of the vectors by ranges of norms, longest first."""
+    norms = np.sqrt((vectors**2).sum(axis=1))
+    order = np.argsort(-norms, kind="stable")
+    falling, start, out = -norms[order], 0, []
+    while start < len(order):
+        end = max(start + 1, int(np.searchsorted(falling, falling[start] / RANGE, "right")))
+        part = order[start:end]
+        out.append(Index(ids[part], vectors[part], directions, float(-falling[start])))
+        start = end
+    return out
+
+
+def best_of(indexes: list[Index], query: np.ndarray, own: int, k: int, unit: float, spread: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the k best found in all ranges; unit is that of norm 1."""
+    ids, scores, length = np.empty(0, np.int64), np.empty(0), float(np.linalg.norm(query))
+    for index in indexes:
+        if len(scores) == k and length * index.largest * (1 + 1e-9) < scores[-1]:
+            break  # no shorter vector can reach the k-th best
+        more, theirs = index.search(query, own, k, unit * index.largest, spread, scores)
+        ids, scores = np.concatenate((ids, more)), np.concatenate((scores, theirs))
+        best = np.lexsort((ids, -scores))[:k]
+        ids, scores = ids[best], scores[best]
+    return ids, scores
+
+
+def _spread(m: int, sure: float = SURE) -> float:
+    """Half a window's width, by distance, at which a vector collides on enough of m directions with probability `sure`."""
+    need, low, high = int(np.ceil(THRESHOLD * m)), 0.0, 1.0
+    for _ in range(50):
+        p = (low + high) / 2
+        enough = sum(math.comb(m, i) * p**i * (1 - p) ** (m - i) for i in range(need, m + 1))
+        low, high = (p, high) if enough < sure else (low, p)
+    return NormalDist().inv_cdf((1 + min(high, 1 - 1e-12)) / 2)
 
 
 def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, projections: int = PROJECTIONS, block: int = BLOCK, query_block: int = QUERY_BLOCK, sample: int = SAMPLE) -> DataFrame:
@@ -102,7 +149,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, projections: int
     seen = hash_sample(usable, "vec_id", sample).collect()
     lifted = np.array([r.v for r in seen])
     lifted = np.column_stack((lifted, np.sqrt(np.maximum(facts.largest**2 - (lifted**2).sum(axis=1), 0)))) @ directions
-    unit, largest = float(np.median(lifted.std(axis=0))) / 2 or 1e-9, facts.largest
+    unit, spread = (float(np.median(lifted.std(axis=0))) / 2 or 1e-9) / facts.largest, _spread(projections)
 
     blocks = -(-facts.n // block)
     parts = -(-facts.n // (every * query_block))
@@ -117,10 +164,10 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, projections: int
         if asks.all() or not asks.any():
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         ids, rows = both["vec_id"].to_numpy(np.int64), np.array(both["v"].to_list(), np.float64)
-        index = Index(ids[~asks], rows[~asks], directions, largest)
+        indexes = ranges(ids[~asks], rows[~asks], directions)
         out: list[tuple] = []
         for own, query in zip(ids[asks], rows[asks], strict=True):
-            found, scores = index.search(query, own, k, unit)
+            found, scores = best_of(indexes, query, own, k, unit, spread)
             out += zip([own] * len(found), found, scores, strict=True)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 

@@ -61,3 +61,15 @@ def test_edges(spark):
     assert found(N.nearest(few)) == brute([(i, v) for i, v, *_ in vectors[:5]], 20, 20)
     assert N.nearest(spark.createDataFrame([], SCHEMA)).collect() == []
     assert N.nearest(df.where("vec_id >= 200")).count() == 0
+
+
+def test_recall_on_uneven_norms(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    unit = [(r.vec_id, [float(x) for x in r.embedding]) for r in df.collect()]
+    rng = np.random.default_rng(5)
+    lengths = np.exp(rng.normal(0, 0.5, len(unit)))
+    for factors in (np.where(np.arange(len(unit)) == 7, 3.0, 1.0), lengths):
+        rows = [(i, [float(x) for x in np.array(v) * f]) for (i, v), f in zip(unit, factors, strict=True)]
+        wanted, got = brute(rows, 20, 50), found(N.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50))
+        assert got.keys() == wanted.keys()
+        assert np.mean([len({i for i, _ in wanted[q]} & {i for i, _ in got[q]}) / 20 for q in wanted]) >= 0.9
