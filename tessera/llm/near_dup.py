@@ -178,8 +178,8 @@ def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     """The pairs (a, b) of nodes with what their whole bags say: linked, head and size (of a and b), both (their
     overlap), excess (what b has beyond a)."""
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sources = nodes.join(asked, "node").select("node", "doc_id", "version")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("version"), "text").join(sources, ["doc_id", "version"])
+    sources = nodes.join(asked, "node").select("node", F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("version"), "text").join(sources, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
     bags = texts.select("node", "text").mapInArrow(_bags(shingle), "node binary, keys binary, counts binary").dropDuplicates(["node"])
     bags = written(bags, "bags")
     for side in "ab":
@@ -225,8 +225,8 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, similarity:
     kind = source.schema["doc_id"].dataType.simpleString()
     signed = written(source.mapInArrow(_signed(shingle, bands, rows), f"doc_id {kind}, version long, node binary, buckets array<long>"), "signatures")
 
-    named = signed.where("node is not null").groupBy("node")
-    nodes = written(named.agg(F.min(F.struct("doc_id", "version")).alias("_first"), F.min("doc_id").alias("least"), F.first("buckets").alias("buckets")), "nodes")
+    named, one = signed.where("node is not null").groupBy("node"), F.struct("doc_id", "version")  # a row with an id, if there is one
+    nodes = written(named.agg(F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), one)), F.min(one)).alias("_first"), F.min("doc_id").alias("least"), F.first("buckets").alias("buckets")), "nodes")
     nodes = nodes.select("node", "least", "buckets", "_first.doc_id", "_first.version")
     placed = nodes.select("node", F.explode("buckets").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

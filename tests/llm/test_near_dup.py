@@ -95,3 +95,13 @@ def test_a_family_without_its_origin(spark):
     rows = [(int(i), t, "v", "c") for i, t in enumerate(texts)]
     got = Counter((r.doc_id, r.class_id) for r in N.near_duplicate_classes(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == brute_classes([(d, t) for d, t, *_ in rows])
+
+
+def test_null_ids_keep_their_links(spark):
+    from tessera.llm.near_dup import near_duplicate_classes
+
+    words = [f"w{i}" for i in range(100)]
+    near, other = " ".join([*words[:99], "x"]), " ".join(f"v{i}" for i in range(100))
+    rows = [(1, near), (5, " ".join(words)), (None, " ".join(words)), (9, other), (None, other[:-3] + "y")]
+    got = near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.class_id) for r in got) == [(0, 1), (0, 9), (1, 1), (5, 1), (9, 9)]
