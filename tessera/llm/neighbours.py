@@ -1,19 +1,22 @@
 """Approximate nearest neighbours by collision-counting hashing with query-centred windows.
 
-An index block keeps, for each of `projections` random directions, its vectors' projections in sorted
-order. A query's window on a direction is centred on the query's own projection. By virtual rehashing the
-windows of all directions widen together, by `growth` a round; a vector collides on a direction once
-it lies in the window, and when its collisions reach the threshold it is verified on the original
-vectors. A query stops once enough vectors have been verified and the windows are so wide that a vector as good as the
-k-th best verified one collides often enough with a probability of SURE.
+A block keeps, for each of `projections` random directions, its vectors in the order of their projections. A
+query's window on a direction is centred on the query's own projection. By virtual rehashing the windows of all
+directions widen together, by `GROWTH` a round, and only what comes into a window is counted; a vector whose collisions
+reach the threshold is verified on the original vectors. A query stops once its windows are so wide that a vector as good
+as the k-th best verified one collides often enough with a probability of SURE. Nothing else ends the search, so that the
+number of verified vectors follows from how far the neighbours stand out and not from a share of the block.
 
 Largest inner product becomes nearest distance by one more component: sqrt(M * M - |x|**2) for a
 vector, 0 for a query, which is scaled to norm M. A block is cut into ranges of norms, each with its own M (its largest
-norm) and index, searched from the longest vectors down until no shorter one can reach the k-th best.
-
-Vectors are dealt to blocks of a bounded size, query blocks meet vector blocks one by one, each pair in
-a task of its own, and k rows a query and block go on. The result holds the k best over all blocks. Directions and the
-window unit are fitted on a bounded sample (`sample` vectors); every vector is indexed.
+norm) and sorted arrays, searched from the longest vectors down until no shorter one can reach the k-th best.
+
+Vectors are dealt to blocks by the same kind of projection: one more direction halves the cells each time the table doubles,
+and a cell that still is too large (copies) is split by a hash. A query first asks the block that it lies in. Its k-th best there
+gives the width of its windows on the dealing directions, and only blocks that these reach are asked, all at once and each
+in one round, since the width is known. A block is copied only if more than `query_block` queries reach it. The result
+holds the k best over all blocks. Medians and the window unit are fitted on a bounded sample (`sample` vectors); every
+vector is indexed.
 """
 
 from __future__ import annotations
@@ -29,14 +32,14 @@ from pyspark.sql import functions as F
 from .store import hash_sample, written
 
 K, EVERY = 20, 20
-PROJECTIONS, THRESHOLD, GROWTH = 64, 0.8, 1.15
-BLOCK, QUERY_BLOCK, SAMPLE = 16384, 1024, 4096
-#: A query verifies at least this share of a block (and 5 * k vectors) before it stops.
-VERIFIED = 0.15
-#: Norms of one index differ by this factor at most; the chance to verify a vector as good as the k-th best.
-RANGE, SURE = 1.1, 0.9
-#: Every so many vectors stand for all while a window is far too narrow; windows wider than WIDEST units hold everything.
-SPARSE, WIDEST = 16, 1000.0
+PROJECTIONS, THRESHOLD, GROWTH = 96, 0.8, 1.2
+BLOCK, QUERY_BLOCK, SAMPLE = 16384, 4096, 4096
+#: Norms of one range differ by this factor at most.
+RANGE = 1.1
+#: Chances to verify a vector as good as the k-th best in a block, and to ask its block.
+SURE, REACH = 0.9, 0.98
+#: Windows wider than so many norms hold everything.
+WIDEST = 1000.0
 
 
 def _finite(vector: Column) -> Column:
@@ -45,50 +48,57 @@ def _finite(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, good) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _lifted(vectors: np.ndarray, largest: np.ndarray | float) -> np.ndarray:
+    return np.column_stack((vectors, np.sqrt(np.maximum(largest**2 - (vectors**2).sum(axis=1), 0))))
+
+
 class Index:
-    """Sorted projections of one block's range of norms, and each vector's rank in them."""
+    """Sorted projections of one block's range of norms."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: np.ndarray, largest: float) -> None:
         self.ids, self.vectors, self.directions, self.largest = ids, vectors, directions, largest
-        lifted = np.column_stack((vectors, np.sqrt(np.maximum(largest**2 - (vectors**2).sum(axis=1), 0))))
-        places = (lifted @ directions).T
-        order = np.argsort(places, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(places, order, axis=1)
-        self.rank = np.empty(order.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)
-        np.put_along_axis(self.rank, order, np.arange(len(ids), dtype=self.rank.dtype)[None, :], axis=1)
-        self.some = np.ascontiguousarray(self.rank[:, ::SPARSE])
-
-    def _colliding(self, rank: np.ndarray, centre: np.ndarray, half: float, need: int) -> np.ndarray:
-        """Which vectors lie in at least `need` of the windows centre +- half: a window is a range of ranks."""
-        low = np.array([np.searchsorted(row, c - half) for row, c in zip(self.sorted, centre, strict=True)])
-        high = np.array([np.searchsorted(row, c + half, "right") for row, c in zip(self.sorted, centre, strict=True)])
-        low, width = low.astype(rank.dtype)[:, None], (high - low).astype(rank.dtype)[:, None]
-        inside = rank - low < width  # a rank below low wraps around
-        return np.flatnonzero(inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= need)
-
-    def search(self, query: np.ndarray, own: int, k: int, unit: float, spread: float, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the vectors that collide often enough; before: the best scores of other ranges."""
-        n, m, length = len(self.ids), len(self.sorted), float(np.linalg.norm(query))
-        centre = (query * (self.largest / length)) @ self.directions[:-1]
-        need, wanted, half = int(np.ceil(THRESHOLD * m)), min(n, max(5 * k, int(VERIFIED * n))), unit
-        found = np.arange(n)
-        if wanted < n:
-            # Rounds in which too few of every SPARSE-th vector collide are skipped for the rest.
-            while n > 64 * SPARSE and len(self._colliding(self.some, centre, half, need)) * SPARSE < 0.8 * wanted:
-                half *= GROWTH
-            while len(few := self._colliding(self.rank, centre, half, need)) < wanted and half < WIDEST * unit:
-                half *= GROWTH
-            known = np.concatenate((before, self._scores(few, query)[self.ids[few] != own]))
-            if len(few) >= wanted and len(known) >= k:
-                # The distance of a vector as good as the k-th best; a wider window can only raise that score.
-                worst = np.partition(known, -k)[-k]
-                wide = spread * math.sqrt(max(2 * self.largest**2 - 2 * self.largest * worst / length, 0.0))
-                found = few if half >= wide else self._colliding(self.rank, centre, wide, need)
-        scores, other = self._scores(found, query), self.ids[found] != own
-        return self.ids[found][other], scores[other]
-
-    def _scores(self, found: np.ndarray, query: np.ndarray) -> np.ndarray:
-        return (self.vectors[found] * query).sum(axis=1)
+        places = (_lifted(vectors, largest) @ directions).T
+        self.order = np.argsort(places, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(places, self.order, axis=1)
+        self.rank = np.empty(self.order.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.rank, self.order, np.arange(len(ids), dtype=self.rank.dtype)[None, :], axis=1)
+
+    def _collisions(self, centre: np.ndarray, half: float) -> np.ndarray:
+        """In how many of the windows centre +- half each vector lies. A window is a range of ranks: narrow ones are read
+        from the sorted arrays, for wide ones all ranks are compared."""
+        edges = np.array([np.searchsorted(row, (c - half, c + half)) for row, c in zip(self.sorted, centre, strict=True)])
+        low, high = edges[:, 0], edges[:, 1]
+        if (high - low).sum() * 8 < self.rank.size:
+            return np.bincount(np.concatenate([order[a:b] for order, a, b in zip(self.order, low, high, strict=True)]), minlength=len(self.ids))
+        low, width = low.astype(self.rank.dtype)[:, None], (high - low).astype(self.rank.dtype)[:, None]
+        return (self.rank - low < width).view(np.uint8).sum(axis=0, dtype=np.uint8)  # a rank below low wraps around
+
+    def search(self, query: np.ndarray, own: int, k: int, unit: float | None, spread: float, best: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the vectors that collide often enough; best: the k best scores of other ranges, floor: what the
+        k-th best has at least. Without a unit the first window is as wide as the floor asks."""
+        m, length = len(self.sorted), float(np.linalg.norm(query))
+        need, centre = int(np.ceil(THRESHOLD * m)), (query * (self.largest / length)) @ self.directions[:-1]
+
+        def wide(score: float) -> float:
+            """Half the width at which a vector of this score collides often enough."""
+            return spread * math.sqrt(max(2 * self.largest**2 - 2 * self.largest * score / length, 0.0)) + 1e-6 * self.largest
+
+        half, seen = wide(floor) if unit is None else unit * self.largest, np.zeros(len(self.ids), bool)
+        ids, scores = [], []
+        while True:
+            new = np.flatnonzero((self._collisions(centre, half) >= need) & ~seen if half < WIDEST * self.largest else ~seen)
+            seen[new] = True
+            new = new[self.ids[new] != own]
+            found = (self.vectors[new] * query).sum(axis=1)
+            ids.append(self.ids[new])
+            scores.append(found)
+            best = np.concatenate((best, found))
+            best = np.partition(best, -k)[-k:] if len(best) > k else best
+            worst = max(floor, float(best.min())) if len(best) == k else floor
+            wanted = wide(worst) if worst > -math.inf else math.inf
+            if half >= wanted or seen.all():
+                return np.concatenate(ids), np.concatenate(scores)
+            half = min(half * GROWTH, wanted)
 
 
 def ranges(ids: np.ndarray, vectors: np.ndarray, directions: np.ndarray) -> list[Index]:
@@ -104,19 +114,28 @@ def ranges(ids: np.ndarray, vectors: np.ndarray, directions: np.ndarray) -> list
     return out
 
 
-def best_of(indexes: list[Index], query: np.ndarray, own: int, k: int, unit: float, spread: float) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k best found in all ranges; unit is that of norm 1."""
+def best_of(indexes: list[Index], query: np.ndarray, own: int, k: int, unit: float | None, spread: float, floor: float = -math.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the k best found in all ranges that reach the floor; unit is that of norm 1."""
     ids, scores, length = np.empty(0, np.int64), np.empty(0), float(np.linalg.norm(query))
     for index in indexes:
-        if len(scores) == k and length * index.largest * (1 + 1e-9) < scores[-1]:
+        if length * index.largest * (1 + 1e-9) < (max(floor, scores[-1]) if len(scores) == k else floor):
             break  # no shorter vector can reach the k-th best
-        more, theirs = index.search(query, own, k, unit * index.largest, spread, scores)
-        ids, scores = np.concatenate((ids, more)), np.concatenate((scores, theirs))
+        more, theirs = index.search(query, own, k, unit, spread, scores, floor)
+        ids, scores = np.concatenate((ids, more[theirs >= floor])), np.concatenate((scores, theirs[theirs >= floor]))
         best = np.lexsort((ids, -scores))[:k]
         ids, scores = ids[best], scores[best]
     return ids, scores
 
 
+def first_window(sample: np.ndarray, share: float) -> float:
+    """Distance, by norm, within which a sampled vector has this share of its sample, or its nearest: a tenth have it nearer."""
+    some = sample[:256]
+    unit = lambda x: x / np.sqrt((x**2).sum(axis=1))[:, None]
+    cosine = np.sort(unit(some) @ unit(sample).T, axis=1)[:, ::-1]
+    at = min(int(share * len(sample)) + 1, len(sample) - 1)  # the first is the vector itself
+    return float(np.quantile(np.sqrt(np.maximum(2 - 2 * cosine[:, at], 0.0)), 0.1)) or 1e-6
+
+
 def _spread(m: int, sure: float = SURE) -> float:
     """Half a window's width, by distance, at which a vector collides on enough of m directions with probability `sure`."""
     need, low, high = int(np.ceil(THRESHOLD * m)), 0.0, 1.0
@@ -127,6 +146,35 @@ def _spread(m: int, sure: float = SURE) -> float:
     return NormalDist().inv_cdf((1 + min(high, 1 - 1e-12)) / 2)
 
 
+class Cells:
+    """The dealing directions with their medians: vectors to cells, queries to the cells that their windows reach."""
+
+    def __init__(self, directions: np.ndarray, sample: np.ndarray, largest: float) -> None:
+        self.directions, self.largest = directions, largest
+        self.medians = np.median(self._places(sample), axis=0)
+        self.bits = 1 << np.arange(len(self.medians))
+        sure = REACH ** (1 / max(1, len(self.medians)))
+        self.spread = NormalDist().inv_cdf((1 + sure) / 2)
+
+    def _places(self, vectors: np.ndarray) -> np.ndarray:
+        norms = np.sqrt((vectors**2).sum(axis=1))
+        top = RANGE ** (np.floor(np.log(np.maximum(norms, 1e-300)) / math.log(RANGE) + 0.5) + 0.5)
+        return _lifted(vectors / top[:, None], 1.0) @ self.directions
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        return (self._places(vectors) > self.medians) @ self.bits
+
+    def reached(self, query: np.ndarray, floor: float) -> np.ndarray:
+        """Cells that may hold a vector which scores at least the floor."""
+        length = float(np.linalg.norm(query))
+        near = floor / (length * self.largest * RANGE) if floor > 0 else -1.0
+        away = (query / length) @ self.directions[:-1] - self.medians
+        cells = np.array([(away > 0) @ self.bits], np.int64)
+        for bit in self.bits[np.abs(away) <= self.spread * math.sqrt(max(2 - 2 * near, 0.0)) + 1e-6]:
+            cells = np.concatenate((cells, cells ^ bit))
+        return cells
+
+
 def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, projections: int = PROJECTIONS, block: int = BLOCK, query_block: int = QUERY_BLOCK, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k vectors of largest inner product found for each query.
 
@@ -138,40 +186,64 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, projections: int
     spark = vectors.sparkSession
     usable = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).where(F.col("vec_id").isNotNull() & _finite(F.col("v")))
     usable = written(usable.distinct(), "vectors")
-    facts = usable.agg(F.count(F.lit(1)).alias("n"), F.mode(F.size("v"), deterministic=True).alias("d"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("largest")).first()
-    schema = "query_id long, vec_id long, score double"
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    facts = usable.agg(F.count(F.lit(1)).alias("n"), F.mode(F.size("v"), deterministic=True).alias("d"), F.max(norm).alias("largest")).first()
     if not facts.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     usable = usable.where(F.size("v") == facts.d)
     if projections > 255:
         raise ValueError("collisions are counted in one byte: 255 projections at most")
-    directions = np.random.default_rng(20).standard_normal((facts.d + 1, projections))
-    seen = hash_sample(usable, "vec_id", sample).collect()
-    lifted = np.array([r.v for r in seen])
-    lifted = np.column_stack((lifted, np.sqrt(np.maximum(facts.largest**2 - (lifted**2).sum(axis=1), 0)))) @ directions
-    unit, spread = (float(np.median(lifted.std(axis=0))) / 2 or 1e-9) / facts.largest, _spread(projections)
-
-    blocks = -(-facts.n // block)
-    parts = -(-facts.n // (every * query_block))
-    # Dealt by a hash of the row: sizes differ by chance only, whatever the ids.
-    indexed = usable.withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
-    asking = usable.where(F.col("vec_id") % every == 0).withColumn("p", F.pmod(F.xxhash64("v", "vec_id"), F.lit(parts)))
-    indexed = indexed.select("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), F.lit(False).alias("asks"), "vec_id", "v")
-    asking = asking.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "p", F.lit(True).alias("asks"), "vec_id", "v")
-
-    def answer(both: pd.DataFrame) -> pd.DataFrame:
+    halvings = max(0, math.ceil(math.log2(facts.n / block)))
+    directions = np.random.default_rng(20).standard_normal((facts.d + 1, projections + halvings))
+    directions, dealing = directions[:, :projections], directions[:, projections:]
+    seen = np.array([r.v for r in hash_sample(usable, "vec_id", sample).collect()])
+    spread = _spread(projections)
+    unit = first_window(seen, k / min(block, facts.n)) * spread
+    cells = Cells(dealing, seen, facts.largest)
+
+    @F.pandas_udf("long")
+    def cell_of(v: pd.Series) -> pd.Series:
+        return pd.Series(cells.of(np.stack(v.to_numpy())) if len(v) else np.empty(0), dtype="int64")
+
+    # A cell holds `block` vectors or fewer, more where the table is uneven: it has as many blocks as it needs.
+    dealt = written(usable.withColumn("cell", cell_of("v")), "dealt")
+    sizes = {r.cell: -(-r["count"] // block) for r in dealt.groupBy("cell").count().collect()}  # 2 * n / block rows at most
+    firsts = dict(zip(sizes, np.cumsum([0, *sizes.values()])[:-1].tolist(), strict=True))
+    numbers = F.broadcast(spark.createDataFrame([(c, firsts[c], sizes[c]) for c in sizes], "cell long, first long, blocks long"))  # one row a cell
+    indexed = dealt.join(numbers, "cell").select((F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks"))).alias("b"), "vec_id", "v")
+
+    def answers(both: pd.DataFrame, asks: np.ndarray, held: np.ndarray, home: bool) -> pd.DataFrame:
+        ids, rows, out = both["vec_id"].to_numpy(np.int64), np.stack(both["v"].to_numpy()), []
+        floors = np.full(len(ids), -math.inf) if home else both["floor"].to_numpy(np.float64)
+        indexes = ranges(ids[held], rows[held], directions) if asks.any() and held.any() else []
+        for own, query, floor in zip(ids[asks], rows[asks], floors[asks], strict=True):
+            found, scores = best_of(indexes, query, own, k, unit if floor == -math.inf else None, spread, floor)
+            out.append(pd.DataFrame({"query_id": own, "vec_id": found, "score": scores}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+    def at_home(both: pd.DataFrame) -> pd.DataFrame:
+        return answers(both, both["vec_id"].to_numpy(np.int64) % every == 0, np.ones(len(both), bool), True)
+
+    def elsewhere(both: pd.DataFrame) -> pd.DataFrame:
         asks = both["asks"].to_numpy(bool)
-        if asks.all() or not asks.any():
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, rows = both["vec_id"].to_numpy(np.int64), np.array(both["v"].to_list(), np.float64)
-        indexes = ranges(ids[~asks], rows[~asks], directions)
-        out: list[tuple] = []
-        for own, query in zip(ids[asks], rows[asks], strict=True):
-            found, scores = best_of(indexes, query, own, k, unit, spread)
-            out += zip([own] * len(found), found, scores, strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    best = indexed.unionByName(asking).groupBy("b", "p").applyInPandas(answer, schema)
+        return answers(both, asks, ~asks, False)
+
+    schema = "query_id long, vec_id long, score double"
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows a block
+    best = written(indexed.groupBy("b").applyInPandas(at_home, schema), "home")
+    if len(sizes) > 1 or max(sizes.values()) > 1:
+        floors = best.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+        asking = indexed.where(F.col("vec_id") % every == 0).join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-math.inf)))
+
+        @F.pandas_udf("array<long>")
+        def reached(v: pd.Series, floor: pd.Series) -> pd.Series:
+            return pd.Series([[b for c in cells.reached(np.asarray(q), f).tolist() if c in sizes for b in range(firsts[c], firsts[c] + sizes[c])] for q, f in zip(v, floor, strict=True)])
+
+        asking = asking.select("vec_id", "v", "floor", F.col("b").alias("_home"), F.explode(reached("v", "floor")).alias("b")).where("b <> _home").drop("_home")
+        asking = written(asking, "asking")
+        parts = asking.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("parts"))
+        spread_out = indexed.join(parts, "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"), F.lit(False).alias("asks"), "vec_id", "v", F.lit(0.0).alias("floor"))
+        asking = asking.join(parts, "b").select("b", F.pmod(F.xxhash64("v", "vec_id"), F.col("parts")).alias("p"), F.lit(True).alias("asks"), "vec_id", "v", "floor")
+        best = best.union(spread_out.unionByName(asking).groupBy("b", "p").applyInPandas(elsewhere, schema))
     ranked = best.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
