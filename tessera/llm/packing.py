@@ -19,7 +19,7 @@ import bisect
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -76,46 +76,49 @@ def _swapped(pattern: Pattern, out: Pattern, into: Pattern) -> Pattern:
     return tuple(sorted((*left, *into), reverse=True))
 
 
-def _best_move(donor: Pattern, bins: Counter, index: dict[int, tuple[list[int], list[Pattern]]], capacity: int) -> tuple | None:
+def _best_move(donor: Pattern, bins: Counter, index: dict[int, tuple[list[int], list[Pattern]]], backs: list[int], capacity: int) -> tuple | None:
     """(tokens gained, target, taken from the donor, given back) of the move that fills a fuller bin most."""
     fill, best = sum(donor), (0, None, (), ())
-    offers = [(x,) for x in set(donor)] + (sorted(set(combinations(donor, 2))) if len(donor) <= 64 else [])
+    kinds = Counter(donor)  # pairs of lengths, not of pieces: a bin holds few different lengths
+    offers = [(x,) for x in kinds] + [p for p in combinations_with_replacement(kinds, 2) if p[0] != p[1] or kinds[p[0]] > 1]
     for offer in offers:
         size = sum(offer)
-        for back in (0, *range(max(1, size - capacity), size)):  # 0: nothing comes back
+        for back in backs:  # 0: nothing comes back; gains fall
             gain = size - back
-            if gain <= best[0] or (not back and len(offer) > 1) or back not in index:
+            if gain <= best[0]:
+                break
+            if not back and len(offer) > 1:
                 continue
             gaps, patterns = index[back]
             for at in range(bisect.bisect_left(gaps, gain), len(gaps)):
                 target = patterns[at]
-                if bins[target] > (target == donor) and sum(target) + gain > fill:
+                if capacity - gaps[at] + gain <= fill:
+                    break  # the rest is emptier still
+                if bins[target] > (target == donor):
                     best = (gain, target, offer, (back,) if back else ())
                     break
     return best if best[1] else None
 
 
-def improve(bins: Counter, capacity: int, sweeps: int = 40) -> Counter:
-    """Local search on the underfull bins until a sweep finds no move, or for `sweeps` sweeps."""
-    bins = Counter(bins)
-    for _ in range(sweeps):
+def improve(bins: Counter, capacity: int) -> Counter:
+    """Local search on the underfull bins until a sweep finds no move. Each move raises the sum of squared fills, so it ends."""
+    bins, moved = Counter(bins), True
+    while moved:
         open_bins = sorted((p for p, n in bins.items() if n and sum(p) < capacity), key=lambda p: (sum(p), p))
         by_item: dict[int, list[tuple[int, Pattern]]] = defaultdict(list)
         for pattern in open_bins:
             for item in (0, *set(pattern)):
                 by_item[item].append((capacity - sum(pattern), pattern))
         index = {item: tuple(map(list, zip(*sorted(found), strict=True))) for item, found in by_item.items()}
-        moved = False
+        backs, moved = sorted(index), False
         for donor in open_bins:
-            while bins[donor] and (move := _best_move(donor, bins, index, capacity)):
+            while bins[donor] and (move := _best_move(donor, bins, index, backs, capacity)):
                 _, target, offer, back = move
                 n = bins[donor] // 2 if target == donor else min(bins[donor], bins[target])
                 for pattern, change in ((donor, -n), (target, -n), (_swapped(target, back, offer), n), (_swapped(donor, offer, back), n)):
                     bins[pattern] += change
                 moved = True
         bins = Counter({p: n for p, n in bins.items() if n and p})
-        if not moved:
-            break
     return bins
 
 

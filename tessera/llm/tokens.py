@@ -1,8 +1,9 @@
 """Token ids of a public byte-level vocabulary, as the `tokenizers` library gives them.
 
 tiktoken, given the same vocabulary as ranks, gives the same ids several times as fast. It serves texts
-whose characters every version of the Unicode tables classes alike; a text with any other character
-goes through `tokenizers` itself. Strings that look like special tokens are ordinary text.
+whose characters every version of the Unicode tables classes alike; a text with any other character, or with a
+string that the vocabulary lists as a token of its own (a special token gets its one id), goes through
+`tokenizers` itself.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ class Encoder:
             merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
         self.exact = Tokenizer.from_file(vocabulary)
-        self.exact.encode_special_tokens = True
+        self.listed = [token.content for token in self.exact.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> np.ndarray:
-        ids = self.fast.encode_ordinary(text) if SETTLED.fullmatch(text) else self.exact.encode(text, add_special_tokens=False).ids
+        plain = SETTLED.fullmatch(text) and not any(token in text for token in self.listed)
+        ids = self.fast.encode_ordinary(text) if plain else self.exact.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4")
 
 
