@@ -27,6 +27,7 @@ its pairs. No step gathers a bucket in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,7 +88,9 @@ def signature(keys: np.ndarray, counts: np.ndarray, registers: int) -> np.ndarra
             gaps = -np.log(((state >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / (registers * width[at])[:, None]
             times = time[at][:, None] + np.cumsum(gaps, axis=1)
             name = H.mix(state)
-            weight = low[at][:, None] + ((name >> np.uint64(44)) % width[at][:, None].astype(np.uint64)).astype(np.int64)
+            weight = np.broadcast_to(low[at][:, None], name.shape).copy()
+            wide = width[at] > 1  # a power of two
+            weight[wide] += (H.mix(name[wide]) & (width[at][wide] - 1).astype(np.uint64)[:, None]).astype(np.int64)
             hit = (times <= until) & (weight < count[at][:, None])
             name, when = name[hit], times[hit]
             register = ((name >> np.uint64(32)) & np.uint64(0xFFF)) % np.uint64(registers)
@@ -174,14 +177,16 @@ def _verified(similarity: float):
     return run
 
 
-def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes with what their whole bags say: linked, head and size (of a and b), both (their
-    overlap), excess (what b has beyond a)."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _whole_bags(asked: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, keys, counts) of the asked nodes, from the one row that stands for each: the only step that shuffles texts."""
     sources = nodes.join(asked, "node").select("node", F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("version"), "text").join(sources, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
-    bags = texts.select("node", "text").mapInArrow(_bags(shingle), "node binary, keys binary, counts binary").dropDuplicates(["node"])
-    bags = written(bags, "bags")
+    return written(texts.select("node", "text").mapInArrow(_bags(shingle), "node binary, keys binary, counts binary").dropDuplicates(["node"]), "bags")
+
+
+def _compared(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes with what their whole bags say: linked, head and size (of a and b), both (their
+    overlap), excess (what b has beyond a)."""
     for side in "ab":
         pairs = pairs.join(bags.select(F.col("node").alias(side), F.col("keys").alias(f"keys_{side}"), F.col("counts").alias(f"counts_{side}")), side)
     return written(pairs.mapInArrow(_verified(similarity), "a binary, b binary, linked boolean, head long, size long, both long, excess array<long>"), "compared")
@@ -194,21 +199,27 @@ def _unheaded(compared: DataFrame, roots: DataFrame, similarity: float) -> DataF
     heads = known.groupBy("a").agg(F.count(F.lit(1)).alias("_n"), F.min("root_b").alias("_low"), F.max("root_b").alias("_high")).where("_n > 1 and _low < _high").select("a")
     known = written(known.join(heads, "a").select("a", "b", "head", "size", "both", "excess", "root_b", (F.col("root_a") != F.col("root_b")).alias("loose")), "members")
 
-    # The elements of each member, rarest in its head's group first.
+    # The elements of each member, rarest in its head's group first. As sizes of a link differ by `similarity` at most, a member's
+    # own numbers bound how many of them a link needs, hence which of its elements can be the first common one.
+    least = F.greatest(F.ceil(similarity * F.col("size") - F.col("both") - 1e-6), F.lit(1))
     spread = known.select("a", "b", F.explode("excess").alias("element"))
     often = spread.groupBy("a", "element").agg(F.count(F.lit(1)).alias("often"))
     order = Window.partitionBy("a", "b").orderBy("often", "element")  # one document's elements
     ranked = spread.join(often, ["a", "element"]).withColumn("rank", F.row_number().over(order)).where("often > 1")
-    ranked = written(ranked.join(known.select("a", "b", "size", "both", F.size("excess").alias("own"), "root_b", "loose"), ["a", "b"]), "ranked")
+    own = known.select("a", "b", "size", "both", F.size("excess").alias("own"), "root_b", "loose", least.alias("_least"))
+    ranked = written(ranked.join(own, ["a", "b"]).where(F.col("rank") <= F.col("own") - F.col("_least") + 1).drop("_least"), "ranked")
 
-    side = lambda df, name: df.select("a", *(["element"] if "element" in df.columns else []), *(F.col(c).alias(f"{c}_{name}") for c in df.columns if c not in ("a", "element")))
+    side = lambda df, name: df.select("a", *(c for c in ("element", "_step") if c in df.columns), *(F.col(c).alias(f"{c}_{name}") for c in df.columns if c not in ("a", "element", "_step")))
     needs = F.ceil(similarity / (1 + similarity) * (F.col("size_x") + F.col("size_y")) - F.least("both_x", "both_y") - 1e-6)
     meets = (F.col("rank_x") <= F.col("own_x") - needs + 1) & (F.col("rank_y") <= F.col("own_y") - needs + 1)
     apart = F.col("root_b_x") != F.col("root_b_y")
     alike = side(ranked.where("loose"), "x").join(side(ranked, "y"), ["a", "element"]).where(apart & meets)
-    # Without a common element beyond the head: x is not linked to the head, so that y must be shorter than it.
-    bare = known.select("a", "b", "head", "size", "both", "root_b", "loose")
-    short = side(bare.where("loose"), "x").join(side(bare.where("size < head"), "y"), "a").where(apart & (needs <= 0))
+    # Without a common element beyond the head: x is not linked to the head, so that y must be shorter than it. Both lie in the head
+    # almost whole, and their sizes are of one step or of neighbouring ones.
+    step = F.floor(F.log(F.col("size").cast("double")) / -math.log(similarity))
+    bare = known.where(F.col("both") >= similarity * F.col("size") - 1e-6).select("a", "b", "head", "size", "both", "root_b", "loose", step.alias("_step"))
+    near = bare.where("size < head").withColumn("_step", F.explode(F.array(F.col("_step") - 1, F.col("_step"), F.col("_step") + 1)))
+    short = side(bare.where("loose"), "x").join(side(near, "y"), ["a", "_step"]).where(apart & (needs <= 0))
     pair = F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")
     return alike.select(*pair).union(short.select(*pair)).distinct()
 
@@ -236,13 +247,14 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, similarity:
     members = shared.join(heads, "bucket").where("node <> head")
 
     pairs = written(members.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    compared = _compared(pairs, nodes, docs, shingle, similarity)
+    bags = _whole_bags(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, docs, shingle)
+    compared = _compared(pairs, bags, similarity)
     links = compared.where("linked").select("a", "b")
     roots = components(links)
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(_unheaded(compared, roots, similarity).join(tested, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        roots = components(links.union(_compared(rest, nodes, docs, shingle, similarity).where("linked").select("a", "b")))
+        roots = components(links.union(_compared(rest, bags, similarity).where("linked").select("a", "b")))
 
     rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     classes = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id")

@@ -105,3 +105,23 @@ def test_null_ids_keep_their_links(spark):
     rows = [(1, near), (5, " ".join(words)), (None, " ".join(words)), (9, other), (None, other[:-3] + "y")]
     got = near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.class_id) for r in got) == [(0, 1), (0, 9), (1, 1), (5, 1), (9, 9)]
+
+
+def test_parts_of_one_long_document(spark):
+    """Members that lie in their head, unlike it and like one another."""
+    rng = np.random.default_rng(21)
+    whole = [f"b{i}" for i in range(200)]
+    texts = [" ".join(whole)]
+    for i in range(60):
+        start = int(rng.integers(0, 80))
+        texts.append(" ".join(whole[start : start + int(rng.integers(100, 120))]))
+    rows = [(i, t, "v", "c") for i, t in enumerate(texts)]
+    got = Counter((r.doc_id, r.class_id) for r in N.near_duplicate_classes(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == brute_classes([(d, t) for d, t, *_ in rows])
+
+
+def test_counts_beyond_a_million_are_unbiased():
+    keys = np.array([1, 2], np.uint64)
+    a, b = (keys, np.array([3_000_000, 500_000])), (keys, np.array([2_000_000, 900_000]))
+    same = np.mean([(N.signature(a[0] + np.uint64(7 * i), a[1], 96) == N.signature(b[0] + np.uint64(7 * i), b[1], 96)).mean() for i in range(12)])
+    assert abs(same - N.overlap(a, b)) < 0.06
