@@ -57,6 +57,7 @@ class Index:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: np.ndarray, largest: float) -> None:
         self.ids, self.vectors, self.directions, self.largest = ids, vectors, directions, largest
+        self.rough = (vectors / largest).astype(np.float32)
         places = (_lifted(vectors, largest) @ directions).T
         self.order = np.argsort(places, axis=1, kind="stable")
         self.sorted = np.take_along_axis(places, self.order, axis=1)
@@ -89,6 +90,9 @@ class Index:
             new = np.flatnonzero((self._collisions(centre, half) >= need) & ~seen if half < WIDEST * self.largest else ~seen)
             seen[new] = True
             new = new[self.ids[new] != own]
+            if len(best) == k or floor > -math.inf:  # single precision sorts out what is below the k-th best by far more than it may err
+                worst = max(floor, float(best.min()) if len(best) == k else floor) / (length * self.largest)
+                new = new[self.rough[new] @ (query / length).astype(np.float32) >= worst - 1e-4]
             found = (self.vectors[new] * query).sum(axis=1)
             ids.append(self.ids[new])
             scores.append(found)
