@@ -8,10 +8,12 @@ the window. Equal windows have equal anchors, so an anchor's count is never belo
 windows, and neighbouring windows mostly share one: there is about one anchor for every
 thirteen windows.
 
-1. Count-min pass. Each partition counts its anchors (once a document) in a sketch of `depth`
-   rows of `cells` cells; the partition sketches are merged by segment, and one bit a cell,
-   "counted twice or more", comes back: depth * cells / 8 bytes whatever the input. Estimates
-   are too high or exact, never too low, so no repeated window is lost.
+1. Count-min pass. Each partition counts its anchors (once a document) in a sketch of `DEPTH`
+   rows; the partition sketches are merged by segment, and one bit a cell, "counted twice or
+   more", comes back. Estimates are too high or exact, never too low, so no repeated window is
+   lost. The sketch is sized from the texts' bytes, so that it sorts out as large a share of the anchors in a large
+   table as in a small one. Where that is more than `most_cells`, anchors are dealt to rounds by
+   their hash: each round has a sketch of that size for its own anchors, and reads the texts again.
 2. Exact pass, over the runs of windows whose anchor is estimated repeated. A run is the
    consecutive windows of one document with one anchor, keyed by anchor and the hash of its
    windows. Copies of a run after its first document are removed whole. Where an anchor
@@ -19,8 +21,8 @@ thirteen windows.
    grouped one by one. Keys hold 128 bits.
 
 Nothing is collected by group: both groupings are minima with map-side combination, so a
-passage in a third of all documents costs one row a task. The joins back are plain equi-joins that
-adaptive execution can split where a key is hot.
+passage in a third of all documents costs one row a task. In the joins back, keys that hold more than a
+thousandth of all rows, a thousand keys at most, are broadcast; the rest are shuffled.
 """
 
 from __future__ import annotations
@@ -38,8 +40,12 @@ from .batches import parts
 from .store import written
 
 WIDTH = 50
-CELLS, DEPTH = 1 << 25, 2
+DEPTH = 3
+#: Cells of a row: one for so many bytes of text (three for each two anchors or more), between these bounds.
+BYTES_A_CELL, LEAST_CELLS, MOST_CELLS = 48, 1 << 20, 1 << 29
 SEGMENT = 1 << 16
+#: Keys with more than one row of so many are hot.
+HOT = 1000
 #: Anchors that a task holds before it passes its sketch on.
 FLUSH = 1 << 21
 
@@ -55,7 +61,12 @@ def cells_of(keys: np.ndarray, row: int, cells: int) -> np.ndarray:
     return H.mix(keys + np.uint64(0x9E3779B97F4A7C15 * (row + 1) & 0xFFFFFFFFFFFFFFFF)) & np.uint64(cells - 1)
 
 
-def _partial_sketches(width: int, cells: int, depth: int):
+def round_of(keys: np.ndarray, rounds: int) -> np.ndarray:
+    """The round of each key."""
+    return H.mix(keys) % np.uint64(rounds)
+
+
+def _partial_sketches(width: int, cells: int, depth: int, turn: int, rounds: int):
     """Texts to sparse sketches: per row and segment, the places counted once and those counted more often."""
 
     def sketch(keys: list[np.ndarray]) -> pa.RecordBatch:
@@ -75,6 +86,7 @@ def _partial_sketches(width: int, cells: int, depth: int):
         for batch in batches:
             for text in batch.column(0):
                 found = np.unique(anchors(H.words(text.as_py() or ""), width))
+                found = found[round_of(found, rounds) == turn] if rounds > 1 else found
                 if len(found):
                     held.append(found)
                     n += len(found)
@@ -101,9 +113,16 @@ def _merge_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([segment], pa.int32()), pa.array([bits], pa.binary())], ["row", "segment", "bits"])
 
 
-def repeated_cells(docs: DataFrame, width: int = WIDTH, cells: int = CELLS, depth: int = DEPTH) -> np.ndarray:
-    """The merged sketch as bits (depth, cells / 8): cells that are counted twice or more."""
-    partial = docs.select("text").mapInArrow(_partial_sketches(width, cells, depth), "row int, segment int, once binary, more binary")
+def sketch_size(docs: DataFrame, most_cells: int = MOST_CELLS) -> tuple[int, int]:
+    """(cells of a row, rounds) for the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted = max(LEAST_CELLS, 1 << max(0, size // BYTES_A_CELL - 1).bit_length())
+    return min(wanted, most_cells), max(1, wanted // most_cells)
+
+
+def repeated_cells(docs: DataFrame, width: int, cells: int, depth: int = DEPTH, turn: int = 0, rounds: int = 1) -> np.ndarray:
+    """The merged sketch of one round as bits (depth, cells / 8): cells that are counted twice or more."""
+    partial = docs.select("text").mapInArrow(_partial_sketches(width, cells, depth, turn, rounds), "row int, segment int, once binary, more binary")
     merged = partial.repartition("row", "segment").mapInArrow(_merge_sketches, "row int, segment int, bits binary")
     bits = np.zeros((depth, cells // 8), np.uint8)
     for row, segment, part in merged.collect():  # depth * cells / 8 bytes in all
@@ -120,7 +139,7 @@ def estimated_repeated(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(width: int, bits):
+def _runs(width: int, bits, turn: int, rounds: int):
     """(doc_id, version, text) to the runs whose anchor is estimated repeated; equal runs of a document are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +154,7 @@ def _runs(width: int, bits):
                 starts = np.r_[0, np.flatnonzero(anchor[1:] != anchor[:-1]) + 1]
                 sizes = np.diff(np.r_[starts, len(anchor)])
                 keep = estimated_repeated(anchor[starts], sketch)
+                keep &= (round_of(anchor[starts], rounds) == turn) if rounds > 1 else True
                 if not keep.any():
                     continue
                 window = H.windows(words, width)
@@ -171,28 +191,44 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(at.astype(np.int32)), pa.array(window)], ["doc_id", "version", "anchor", "content", "at", "window"])
 
 
-def repeated_ranges(docs: DataFrame, width: int = WIDTH, cells: int = CELLS, depth: int = DEPTH) -> DataFrame:
+def joined_hot(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows join facts, one row a key, on keys. Facts whose `count` of rows is more than a thousandth of the table (hence a
+    thousand at most) are broadcast, so that no task gets all rows of a hot key. Both tables are read more than once: written ones."""
+    hot = F.col(count) * HOT > rows.count()
+    few = F.broadcast(facts.where(hot).drop(count))
+    rest = rows.join(F.broadcast(facts.where(hot).select(*keys)), keys, "left_anti")
+    return rows.join(few, keys).unionByName(rest.join(facts.where(~hot).drop(count), keys))
+
+
+def repeated_ranges(docs: DataFrame, width: int = WIDTH, most_cells: int = MOST_CELLS, depth: int = DEPTH) -> DataFrame:
     """(doc_id, version, n, start): n windows from word `start` on that a smaller doc_id has too.
 
     version is a hash of the text; it keeps rows apart that share a doc_id.
     """
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(repeated_cells(docs, width, cells, depth))
+    cells, rounds = sketch_size(docs, most_cells)
     source = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    runs = written(source.mapInArrow(_runs(width, bits), "doc_id long, version long, anchor long, content long, n int, starts array<int>, windows binary"), "runs")
-
-    first = runs.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    runs = None
+    for turn in range(rounds):
+        bits = spark.sparkContext.broadcast(repeated_cells(docs, width, cells, depth, turn, rounds))
+        found = written(source.mapInArrow(_runs(width, bits, turn, rounds), "doc_id long, version long, anchor long, content long, n int, starts array<int>, windows binary"), "runs")
+        runs = found if runs is None else runs.unionByName(found)
+        bits.unpersist()
+
+    first = runs.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("_rows"))
     first = written(first, "first-runs")
     several = first.groupBy("anchor").agg(F.min("first").alias("_min"), F.max("last").alias("_max"), F.count(F.lit(1)).alias("_runs"))
-    several = several.where((F.col("_runs") > 1) & (F.col("_min") < F.col("_max"))).select("anchor")
+    several = written(several.where((F.col("_runs") > 1) & (F.col("_min") < F.col("_max"))).select("anchor", "_runs"), "several")
 
-    later = runs.drop("windows").join(first.where("first < last").select("anchor", "content", "first"), ["anchor", "content"]).where("doc_id > first")
+    later = joined_hot(runs.drop("windows"), first.where("first < last").select("anchor", "content", "first", "_rows"), ["anchor", "content"], "_rows").where("doc_id > first")
     later = later.select("doc_id", "version", "n", F.explode("starts").alias("start"))
-    heads = runs.join(first.join(several, "anchor", "left_semi").select("anchor", "content", F.col("first").alias("doc_id")), ["anchor", "content", "doc_id"])
+    opening = joined_hot(first.select("anchor", "content", F.col("first").alias("doc_id")), several, ["anchor"], "_runs")
+    heads = runs.join(opening, ["anchor", "content", "doc_id"])
     heads = written(heads.select("doc_id", "version", "anchor", "content", "n", "starts", "windows"), "heads")
     opened = written(heads.drop("starts").mapInArrow(_opened, "doc_id long, version long, anchor long, content long, at int, window long"), "windows")
-    least = opened.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    single = opened.join(least.drop("last"), ["anchor", "window"]).where("doc_id > first").select("doc_id", "version", "anchor", "content", "at")
+    least = opened.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("_rows"))
+    least = written(least.where("first < last").drop("last"), "least")
+    single = joined_hot(opened, least, ["anchor", "window"], "_rows").where("doc_id > first").select("doc_id", "version", "anchor", "content", "at")
     single = single.join(heads.select("doc_id", "version", "anchor", "content", "starts"), ["doc_id", "version", "anchor", "content"])
     single = single.select("doc_id", "version", F.lit(1).alias("n"), F.explode(F.transform("starts", lambda s: s + F.col("at"))).alias("start"))
     return later.unionByName(single)
@@ -224,12 +260,12 @@ def _kept(width: int, with_text: bool):
     return run
 
 
-def _joined(docs: DataFrame, width: int, cells: int, depth: int) -> DataFrame:
-    ranges = repeated_ranges(docs, width, cells, depth).groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+def _joined(docs: DataFrame, width: int, most_cells: int, depth: int) -> DataFrame:
+    ranges = repeated_ranges(docs, width, most_cells, depth).groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     return docs.withColumn("version", F.xxhash64("text")).join(ranges, ["doc_id", "version"], "left")
 
 
-def dedup_report(docs: DataFrame, width: int = WIDTH, cells: int = CELLS, depth: int = DEPTH) -> DataFrame:
+def dedup_report(docs: DataFrame, width: int = WIDTH, most_cells: int = MOST_CELLS, depth: int = DEPTH) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed and kept_sha256, the SHA-256 of the kept words joined by a space.
 
     Null and empty texts have no words and the digest of nothing. A null doc_id is neither smaller nor
@@ -237,11 +273,11 @@ def dedup_report(docs: DataFrame, width: int = WIDTH, cells: int = CELLS, depth:
     remove one another's words; equal rows give equal results. Other columns are left out; an empty table
     gives an empty one. Texts may be of any length; memory is a small multiple of one text.
     """
-    rows = _joined(docs.select("doc_id", "text"), width, cells, depth).select("doc_id", "text", "ranges")
+    rows = _joined(docs.select("doc_id", "text"), width, most_cells, depth).select("doc_id", "text", "ranges")
     return rows.mapInArrow(_kept(width, False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def dedup_texts(docs: DataFrame, width: int = WIDTH, cells: int = CELLS, depth: int = DEPTH) -> DataFrame:
+def dedup_texts(docs: DataFrame, width: int = WIDTH, most_cells: int = MOST_CELLS, depth: int = DEPTH) -> DataFrame:
     """docs with the removed words taken out of `text`; a text that loses nothing stays as it is.
 
     A text that loses words is its kept words joined by a space. Rows are never dropped; other columns are kept.
@@ -249,7 +285,7 @@ def dedup_texts(docs: DataFrame, width: int = WIDTH, cells: int = CELLS, depth:
     names = [f"_own_{i}" for i in range(len(docs.columns))]
     carried = {n: f for n, f in zip(names, docs.schema.fields, strict=True) if f.name not in ("doc_id", "text")}
     rows = docs.select("doc_id", "text", *(F.col(f"`{f.name}`").alias(n) for n, f in carried.items()))
-    rows = _joined(rows, width, cells, depth).drop("version")
+    rows = _joined(rows, width, most_cells, depth).drop("version")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields if f.name not in ("text", "ranges")}
     schema = ", ".join(f"`{n}` {k}" for n, k in kinds.items()) + ", n_words long, n_removed long, text string"
     out = rows.mapInArrow(_kept(width, True), schema)

@@ -30,7 +30,8 @@ def brute(rows, width):
 
 
 @pytest.mark.parametrize("width", [4, 7, 50])
-def test_against_brute_force(spark, width):
+def test_against_brute_force(spark, width, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 20)  # a few hot keys, most are not
     rng = np.random.default_rng(width)
     vocabulary = [f"w{i}" for i in range(400)] + ["é", "\x1c", "a b", "Ω"]
     passages = [" ".join(rng.choice(vocabulary, rng.integers(width - 1, 3 * width))) for _ in range(12)]
@@ -42,9 +43,9 @@ def test_against_brute_force(spark, width):
     rows = [(int(i), t, "x", 1) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
     rows += [rows[0], (rows[1][0], texts[2], "x", 1), (None, texts[3], "x", 1), (None, texts[3], "x", 1)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = Counter(tuple(r) for r in S.dedup_report(docs, width, cells=1 << 16).collect())
+    got = Counter(tuple(r) for r in S.dedup_report(docs, width, most_cells=1 << 19).collect())
     assert got == brute(rows, width)
-    kept = S.dedup_texts(docs, width, cells=1 << 16)
+    kept = S.dedup_texts(docs, width)
     assert kept.columns == docs.columns and kept.count() == len(rows)
     assert Counter((r.doc_id, hashlib.sha256(b" ".join((r.text or "").encode().split())).hexdigest()) for r in kept.collect()) == Counter((d, h) for (d, _, _, h), n in got.items() for _ in range(n))
 
@@ -60,5 +61,11 @@ def test_sketch_never_underestimates(spark):
     assert S.estimated_repeated(fresh, bits).mean() < 0.05
 
 
+def test_the_sketch_follows_the_texts(spark):
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat('word ', 500000) AS text")
+    assert S.sketch_size(docs) == (1 << 21, 1) and S.sketch_size(docs, 1 << 18) == (1 << 18, 8)
+    assert S.sketch_size(docs.limit(0)) == (S.LEAST_CELLS, 1)
+
+
 def test_empty(spark):
     assert S.dedup_report(spark.createDataFrame([], SCHEMA)).collect() == []
