@@ -46,7 +46,7 @@ def test_probabilities_sum_to_one(spark):
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(rng.choice(words, 30, p=np.r_[np.full(20, 0.04), np.full(40, 0.005)]))) for i in range(60)]
-    model, counts = B.fit(spark.createDataFrame(rows, "doc_id long, text string"), core=15, classes=4, head=30, least=3)
+    model, counts, _ = B.fit(spark.createDataFrame(rows, "doc_id long, text string"), core=15, classes=4, head=30, least=3)
     known = {r.word.encode(): r.n for r in counts.collect()}
     rest = model.of[-1]
     for before in range(len(model.transition)):
@@ -58,8 +58,8 @@ def test_probabilities_sum_to_one(spark):
             else:
                 total += 10 ** (model.transition[before, model.of[i]] + model.emission[i])
         total += 10 ** model.transition[before, rest] * model.unseen
-        bands = set(range(len(model.transition))) - {rest} - set(model.of[:-1].tolist())
-        total += sum(10 ** model.transition[before, c] for c in bands)  # classes without words
+        empty = set(range(len(model.transition))) - {rest} - set(model.of[:-1].tolist())
+        total += sum(10 ** model.transition[before, c] for c in empty)  # classes without words
         assert math.isclose(total, 1, rel_tol=1e-9)
 
 
@@ -74,6 +74,41 @@ def test_exchange_finds_alternating_classes():
     assert len(set(of[0:20:2])) == 1 and len(set(of[1:20:2])) == 1 and of[0] != of[1]
 
 
+def test_gains_are_changes_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    words, classes = 30, 5
+    pairs = rng.integers(0, 4, (words, words))
+    of = np.r_[rng.integers(0, classes, words - 6), np.full(4, classes), np.full(2, classes + 1)]  # 4 to be inserted, 2 outside
+    group = lambda of: np.array([[pairs[np.ix_(of == a, of == b)].sum() for b in range(classes + 2)] for a in range(classes + 2)])
+    of_class = np.eye(classes + 2, dtype=int)[of]
+    apart = pairs - np.diag(np.diag(pairs))
+    best, gain = B.best_classes((apart.T @ of_class), apart @ of_class, np.diag(pairs), of, group(of), classes)
+
+    def value(of):  # the size of a class as the mean of what stands before and after
+        grouped = group(of)
+        size = (grouped.sum(axis=0) + grouped.sum(axis=1)) / 2
+        return B._xlogx(grouped).sum() - 2 * B._xlogx(size[:classes]).sum()
+
+    for w in range(words - 6):
+        changed = [value(np.r_[of[:w], c, of[w + 1 :]]) - value(of) for c in range(classes)]
+        assert math.isclose(max(changed), gain[w], abs_tol=1e-6) and math.isclose(changed[best[w]], max(changed), abs_tol=1e-6)
+    for w in range(words - 6, words - 2):
+        assert best[w] == np.argmax([value(np.r_[of[:w], c, of[w + 1 :]]) for c in range(classes)])
+
+
+def test_rare_words_join_the_class_of_their_contexts(spark):
+    rng = np.random.default_rng(6)
+    kinds = [[f"{k}{i}" for i in range(40)] for k in "abc"]
+    weights = np.array([40.0] * 8 + [1.0] * 32) / 352
+    texts = [" ".join(str(rng.choice(kinds[i % 3], p=weights)) for i in range(60)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model, _, _ = B.fit(docs, core=25, classes=4, head=1000, least=3)
+    of = {w.decode(): model.of[i] for w, i in model.vocabulary.index.items()}
+    homes = [Counter(c for w, c in of.items() if w[0] == k) for k in "abc"]
+    assert sum(h.most_common(1)[0][1] for h in homes) >= 0.95 * sum(sum(h.values()) for h in homes)
+    assert len({h.most_common(1)[0][0] for h in homes}) == 3
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (None, "Ab aB É \x1c"), (3, "ab " * 20000), (3, "other text"), (4, "ab c"), (4, "ab c"), (19, "never seen")]
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
