@@ -5,7 +5,7 @@ length class and their pairs). A classifier a view starts from the labelled docu
 either view's classifier scores all unlabelled documents in one distributed pass and marks those that it is surest of, in the
 classes' proportions, and the marks go to the other view's training set only. Scores of both views are then calibrated on labelled
 documents that took no part in the fit, and the calibrated log-odds are combined by a last
-logistic model on the same documents. Features of all documents are computed once and written; every pass reads them.
+logistic model, fitted on further such documents, in which no view counts against its own verdict. Features of all documents are computed once and written; every pass reads them.
 
 Labelled documents (`most` at most) are chosen by a hash of doc_id. A round's marks are a share of `pool` (or of the unlabelled
 documents, if those are fewer), whatever the number of documents they are chosen from. Both are parameters of the fit alone.
@@ -171,11 +171,22 @@ def co_train(views: tuple[list[np.ndarray], list[np.ndarray]], y: np.ndarray, po
         for v, marks in enumerate(source.best(fitted, [set(given[1]), set(given[0])], wanted, sure)):
             for i, label, features in marks:
                 given[1 - v].setdefault(i, (label, features[1 - v]))
-    rest = np.flatnonzero(held)
+    order = np.flatnonzero(held)[np.argsort(y[held], kind="stable")]  # either half has its share of both classes
     for view, rows in zip(fitted, views, strict=True):
-        view.slope, view.intercept = fit_platt(view.raw([rows[i] for i in rest]), y[rest])
-    both = np.column_stack([view.odds([rows[i] for i in rest]) for view, rows in zip(fitted, views, strict=True)])
-    return Scorer(*fitted, fit_logistic(both, y[rest], penalty=1e-2, rounds=400))
+        view.slope, view.intercept = fit_platt(view.raw([rows[i] for i in order[::2]]), y[order[::2]])
+    rest = order[1::2] if len(order) > 3 else order
+    return Scorer(*fitted, combination(np.column_stack([view.odds([rows[i] for i in rest]) for view, rows in zip(fitted, views, strict=True)]), y[rest]))
+
+
+def combination(odds: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the views' log-odds and the intercept; a view whose weight would be negative is left out."""
+    weights = fit_logistic(odds, y, penalty=1e-2, rounds=400)
+    if (weights[:-1] < 0).any():
+        use = weights[:-1] > 0 if (weights[:-1] > 0).any() else np.array([True, False])
+        alone = fit_logistic(odds[:, use], y, penalty=1e-2, rounds=400)
+        weights = np.zeros(odds.shape[1] + 1)
+        weights[:-1][use], weights[-1] = np.maximum(alone[:-1], 0), alone[-1]
+    return weights
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import set_aside, written
 
 WIDTH, LEAST, RUNS = 8, 4, 6
 #: Bytes of the table that marks the hashes of the benchmark's runs.
@@ -110,9 +110,10 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows whose text holds a benchmark item; all their columns stay."""
-    bad = contaminated_pairs(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left_anti")
+    """docs without the rows whose text holds a benchmark item; all their columns stay, whatever their names."""
+    plain, back = set_aside(docs)
+    bad = contaminated_pairs(plain, benchmark).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
+    return back(plain.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left_anti"))
 
 
 def contaminated_sql(width: int = WIDTH, least: int = LEAST, runs: int = RUNS) -> str:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import hashing as H
 from .batches import parts
 from .components import components
-from .store import written
+from .store import set_aside, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -262,10 +262,18 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, similarity:
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each class: that of the least doc_id. Rows without words stay, all of them."""
-    classes = near_duplicate_classes(docs, shingle, similarity)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
+    """docs with one row of each class: that of the least doc_id. Rows without words stay, all of them.
+
+    Of rows equal in doc_id and text the one whose other columns have the least hash stays. All columns are kept, whatever
+    their names; a class without any doc_id keeps one row a text.
+    """
+    plain, back = set_aside(docs)
+    classes = near_duplicate_classes(plain.select("doc_id", "text"), shingle, similarity)
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "version").distinct()
     worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.where(worded).withColumn("_version_of", F.xxhash64("text"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_version_of") == F.col("_version")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_version_of"]).select(*docs.columns).unionByName(docs.where(~worded))
+    others = [c for c in plain.columns if c.startswith("_own_")]
+    rows = plain.where(worded).withColumns({"_version": F.xxhash64("text"), "_rest": F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")})
+    kept = kept.join(rows.groupBy(F.col("doc_id").alias("_id"), "_version").agg(F.min("_rest").alias("_least")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
+    kept = kept.select("_id", F.col("_version").alias("_kept"), "_least")
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_kept")) & (F.col("_rest") == F.col("_least")), "left_semi")
+    return back(rows.dropDuplicates(["doc_id", "_version"]).unionByName(plain.where(~worded), allowMissingColumns=True))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .batches import parts
-from .store import written
+from .store import set_aside, written
 
 WIDTH = 50
 DEPTH = 3
@@ -282,15 +282,11 @@ def dedup_texts(docs: DataFrame, width: int = WIDTH, most_cells: int = MOST_CELL
 
     A text that loses words is its kept words joined by a space. Rows are never dropped; other columns are kept.
     """
-    names = [f"_own_{i}" for i in range(len(docs.columns))]
-    carried = {n: f for n, f in zip(names, docs.schema.fields, strict=True) if f.name not in ("doc_id", "text")}
-    rows = docs.select("doc_id", "text", *(F.col(f"`{f.name}`").alias(n) for n, f in carried.items()))
+    rows, back = set_aside(docs)
     rows = _joined(rows, width, most_cells, depth).drop("version")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields if f.name not in ("text", "ranges")}
     schema = ", ".join(f"`{n}` {k}" for n, k in kinds.items()) + ", n_words long, n_removed long, text string"
-    out = rows.mapInArrow(_kept(width, True), schema)
-    back = {f.name: n for n, f in carried.items()}
-    return out.select(*(F.col(back.get(c, c)).alias(c) for c in docs.columns))
+    return back(rows.mapInArrow(_kept(width, True), schema))
 
 
 def dedup_sql(width: int = WIDTH) -> str:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from . import hashing as H
 from .batches import parts
 from .linear import fit_logistic, fit_platt, labelled_sample, matrix, pick_features, short, sigmoid, text_features
+from .store import set_aside
 
 #: Words that mark a kind of abuse in a document labelled toxic.
 KINDS = {
@@ -38,7 +39,7 @@ MOST, FEATURES, FOLDS = 3000, 1500, 4
 
 @dataclass
 class Link:
-    """One category's model: weights over `features`, then over the earlier links' log-odds, then the intercept."""
+    """One category's model: weights over `features`, then over the earlier links' probabilities, then the intercept."""
 
     name: str
     features: np.ndarray
@@ -53,14 +54,14 @@ class Chain:
 
     def score(self, found: np.ndarray) -> list[float]:
         """Probability of each category; the last is calibrated."""
-        odds: list[float] = []
+        chances: list[float] = []
         for link in self.links:
-            z = link.weights[-1] + float(np.dot(link.weights[len(link.features) : -1], odds))
+            z = link.weights[-1] + float(np.dot(link.weights[len(link.features) : -1], chances))
             if len(link.features):
                 at = np.minimum(np.searchsorted(link.features, found), len(link.features) - 1)
                 z += float(link.weights[at[link.features[at] == found]].sum())
-            odds.append(float(np.clip(z, -6, 6)))
-        return [*(float(sigmoid(np.float64(o))) for o in odds[:-1]), float(sigmoid(np.float64(self.slope * z + self.intercept)))]
+            chances.append(float(sigmoid(np.float64(z))))
+        return [*chances[:-1], float(sigmoid(np.float64(self.slope * z + self.intercept)))]
 
 
 def _fit(rows: list[np.ndarray], y: np.ndarray, earlier: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +81,7 @@ def fit_chain(rows: list[np.ndarray], marks: dict[str, np.ndarray], fold: np.nda
             features, w = _fit([rows[i] for i in train], y[train], earlier[train], most)
             z[test] = np.hstack((matrix([rows[i] for i in test], features), earlier[test])) @ w[:-1] + w[-1]
         links.append(Link(name, *_fit(rows, y, earlier, most)))
-        earlier = np.column_stack((earlier, np.clip(z, -6, 6)))
+        earlier = np.column_stack((earlier, sigmoid(z)))
     return Chain(links, *(fit_platt(z, marks[name]) if len(rows) else (1.0, 0.0)))
 
 
@@ -126,7 +127,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, k
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without the rows that the chain rejects; all columns stay."""
-    alias = {f"c{i}": f.name for i, f in enumerate(docs.schema.fields)}
-    plain = docs.select(*(F.col(f"`{name}`").alias("text" if name == "text" else "doc_id" if name == "doc_id" else a) for a, name in alias.items()))
-    scored = score_toxicity(plain, labels, threshold, keep=True).where(~F.col("is_toxic"))
-    return scored.select(*(F.col(name if name in ("text", "doc_id") else a).alias(name) for a, name in alias.items()))
+    plain, back = set_aside(docs)
+    return back(score_toxicity(plain, labels, threshold, keep=True).where(~F.col("is_toxic")))

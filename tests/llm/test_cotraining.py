@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 
 from tessera.llm import cotraining as C
@@ -32,6 +34,32 @@ def test_marks_of_one_view_teach_the_other():
     assert ((p > 0.5) == y[60:]).mean() > 0.95
 
 
+def test_scores_are_those_of_the_written_model(spark):
+    """Every row's scores from the model by plain sums over its features."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    table = C.view_table(docs)
+    model = C.train(table, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    assert (model.weights[:2] >= 0).all()
+    got = {r.doc_id: r for r in C.score_quality(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet")).collect()}
+    for d in docs.collect():
+        odds = []
+        for view, found in ((model.text, C.text_features(d.text)), (model.meta, C.meta_features(d.source, d.lang, d.n_chars))):
+            weights = dict(zip(view.features.tolist(), view.weights, strict=False))
+            odds.append(view.slope * (view.weights[-1] + sum(weights.get(f, 0.0) for f in set(found.tolist()))) + view.intercept)
+        z = model.weights[0] * odds[0] + model.weights[1] * odds[1] + model.weights[2]
+        for value, wanted in ((got[d.doc_id].p_text, odds[0]), (got[d.doc_id].p_meta, odds[1]), (got[d.doc_id].quality, z)):
+            assert math.isclose(value, 1 / (1 + math.exp(-max(-35, min(35, wanted)))), rel_tol=1e-6, abs_tol=1e-9)
+        assert got[d.doc_id].keeps == (got[d.doc_id].quality >= 0.5)
+
+
+def test_no_view_counts_against_itself():
+    rng = np.random.default_rng(0)
+    y = rng.random(500) < 0.5
+    good = np.where(y, 2.0, -2.0) + rng.standard_normal(500)
+    weights = C.combination(np.column_stack((good, -good + rng.standard_normal(500))), y)
+    assert weights[0] > 0 and weights[1] == 0
+
+
 def test_edges(spark):
     rows = [(i, f"good words stand here {i}" if i % 2 else f"junk ### $$$ {i}", "en", "a", 20, "x", 1) for i in range(80)]
     rows += [(100, None, None, None, None, "x", 1), (101, "", "", "", 0, "x", 1), (None, "good words", "en", "a", 10, "x", 1), (1, "good words stand here 1", "en", "a", 20, "x", 1)]
