@@ -1,11 +1,12 @@
 """Benchmark decontamination by question templates.
 
-A text becomes a template: numbers, units after numbers, and names (capitalised words) give way to typed
-placeholders, the rest goes to lower case without punctuation. Templates keep the text's words one to
-one. Runs of `width` template words of the documents are hash-joined to those of the benchmark and compared
-as words. Matching runs of one document and item at one shift are taken together; what fills the slots on
-either side must then be consistent: an item's value may be replaced, but by the same value everywhere.
-So a copy is found (no slot changed), and so is a question with other numbers and names.
+A text becomes a template: numbers (in digits or words), units after numbers, and names (words with a capital) give way to typed
+placeholders, neighbouring numbers and neighbouring names to one (`New York`, `twenty five`, `1 200`); a unit is parted from its
+number (`5kg`); the rest goes to lower case without punctuation. Runs of `width` template words of the documents are hash-joined
+to those of the benchmark and compared as words. An item has the runs of its lower-case text besides, so that names which a
+document writes small are met as plain words. Matching runs of one document and item at one shift, or at shifts that differ by a few
+words, are taken together; what fills the slots on either side must then be consistent: an item's value may be replaced, but by the
+same value everywhere. So a copy is found (no slot changed), and so is a question with other numbers and names.
 
 All of it is SQL functions. Before the join, a table of at most `max_cells` bytes that marks the hashes of the
 benchmark's runs (false marks possible, missed ones not) sorts out nearly all runs of the documents while
@@ -23,31 +24,45 @@ from .store import set_aside, written
 WIDTH, LEAST, RUNS = 8, 4, 6
 #: Bytes of the table that marks the hashes of the benchmark's runs.
 MAX_CELLS = 1 << 22
-PARTING = r"[\x20\x09-\x0D]+"
+#: Shifts that differ by less than half of this are met together in one group.
+NEAR = 16
 #: Number words and units that count as such.
-NUMBER_WORDS = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion"
+NUMBER_WORDS = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion"
 UNITS = "mm|cm|m|km|miles?|met(?:er|re)s?|feet|foot|inch(?:es)?|mg|g|kg|grams?|kilograms?|tons?|tonnes?|pounds?|lbs?|oz|ounces?|ml|l|lit(?:er|re)s?|s|seconds?|minutes?|mins?|h|hours?|hrs?|days?|weeks?|months?|years?|dollars?|cents?|euros?|usd|eur|percent|degrees?|kmh|mph"
-#: (pattern, replacement), in this order; written so that Java's expressions and RE2 read them alike.
-STEPS = [
-    (r"(^|[\x20\x09-\x0D])([^\p{L}\p{N}\x20\x09-\x0D]*)\p{Lu}\p{Ll}+", "$1$2<name>"),
-    (r"[0-9]+([.,:/][0-9]+)*", "<num>"),
-    (rf"(^|[\x20\x09-\x0D])({NUMBER_WORDS})([\x20\x09-\x0D.,;:?!]|$)", "$1<num>$3"),
-    (rf"(<num>[\x20\x09-\x0D]?)({UNITS})([\x20\x09-\x0D.,;:?!]|$)", "$1<unit>$3"),
-    (r"[^\p{L}\p{N}<>\x20\x09-\x0D]+", ""),
+#: (pattern, replacement), in this order, on a text between spaces; without a group the pattern is plain text. Written so that Java's
+#: expressions and RE2 read them alike. Two spaces part words, so that every word has one on either side of its own.
+MARKS = [
+    (r"[\x20\x09-\x0D]+", "  "),
+    (r"[<>{}\[\]_]+", "-"),
+    (r" [^\p{L}\p{N} ]+ ", ""),  # signs alone
+    (rf"([0-9])(?i:({UNITS}))([^\p{{L}}\p{{N}}])", "$1  $2$3"),
+    (r"([0-9]+(?:[.,:/][0-9]+)*)", "<n$1>"),
+    (rf" (?i:((?:{NUMBER_WORDS})(?:-(?:{NUMBER_WORDS}))*))([^\p{{L}}\p{{N}} ]* )", " <n$1>$2"),
+    (">  <n", "_"),
+    (rf">  (?i:({UNITS}))([^\p{{L}}\p{{N}} ]* )", ">  <u$1}$2"),
+    (r" ([^\p{L}\p{N} <]*)(\p{Lu}[\p{L}\p{M}]*(?:-\p{Lu}[\p{L}\p{M}]*)*)", " $1<p$2]"),
+    ("]  <p", "_"),
 ]
+#: From the marked text to the template.
+BARE = [(r"<([nup])[^>}\]]*[>}\]]", "<$1>"), (r"[^\p{L}\p{N}<> ]+", "")]
 
 
-def template(text: Column) -> Column:
-    """The text with typed placeholders, lower case, without punctuation; its white space stays."""
-    for pattern, by in STEPS:
-        text = F.regexp_replace(text, pattern, by)
-    return F.lower(text)
+def _steps(text: Column, steps: list[tuple[str, str]]) -> Column:
+    for pattern, by in steps:
+        plain = by == "_"
+        text = F.replace(text, F.lit(pattern), F.lit(by)) if plain else F.regexp_replace(text, pattern, by)
+    return text
+
+
+def template(marked: Column) -> Column:
+    """A marked text's words with typed placeholders, in lower case, without punctuation."""
+    return F.split(F.trim(F.lower(_steps(marked, BARE))), "  ")
 
 
 def _with_words(df: DataFrame, *keys: str) -> DataFrame:
-    """Words and template words, one to one: a word of signs alone is an empty template word."""
-    spaced = df.select(*keys, F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), PARTING, " ").alias("_text"))
-    return spaced.select(*(k for k in keys), F.split("_text", " ").alias("raw"), F.split(template(F.col("_text")), " ").alias("canon"))
+    """Words and template words, one to one; a placeholder's word holds all words that it stands for."""
+    marked = df.select(*keys, _steps(F.concat(F.lit(" "), F.coalesce(F.col("text"), F.lit("")), F.lit(" ")), MARKS).alias("_marked"))
+    return marked.select(*keys, F.split(F.trim("_marked"), "  ").alias("raw"), template(F.col("_marked")).alias("canon"))
 
 
 def _candidates(width: int, cells: int, marks: bytes) -> Column:
@@ -60,24 +75,28 @@ def _candidates(width: int, cells: int, marks: bytes) -> Column:
 
 
 def benchmark_runs(benchmark: DataFrame, width: int, least: int) -> DataFrame:
-    """(item_id, width, at, runs, hash, item_raw, item_canon) of the items' runs.
+    """(item_id, item, width, at, runs, hash, item_raw, item_canon) of the items' runs and of those of their lower-case texts.
 
-    An item of fewer words is one run of its own width; one of fewer than `least` words has none.
-    Copies of a row count once; an item_id that stands over several texts has the runs of each.
+    An item of fewer words is one run of its own width; one of fewer than `least` words has none. `runs` is their number in the
+    text as it stands. Copies of a row count once; an item_id that stands over several texts has the runs of each.
     """
-    items = _with_words(benchmark.select("item_id", "text").dropDuplicates(), "item_id", "text").where(F.size("canon") >= least)
-    items = items.withColumn("width", F.least(F.lit(width), F.size("canon"))).withColumn("item", F.xxhash64("text"))
-    items = items.withColumn("runs", F.size("canon") - F.col("width") + 1)
-    rows = items.select("item_id", "item", "width", "runs", "raw", "canon", F.explode(F.sequence(F.lit(1), F.col("runs"))).alias("at"))
+    rows = benchmark.select("item_id", "text").dropDuplicates().withColumn("item", F.xxhash64("text"))
+    both = rows.select("item_id", "item", F.lit(0).alias("small"), "text").union(rows.select("item_id", "item", F.lit(1), F.lower("text")))
+    items = _with_words(both, "item_id", "item", "small").where(F.size("canon") >= least)
+    items = items.withColumn("width", F.least(F.lit(width), F.size("canon"))).withColumn("runs", F.size("canon") - F.col("width") + 1)
+    rows = items.select("item_id", "item", "small", "width", "runs", "raw", "canon", F.explode(F.sequence(F.lit(1), F.col("runs"))).alias("at"))
     cut = lambda c: F.expr(f"slice({c}, at, width)")
-    return rows.select("item_id", "item", "width", "at", "runs", F.xxhash64(cut("canon")).alias("hash"), cut("raw").alias("item_raw"), cut("canon").alias("item_canon"))
+    rows = rows.select("item_id", "item", "small", "width", "at", "runs", F.xxhash64(cut("canon")).alias("hash"), cut("raw").alias("item_raw"), cut("canon").alias("item_canon"))
+    rows = rows.groupBy("item_id", "item", "width", "at", "hash", "item_canon").agg(F.min_by("item_raw", "small").alias("item_raw"))
+    own = items.groupBy("item_id", "item").agg(F.min_by("runs", "small").alias("runs"))
+    return rows.join(own, ["item_id", "item"]).select("item_id", "item", "width", "at", "runs", "hash", "item_raw", "item_canon")
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int = LEAST, runs: int = RUNS, max_cells: int = MAX_CELLS) -> DataFrame:
     """One row per document and item: doc_id, version, item_id, n_runs, item_runs, n_slots, n_changed.
 
-    A pair is reported if at one shift `runs` of the item's runs match (all, if it has fewer), and every slot
-    value of the item is replaced by one value only. n_slots counts the item's distinct slot values, n_changed
+    A pair is reported if at one shift, or at shifts near one another, `runs` of the item's runs match (all, if it has fewer), and
+    every slot value of the item is replaced by one value only. n_slots counts the item's distinct slot values, n_changed
     those that differ in the document: 0 for a copy. version is a hash of the text. Null and empty texts match
     nothing. Rows equal in doc_id and text count as one document; a null doc_id is a value like any other.
     Columns other than doc_id, item_id and text are left out; empty tables give an empty one.
@@ -98,8 +117,11 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
         found = hits if found is None else found.unionByName(hits)
     bare = lambda x: F.regexp_replace(x, r"[^\p{L}\p{N}]+", "")
     filled = F.zip_with(F.arrays_zip("item_raw", "doc_raw"), "item_canon", lambda v, c: F.when(c.contains("<"), F.struct(bare(v["item_raw"]).alias("item_value"), bare(v["doc_raw"]).alias("doc_value"))))
-    found = found.select("doc_id", "version", "item_id", "item", "shift", "at", "runs", F.filter(filled, lambda x: x.isNotNull()).alias("slots"))
-    keys = ["doc_id", "version", "item_id", "item", "shift"]
+    # A run stands in three groups: that of its shift, and those of two overlapping ranges of shifts.
+    half = lambda x: F.floor((F.col("shift") + x) / NEAR)
+    places = F.array(*(F.struct(F.lit(i).alias("kind"), p.cast("long").alias("number")) for i, p in enumerate((F.col("shift"), half(0), half(NEAR // 2)))))
+    found = found.select("doc_id", "version", "item_id", "item", F.explode(places).alias("place"), "at", "runs", F.filter(filled, lambda x: x.isNotNull()).alias("slots"))
+    keys = ["doc_id", "version", "item_id", "item", "place"]
     # A group is one item's place in one document: its size is bounded by the item.
     grouped = found.groupBy(*keys).agg(F.count_distinct("at").alias("n_runs"), F.first("runs").alias("item_runs"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     values = F.array_distinct(F.transform("slots", lambda x: x["item_value"]))
@@ -118,26 +140,34 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def contaminated_sql(width: int = WIDTH, least: int = LEAST, runs: int = RUNS) -> str:
     """contaminated_pairs (without version) for DuckDB, on tables whose doc_id and item_id are unique."""
-    spaced = f"regexp_replace(text, '{PARTING}', ' ', 'g')"
-    canon = spaced
-    for pattern, by in STEPS:
-        canon = f"regexp_replace({canon}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
-    words = lambda x: f"string_split({x}, ' ')"
+    def stepped(x: str, steps: list[tuple[str, str]]) -> str:
+        for pattern, by in steps:
+            x = f"replace({x}, '{pattern}', '{by}')" if by == "_" else f"regexp_replace({x}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+        return x
+
+    words = lambda x: f"string_split(trim({x}, ' '), '  ')"
+    marked = lambda x: stepped(f"(' ' || coalesce({x}, '') || ' ')", MARKS)
+    pair = f"{words('m')} AS raw, {words(f'lower({stepped(chr(109), BARE)})')} AS canon"
     bare = lambda x: rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', '', 'g')"
     return rf"""
-    WITH items AS (SELECT item_id, {words(spaced)} AS raw, {words(f"lower({canon})")} AS canon FROM benchmark),
+    WITH both_cases AS (SELECT item_id, 0 AS small, {marked('text')} AS m FROM benchmark UNION ALL SELECT item_id, 1, {marked('lower(text)')} FROM benchmark),
+    items AS (SELECT item_id, small, {pair} FROM both_cases),
     sized AS (SELECT *, least({width}, len(canon)) AS width, len(canon) - least({width}, len(canon)) + 1 AS runs FROM items WHERE len(canon) >= {least}),
+    own AS (SELECT item_id, arg_min(runs, small) AS runs FROM sized GROUP BY item_id),
     item_at AS (SELECT *, unnest(range(1, runs + 1)) AS spot FROM sized),
-    item_runs AS (SELECT item_id, width, runs, spot, raw[spot:spot + width - 1] AS item_raw, canon[spot:spot + width - 1] AS item_canon FROM item_at),
-    texts AS (SELECT doc_id, {words(spaced)} AS raw, {words(f"lower({canon})")} AS canon FROM documents),
+    cut AS (SELECT item_id, small, width, spot, raw[spot:spot + width - 1] AS item_raw, canon[spot:spot + width - 1] AS item_canon FROM item_at),
+    item_runs AS (SELECT item_id, width, spot, item_canon, arg_min(item_raw, small) AS item_raw FROM cut GROUP BY ALL),
+    marked_texts AS (SELECT doc_id, {marked('text')} AS m FROM documents),
+    texts AS (SELECT doc_id, {pair} FROM marked_texts),
     doc_at AS (SELECT doc_id, raw, canon, width, unnest(range(1, len(canon) - width + 2)) AS pos FROM texts, (SELECT DISTINCT width FROM sized)),
     doc_runs AS (SELECT doc_id, width, pos, raw[pos:pos + width - 1] AS doc_raw, canon[pos:pos + width - 1] AS doc_canon FROM doc_at),
-    hits AS (SELECT d.doc_id, i.item_id, i.spot, i.runs, pos - spot AS shift, item_raw, item_canon, doc_raw FROM doc_runs d JOIN item_runs i ON d.width = i.width AND d.doc_canon = i.item_canon),
-    words AS (SELECT doc_id, item_id, shift, spot, runs, unnest(item_raw) AS item_word, unnest(doc_raw) AS doc_word, unnest(item_canon) AS canon FROM hits),
-    slots AS (SELECT DISTINCT doc_id, item_id, shift, {bare("item_word")} AS item_value, {bare("doc_word")} AS doc_value FROM words WHERE contains(canon, '<')),
-    per_place AS (SELECT doc_id, item_id, shift, count(DISTINCT spot) AS n_runs, any_value(runs) AS item_runs FROM hits GROUP BY ALL),
-    per_slots AS (SELECT doc_id, item_id, shift, count(*) AS n_slots, count(DISTINCT item_value) AS n_values, count(*) FILTER (item_value <> doc_value) AS n_changed FROM slots GROUP BY ALL),
-    joined AS (SELECT doc_id, item_id, n_runs, item_runs, coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed FROM per_place LEFT JOIN per_slots USING (doc_id, item_id, shift)
-             WHERE n_runs >= least({runs}, item_runs) AND coalesce(n_slots, 0) = coalesce(n_values, 0))
+    hits AS (SELECT d.doc_id, i.item_id, i.spot, pos - spot AS shift, item_raw, item_canon, doc_raw FROM doc_runs d JOIN item_runs i ON d.width = i.width AND d.doc_canon = i.item_canon),
+    placed AS (SELECT *, 0 AS kind, shift AS place FROM hits UNION ALL SELECT *, 1, CAST(floor(shift / {NEAR}) AS BIGINT) FROM hits UNION ALL SELECT *, 2, CAST(floor((shift + {NEAR // 2}) / {NEAR}) AS BIGINT) FROM hits),
+    words AS (SELECT doc_id, item_id, kind, place, unnest(item_raw) AS item_word, unnest(doc_raw) AS doc_word, unnest(item_canon) AS canon FROM placed),
+    slots AS (SELECT DISTINCT doc_id, item_id, kind, place, {bare("item_word")} AS item_value, {bare("doc_word")} AS doc_value FROM words WHERE contains(canon, '<')),
+    per_place AS (SELECT doc_id, item_id, kind, place, count(DISTINCT spot) AS n_runs FROM placed GROUP BY ALL),
+    per_slots AS (SELECT doc_id, item_id, kind, place, count(*) AS n_slots, count(DISTINCT item_value) AS n_values, count(*) FILTER (item_value <> doc_value) AS n_changed FROM slots GROUP BY ALL),
+    joined AS (SELECT doc_id, item_id, n_runs, own.runs AS item_runs, coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed FROM per_place JOIN own USING (item_id) LEFT JOIN per_slots USING (doc_id, item_id, kind, place)
+             WHERE n_runs >= least({runs}, own.runs) AND coalesce(n_slots, 0) = coalesce(n_values, 0))
     SELECT doc_id, item_id, n_runs, item_runs, n_slots, n_changed FROM joined
     QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_runs DESC, n_changed, n_slots DESC) = 1"""

@@ -1,3 +1,5 @@
+import pytest
+
 from tessera.llm import decontaminate as D
 
 DOCS = "doc_id long, text string, item_id string, runs int"
@@ -22,3 +24,39 @@ def test_copies_and_other_parameters(spark):
     saturated = {(r.doc_id, r.item_id) for r in D.contaminated_pairs(docs, items, max_cells=1).collect()}
     assert saturated == set(got)
     assert D.contaminated_pairs(docs.limit(0), items).collect() == [] and D.contaminated_pairs(docs, items.limit(0)).collect() == []
+
+
+ITEM = "A train leaves Lisbon at 9 in the morning with 40 euros of coal and 5 kg of bread , and Maria pays for all of it in cash before the train stops"
+
+
+@pytest.mark.parametrize(
+    ("changes", "found"),
+    [
+        ([], True),
+        ([("Lisbon", "New York")], True),
+        ([("Lisbon", "New York"), ("Maria", "Anna Sofia Keller")], True),
+        ([("9 in", "twenty five in"), ("40", "sixty-two")], True),
+        ([("5 kg", "5kg"), ("40 euros", "40euros")], True),
+        ([("40", "1 200"), ("5", "3 000")], True),
+        ([("Lisbon", "USA")], True),
+        ([("Lisbon", "lisbon")], True),
+        ([("Lisbon", "Porto"), ("Maria", "maria")], True),
+        ([(" ,", ",")], True),
+        ([("leaves", "enters"), ("coal", "wood"), ("bread", "salt"), ("pays", "asks"), ("cash", "coins")], False),
+    ],
+)
+def test_variants_of_one_item(spark, changes, found):
+    text = ITEM
+    for old, new in changes:
+        text = text.replace(old, new)
+    filler = "some words that stand around the question and say nothing "
+    docs = spark.createDataFrame([(1, filler + text + ". " + filler), (2, filler * 9)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    got = D.contaminated_pairs(docs, items).drop("version").collect()
+    assert [(r.doc_id, r.item_id) for r in got] == ([(1, 7)] if found else [])
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", items.toPandas())
+    assert sorted(con.execute(f"SELECT doc_id, item_id, n_runs, item_runs, n_slots, n_changed FROM ({D.contaminated_sql()})").fetchall()) == sorted(tuple(r) for r in got)
