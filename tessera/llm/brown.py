@@ -34,7 +34,7 @@ from .store import written
 CORE, CLASSES, HEAD, LEAST, ROUNDS = 1000, 48, 1 << 18, 3, 4
 HELD_MOD, HELD_AT = 7, 2
 #: Distinct words, and tokens, that a task holds before it passes its counts on.
-FLUSH, TOKENS = 400_000, 1 << 22
+FLUSH, TOKENS = 400_000, 1 << 20
 END = "\n"  # no word holds white space
 
 
