@@ -10,7 +10,7 @@ TIME_TRUST = {"exif": 1.0, "exif-datetime": 0.9, "filename": 0.9, "epoch-name":
 #: Patterns of dates and times in file names.
 DATE = r"((?:19|20)\d{2})[-_.]?(0[1-9]|1[0-2])[-_.]?(0[1-9]|[12]\d|3[01])"
 TIME = r"([01]\d|2[0-3])[-_.:]?([0-5]\d)[-_.:]?([0-5]\d)"
-NAME_DATETIME = rf"(?<!\d){DATE}(?:[ _T-]|\s+at\s+|_?-?){TIME}(?:\d{{1,3}})?(?!\d)"
+NAME_DATETIME = rf"(?iu)(?<!\d){DATE}(?:[ _T-]|\s+(?:at|в)\s+|_?-?){TIME}(?:\d{{1,3}})?(?!\d)"
 NAME_DATE = rf"(?<!\d){DATE}(?!\d)"
 NAME_EPOCH = r"(?<!\d)(1[0-9]{12})(?!\d)"
 
@@ -22,7 +22,7 @@ def plausible(moment: Column, now: Column) -> Column:
 
 def parsed_exif(raw: Column, now: Column) -> Column:
     """A camera's date and time in one of four patterns; null if none fits or it isn't plausible."""
-    text = F.substring(F.trim(raw), 1, 19)
+    text = F.substring(F.trim(F.translate(raw, "\x00", "")), 1, 19)
     found = F.coalesce(*(F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in ("yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy:MM:dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss")))
     return F.when(plausible(found, now), found)
 
@@ -50,13 +50,16 @@ def time_from_name(stem: Column, now: Column) -> Column:
     return F.get(F.array_sort(F.concat(sure, days), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)), F.lit(0))
 
 
-def taken_time(exif: Column, stem: Column, modified: Column, now: Column) -> Column:
-    """struct(at, how): camera, else file name, else modification; the latter's clock refines a bare date of its day."""
+def taken_time(exif: Column, stem: Column, modified: Column, now: Column, source: Column | None = None) -> Column:
+    """struct(at, how): camera, else file name, else modification; the latter's clock refines a bare date of its day.
+
+    source tells which of the camera's fields it is, `exif` or `exif-datetime`.
+    """
     named = time_from_name(stem, now)
     refined = (named["how"] == "filename-date") & (modified.cast("date") == named["at"].cast("date"))
     made = lambda at, how: F.struct(at.alias("at"), how.alias("how"))
     return (
-        F.when(exif.isNotNull(), made(exif, F.lit("exif")))
+        F.when(exif.isNotNull(), made(exif, F.lit("exif") if source is None else F.coalesce(source, F.lit("exif"))))
         .when(named.isNotNull() & F.coalesce(refined, F.lit(False)), made(modified, F.lit("filename")))
         .when(named.isNotNull(), named)
         .when(modified.isNotNull(), made(modified, F.lit("mtime")))

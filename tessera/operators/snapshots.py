@@ -1,4 +1,4 @@
-"""Versioned tables: every change writes a new snapshot and then swaps a pointer."""
+"""Versioned tables: every change writes a new snapshot and then adds a pointer to it."""
 
 from __future__ import annotations
 
@@ -23,30 +23,48 @@ class Catalog:
     def _pointer(self, table: str) -> str:
         return f"{self.folder}/{table}/_versions"
 
+    def _files(self, path: str):
+        made = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return made.getFileSystem(self.spark._jsc.hadoopConfiguration()), made
+
     def version(self, table: str) -> int:
         """0 before the first snapshot."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer(table))
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return max((int(s.getPath().getName()) for s in fs.listStatus(path)), default=0) if fs.exists(path) else 0
+        fs, path = self._files(self._pointer(table))
+        return max((int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit()), default=0) if fs.exists(path) else 0
+
+    def _folder(self, table: str, version: int) -> str:
+        """The folder that a version's pointer names."""
+        named = self.spark.read.text(f"{self._pointer(table)}/{version}").first()
+        return f"{self.folder}/{table}/{named.value}"
 
     def read(self, table: str, schema: str, version: int | None = None) -> DataFrame:
         """The table at a version, or an empty one of the schema; columns that a snapshot lacks are null."""
         at = self.version(table) if version is None else version
         if not at:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{table}/{at}")
+        return self.spark.read.schema(schema).parquet(self._folder(table, at))
 
     def publish(self, table: str, df: DataFrame, expected: int | None = None) -> int:
-        """Writes df as the next version. With `expected`, only if that is still the newest."""
+        """Writes df as the next version. With `expected`, only if that is still the newest.
+
+        Rows are written to a folder of their own first. What decides is the pointer file of the next number: it is created only if there
+        is none, so that of two publishers who start from one version one gets a Conflict.
+        """
         before = self.version(table) if expected is None else expected
-        df.write.mode("error").parquet(f"{self.folder}/{table}/_new-{(name := uuid.uuid4().hex)}")
-        jvm = self.spark._jvm
-        made = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}/_new-{name}")
-        fs = made.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if self.version(table) != before or not fs.rename(made, jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}/{before + 1}")):
-            fs.delete(made, True)
-            raise Conflict(table)
-        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{self._pointer(table)}/{before + 1}"))
+        name = f"rows-{uuid.uuid4().hex}"
+        df.write.mode("error").parquet(f"{self.folder}/{table}/{name}")
+        fs, pointer = self._files(f"{self._pointer(table)}/{before + 1}")
+        try:
+            if self.version(table) != before:
+                raise Conflict(table)
+            out = fs.create(pointer, False)  # refuses a pointer that is there
+        except Exception as error:
+            fs.delete(self._files(f"{self.folder}/{table}/{name}")[1], True)
+            if isinstance(error, Conflict) or fs.exists(pointer):
+                raise Conflict(table) from error
+            raise
+        out.write(bytearray(name.encode()))
+        out.close()
         return before + 1
 
     def undo(self, table: str, schema: str) -> int:
@@ -73,6 +91,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; a temporary one on a single machine without the setting."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .snapshots import written
+
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """new's rows, and old's whose key new doesn't have."""
@@ -51,13 +53,23 @@ def rekeyed(df: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
     return renamed.withColumn(key, F.coalesce("_new", key)).select(*df.columns)
 
 
+def ranked(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with the rank of each row from 1 by a column without repeats: rows are dealt to ranges and written, counted by range,
+    and ranked inside each from what the ranges before it hold. No task holds more than its range."""
+    dealt = written(df.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return dealt.join(F.broadcast(offsets), "_range").withColumn(name, rank + F.col("_before")).drop("_range", "_before")
+
+
 def replaced(old: DataFrame, new: DataFrame, key: str, ident: str) -> DataFrame:
     """new's groups under old's ids where the key is known, else under the next free ones; an empty new keeps old."""
     if new.isEmpty():
         return old
     known = new.join(old.select(key, ident), key, "left")
     top = old.agg(F.coalesce(F.max(ident), F.lit(0)).alias("_top"))
-    fresh = known.where(F.col(ident).isNull()).withColumn("_rank", F.row_number().over(Window.orderBy(key)))  # groups, not rows
+    fresh = ranked(known.where(F.col(ident).isNull()), key, "_rank")
     fresh = fresh.join(F.broadcast(top), F.lit(True)).withColumn(ident, F.col("_top") + F.col("_rank")).drop("_top", "_rank")
     return known.where(F.col(ident).isNotNull()).unionByName(fresh)
 
@@ -66,8 +78,7 @@ def found_or_created(names: DataFrame, people: DataFrame) -> DataFrame:
     """people(id, name) with the names that it lacks, under new ids in order of name."""
     missing = names.select("name").where("name is not null").distinct().join(people, "name", "left_anti")
     top = people.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    rank = F.row_number().over(Window.orderBy("name"))  # new names only
-    fresh = missing.withColumn("_rank", rank).join(F.broadcast(top), F.lit(True))
+    fresh = ranked(missing, "name", "_rank").join(F.broadcast(top), F.lit(True))
     return people.select("id", "name").union(fresh.select(F.col("_top") + F.col("_rank"), "name"))
 
 

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-
-DEPTH = 8
+from .snapshots import written
 
 
 def folder_counts(df: DataFrame, path: str, size: str) -> DataFrame:
@@ -21,15 +20,23 @@ def folder_counts(df: DataFrame, path: str, size: str) -> DataFrame:
     return spread.groupBy("folder").agg(F.sum(F.when(F.col("own") == F.col("folder"), F.col("n")).otherwise(0)).alias("files"), F.sum("n").alias("subtree"), F.sum("bytes").alias("bytes"))
 
 
-def closure(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(id, ancestor, distance) of a forest (id, parent), each node with itself; cycles end at `depth`."""
-    step = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
-    parents = nodes.where("parent is not null").select(F.col("id").alias("ancestor"), "parent")
-    out = step
-    for d in range(1, depth + 1):
-        step = step.join(parents, "ancestor").select("id", F.col("parent").alias("ancestor"), F.lit(d).alias("distance"))
-        out = out.union(step)
-    return out
+def closure(nodes: DataFrame) -> DataFrame:
+    """(id, ancestor, distance) of a forest (id, parent), each node with itself.
+
+    One level at a time, written, until a level adds nothing: however deep the trees are. Where parents form a cycle, each of its nodes is
+    above every node below it, at the least distance.
+    """
+    rows = nodes.select("id", "parent")
+    parents = written(rows.where("parent is not null").select(F.col("id").alias("ancestor"), "parent"))
+    known = written(rows.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")).distinct())
+    step, d = known, 0
+    while True:
+        d += 1
+        step = step.join(parents, "ancestor").select("id", F.col("parent").alias("ancestor"), F.lit(d).alias("distance")).distinct()
+        step = written(step.join(known, ["id", "ancestor"], "left_anti"))
+        if step.isEmpty():
+            return known
+        known = known.union(step)
 
 
 def tree_totals(nodes: DataFrame, members: DataFrame) -> DataFrame:
@@ -51,7 +58,7 @@ def inherited(nodes: DataFrame, flag: str) -> DataFrame:
 def trails(nodes: DataFrame) -> DataFrame:
     """(id, trail): titles from the top down, joined by slashes."""
     titles = nodes.select(F.col("id").alias("ancestor"), "title")
-    rows = closure(nodes).join(titles, "ancestor").groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "title"))).alias("t"))  # `depth` at most
+    rows = closure(nodes).join(titles, "ancestor").groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "title"))).alias("t"))  # one title a level
     return rows.select("id", F.array_join("t.title", " / ").alias("trail"))
 
 

@@ -14,8 +14,9 @@ from .registry import Tables, query
 
 def frames(t: Tables) -> DataFrame:
     """Events as frames: each with the vector that its number picks."""
-    e = t("embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vector"), V.sign_hash(F.col("embedding")).alias("bits"))
-    rows = t("events").withColumn("_v", F.pmod("event_id", F.lit(500)))
+    vectors = t("embeddings")
+    e = vectors.select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vector"), V.sign_hash(F.col("embedding")).alias("bits"))
+    rows = t("events").withColumn("_v", F.pmod("event_id", F.lit(vectors.count())))
     rows = rows.join(e, "_v")
     return rows.select(F.col("user_id").alias("device"), F.col("event_id").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("ts"), (F.col("value") / 50).alias("score"), "vector", "bits", F.col("event_type").alias("event"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
@@ -38,24 +39,30 @@ def mmr_highlights(t: Tables) -> DataFrame:
     return C.highlights(frames(t), "device", 8, {"event": 0.25, "day": 0.08})
 
 
+@query()
+def choice_traces(t: Tables) -> DataFrame:
+    """What became of every frame, and why."""
+    return C.choice_trace(frames(t), "device", 8, {"event": 0.25, "day": 0.08})
+
+
 @query()
 def linkage(t: Tables) -> DataFrame:
     """Average-linkage clusters."""
-    rows = t("embeddings").select(F.pmod("vec_id", F.lit(4)).alias("g"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    rows = t("embeddings").select(F.col("label").alias("g"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
     return K.clustered(rows, "g")
 
 
 @query()
 def density_clusters(t: Tables) -> DataFrame:
     """Density clusters."""
-    rows = t("embeddings").select(F.pmod("vec_id", F.lit(4)).alias("g"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    rows = t("embeddings").select(F.col("label").alias("g"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
     return K.clustered(rows, "g", "density", radius=0.5)
 
 
 @query()
 def stitch(t: Tables) -> DataFrame:
     """Tracks of a file to identities under cannot-links."""
-    rows = t("embeddings").select(F.pmod("vec_id", F.lit(5)).alias("file"), F.floor(F.col("vec_id") / 25).alias("track"), F.pmod("vec_id", F.lit(7)).cast("double").alias("ts"), F.col("embedding").alias("vector"))
+    rows = t("embeddings").select(F.col("label").alias("file"), F.floor(F.col("vec_id") / 25).alias("track"), F.pmod("vec_id", F.lit(7)).cast("double").alias("ts"), F.col("embedding").alias("vector"))
     return K.track_identities(rows, "file", 0.3)
 
 

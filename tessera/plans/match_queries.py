@@ -19,7 +19,7 @@ HASHES = "(SELECT vec_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_trans
 @query(f"""
 WITH p AS (SELECT s_suppkey, lat + 0.1 AS lat, lon - 0.2 AS lon FROM {PLACES}), c AS (SELECT s_suppkey AS city, lat, lon, CAST(s_acctbal * 100 AS BIGINT) AS population FROM {PLACES} WHERE s_suppkey % 3 = 0),
 d AS (SELECT s_suppkey, city, population, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin((radians(c.lat) - radians(p.lat)) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.lat)) * pow(sin((radians(c.lon) - radians(p.lon)) / 2), 2)))) AS km FROM p, c),
-r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY round(km / (1 + 0.15 * log10(greatest(population, 1))), 9), city) AS r FROM d WHERE km <= 40)
+r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY round(km / (1 + 0.15 * log10(greatest(population, 10))), 9), city) AS r FROM d WHERE km <= 40)
 SELECT s_suppkey, city, round(km, 3) AS km FROM r WHERE r = 1""")
 def nearest_place(t: Tables) -> DataFrame:
     """Nearest city by distance and size, over one-degree cells."""
@@ -61,7 +61,7 @@ WITH h AS {HASHES} SELECT a, b, distance FROM (SELECT x.vec_id AS a, y.vec_id AS
 def dup_bands(t: Tables) -> DataFrame:
     """Hashes within a few bits, by bands that lose none."""
     rows = t("embeddings").select("vec_id", F.shiftright(V.sign_hash(F.col("embedding")), 20).alias("h"))
-    return M.hash_pairs(rows, "vec_id", "h", 7)
+    return M.hash_pairs(rows, "vec_id", "h", 7, bits=43)
 
 
 @query(f"""
@@ -71,7 +71,7 @@ SELECT node, min(root) AS root FROM r GROUP BY node""")
 def dup_components(t: Tables) -> DataFrame:
     """Connected components over near hashes."""
     rows = t("embeddings").select("vec_id", F.shiftright(V.sign_hash(F.col("embedding")), 20).alias("h"))
-    return M.components(M.hash_pairs(rows, "vec_id", "h", 7), N.written)
+    return M.components(M.hash_pairs(rows, "vec_id", "h", 7, bits=43), N.written)
 
 
 @query(f"""
@@ -167,17 +167,17 @@ def pairs_threshold(t: Tables) -> DataFrame:
 KNN = f"s AS (SELECT a.vec_id AS q, b.label AS person, b.vec_id AS sample, round({DOT.format(a='a.embedding', b='b.embedding')}, 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 3 <> 0 AND b.vec_id % 3 = 0)"
 
 
-def _named(t: Tables) -> DataFrame:
+def _named(t: Tables, best: int) -> DataFrame:
     e = t("embeddings")
     bank = e.where("vec_id % 3 = 0").select(F.col("label").alias("person"), F.col("vec_id").alias("sample"), F.col("embedding").alias("p"))
-    return M.bank_scores(e.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")), bank)
+    return M.bank_scores(e.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")), bank, best=best)
 
 
 @query(f"""
 WITH {KNN} SELECT q, sample, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, sample) AS r FROM s) WHERE r = 1""")
 def knn_named(t: Tables) -> DataFrame:
     """The nearest named sample of each unnamed vector."""
-    best = _named(t).groupBy("q").agg(F.max(F.struct("sim", (-F.col("sample")).alias("s"))).alias("b"))
+    best = _named(t, 1).groupBy("q").agg(F.max(F.struct("sim", (-F.col("sample")).alias("s"))).alias("b"))
     return best.select("q", (-F.col("b.s")).alias("sample"), "b.sim")
 
 
@@ -187,7 +187,7 @@ m AS (SELECT *, lead(score) OVER (PARTITION BY q ORDER BY score DESC, person) AS
 SELECT q, person, round(score, 4) AS score FROM m WHERE r = 1 AND score - coalesce(second, -1) >= 0.03""")
 def top3_margin(t: Tables) -> DataFrame:
     """The person of best mean of three samples, if the runner-up is well behind."""
-    top = M.best_per(_named(t), ["q", "person"], [F.desc("sim"), F.col("sample")], 3)
+    top = M.best_per(_named(t, 3), ["q", "person"], [F.desc("sim"), F.col("sample")], 3)
     scores = top.groupBy("q", "person").agg(F.round(F.avg("sim"), 6).alias("score"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "person")
     ranked = scores.withColumn("second", F.lead("score").over(order)).withColumn("r", F.row_number().over(order))
@@ -195,14 +195,12 @@ def top3_margin(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH s AS (SELECT a.vec_id AS q, b.label AS person, round({DOT.format(a='a.embedding', b='b.embedding')}, 6) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 1 AND a.vec_id // 10 <> b.vec_id // 10)
+WITH s AS (SELECT a.vec_id AS q, b.label AS person, {DOT.format(a='a.embedding', b='b.embedding')} AS sim FROM embeddings a, embeddings b WHERE a.vec_id // 10 <> b.vec_id // 10)
 SELECT q, person, round(avg(sim), 5) AS score FROM s GROUP BY 1, 2""")
 def leave_one_out(t: Tables) -> DataFrame:
-    """Prototypes from other files only."""
-    e = t("embeddings")
-    sims = M.bank_scores(e.where("vec_id % 10 = 1").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")), e.select(F.col("label").alias("person"), F.col("vec_id").alias("sample"), F.col("embedding").alias("p")))
-    other = sims.where(F.floor(F.col("q") / 10) != F.floor(F.col("sample") / 10))
-    return other.groupBy("q", "person").agg(F.round(F.avg("sim"), 5).alias("score"))
+    """Every vector against prototypes from other files only."""
+    e = t("embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 10).alias("file"), "embedding")
+    return M.leave_one_out(e).select("q", "person", F.round("score", 5).alias("score"))
 
 
 @query("""

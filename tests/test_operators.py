@@ -49,7 +49,7 @@ def test_rules(spark):
 
 def test_times(spark):
     now = times.F.to_timestamp_ntz(F.lit("2025-01-01 00:00:00"))
-    cases = {"IMG_20191218_131104": ("2019-12-18 13:11:04", "filename"), "WhatsApp Image 2021-12-27 at 18.16.46": ("2021-12-27 18:16:46", "filename"), "1573130586733": ("2019-11-07 12:43:06.733", "epoch-name"), "IMG-20180525-WA0008_1572848274767": ("2018-05-25 12:00:00", "filename-date"), "nothing": None, "20401231": None}
+    cases = {"IMG_20191218_131104": ("2019-12-18 13:11:04", "filename"), "WhatsApp Image 2021-12-27 at 18.16.46": ("2021-12-27 18:16:46", "filename"), "Photo 2021-12-27 В 18.16.46": ("2021-12-27 18:16:46", "filename"), "1573130586733": ("2019-11-07 12:43:06.733", "epoch-name"), "IMG-20180525-WA0008_1572848274767": ("2018-05-25 12:00:00", "filename-date"), "nothing": None, "20401231": None}
     for stem, wanted in cases.items():
         got = one(spark, times.time_from_name(F.lit(stem), now))
         assert (got and (got.at, got.how)) == (wanted and (datetime.datetime.fromisoformat(wanted[0]), wanted[1])), stem
@@ -87,31 +87,74 @@ def test_shards_and_trees(spark):
     df = spark.createDataFrame([(f"nas:/p/{i}.jpg",) for i in range(10)], "path string")
     out = scopes.even_shards(df, "path", 3).collect()
     assert sorted(sum(r.shard == i for r in out) for i in range(3)) == [3, 3, 4] and len({r.path for r in out}) == 10
-    loop = spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long")
-    assert trees.closure(loop).count() == 2 * (trees.DEPTH + 1)
+    loop = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "id long, parent long")
+    assert sorted(map(tuple, trees.closure(loop).collect())) == [(1, 1, 0), (1, 2, 1), (2, 1, 1), (2, 2, 0), (3, 1, 1), (3, 2, 2), (3, 3, 0)]
+    deep = spark.createDataFrame([(i, i - 1 if i else None) for i in range(12)], "id long, parent long")
+    assert max(r.distance for r in trees.closure(deep).collect()) == 11
+    names = spark.createDataFrame([(f"n{i:03d}",) for i in range(200)], "name string").repartition(7)
+    people = spark.createDataFrame([(5, "n003"), (9, "x")], "id long, name string")
+    got = {r.name: r.id for r in tables.found_or_created(names, people).collect()}
+    assert len(got) == 201 and got["n003"] == 5 and [got[f"n{i:03d}"] for i in range(200) if i != 3] == list(range(10, 209))
 
 
-def test_events_by_scene():
+def test_two_publishers_from_one_version(spark, tmp_path, monkeypatch):
+    catalog = snapshots.Catalog(spark, str(tmp_path))
+    one, three = spark.range(1), spark.range(3)
+    assert catalog.publish("t", three) == 1
+    monkeypatch.setattr(catalog, "version", lambda table: 0)  # what the second one read before the first had published
+    with pytest.raises(snapshots.Conflict):
+        catalog.publish("t", one)
+    monkeypatch.undo()
+    assert catalog.version("t") == 1 and catalog.read("t", "id long").count() == 3 and catalog.publish("t", one, 1) == 2
+    assert catalog.read("t", "id long").count() == 1 and catalog.read("t", "id long", 1).count() == 3
+
+
+def frames_of(ts, vectors, score=None, bits=None, **more):
+    n = len(ts)
+    return curation.Frames.of(pd.DataFrame({"key": range(n), "ts": ts, "score": np.zeros(n) if score is None else score, "vector": list(vectors), "bits": [None] * n if bits is None else bits, **more}))
+
+
+def test_events_by_time_scene_and_place():
     a, b = np.eye(4)[0], np.eye(4)[1]
-    ts = np.array([0, 3600.0, 10 * 3600])
-    assert curation.event_numbers(ts, np.array([a, a, a])).tolist() == [0, 0, 1]
-    assert curation.event_numbers(np.array([0, 7200.0]), np.array([a, a])).tolist() == [0, 0]
-    assert curation.event_numbers(np.array([0, 7200.0]), np.array([a, b])).tolist() == [0, 1]
+    starts = lambda ts, vectors, lat=None, lon=None, **more: curation.event_starts(frames_of(np.array(ts, float), vectors, **more), *(np.full(len(ts), np.nan) if x is None else np.array(x, float) for x in (lat, lon))).tolist()
+    assert starts([0, 3600, 10 * 3600], [a, a, a]) == [True, False, True]
+    assert starts([0, 7200], [a, a]) == [True, False] and starts([0, 7200], [a, b]) == [True, True]
+    assert starts([0, 7200], [a, b], model=["x", "y"]) == [True, False] and starts([0, 7200], [a, None]) == [True, False]
+    assert starts([0, 2400], [a, a], [55.75, 59.93], [37.6, 30.3]) == [True, True]  # two places, forty minutes apart
+    assert starts([0, 2400], [a, a], [55.75, 55.76], [37.6, 37.6]) == [True, False] and starts([0, 600], [a, a], [55.75, 59.93], [37.6, 30.3]) == [True, False]
 
 
 def test_series_and_diversity():
     rng = np.random.default_rng(0)
     scene = np.array([np.eye(32)[0] + rng.normal(0, 0.02, 32) for _ in range(30)])
     vectors = np.vstack((scene, np.eye(32)[1:9]))
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     score = np.r_[np.full(30, 0.9), np.full(8, 0.6)]
     ts = np.r_[np.arange(30.0) * 60, np.arange(8) * 86400.0 + 10**6]
-    bits = np.array([int(x) for x in rng.integers(0, 2**62, 38)])
-    of = curation.series(score, np.arange(38), ts, vectors, bits)
+    bits = [int(x) for x in rng.integers(0, 2**62, 38)]
+    f = frames_of(ts, vectors, score, bits)
+    of = curation.series(f)
     assert len(set(of[:30])) == 1 and (of[30:] == np.arange(30, 38)).all()
-    picked = curation.diversified(score, np.arange(38), ts, vectors, bits, {"day": (ts // 86400, 0.08)}, 12)
-    assert sum(p < 30 for p in picked) <= 2 and set(range(30, 38)) <= set(picked)
+    trace = curation.diversified(f, {"day": (ts // 86400, 0.08)}, 12)
+    picked = trace.index[trace["decision"] == "selected"]
+    assert sum(picked < 30) <= 2 and set(range(30, 38)) <= set(picked) and (trace["decision"][:30] == "same_scene").sum() >= 28
+    assert trace["pick"][picked].sort_values().tolist() == list(range(1, len(picked) + 1))
+    # a frame without vector and hash is like nothing; one with a hash alone joins the frame of nearly the same hash
+    odd = frames_of(np.arange(3.0) * 1000, [np.eye(4)[0], None, None], np.array([0.9, 0.8, 0.7]), [7, None, 5])
+    assert curation.series(odd).tolist() == [0, 1, 0]
+
+
+def test_small_events_are_on_the_shortlist():
+    f = frames_of(np.arange(103.0), [None] * 103, np.r_[np.full(100, 0.9), np.full(3, 0.5)])
+    event = np.r_[np.zeros(100), [1, 1, 1]].astype(int)
+    assert set(curation.shortlist(f, event, 10)) == {*range(60), 100, 101}
+
+
+def test_representatives_take_reliable_ones_first():
     assert curation.representatives(np.ones(4), np.array([0, 0.1, 1, 2.0]), np.eye(4)) == [0, 2, 3]
+    quality, ts = np.array([0.9, 0.5, 0.8, 0.7]), np.arange(4.0)
+    assert curation.representatives(quality, ts, np.eye(4), np.array([False, True, False, True]), most=3) == [3, 1, 0]
+    like = np.array([[1.0, 0], [1, 0], [0, 1]])
+    assert curation.representatives(np.array([0.9, 0.8, 0.5]), np.arange(3.0), like, most=2) == [0, 2]  # 0.8 * 0.5 against 0.5 * 1
 
 
 def test_linkage_against_all_merges():
@@ -138,6 +181,8 @@ def test_stitching_keeps_tracks_apart():
     old = pd.DataFrame({"key": [1, 2, 3, 4], "label": [5, 5, 7, 7]})
     new = pd.DataFrame({"key": [1, 2, 3, 9], "label": [0, 0, 1, 2]})
     assert clusters.stable_labels(old, new) == {0: 5, 1: 7, 2: 8}
+    old = pd.DataFrame({"key": [1, 2, 3, 4], "label": [9, 9, 2, 2]})
+    assert clusters.stable_labels(old, pd.DataFrame({"key": [1, 2, 3, 4], "label": [0, 0, 0, 0]})) == {0: 2}  # a tie: the smaller old label
     assert (clusters.density(np.array([[1.0, 0], [1, 0.01], [1, 0.02], [0, 1]]) / 1.0, 0.1, 3) == [0, 0, 0, -1]).all()
 
 
@@ -152,6 +197,11 @@ def test_hash_pairs_and_components(spark):
         first.setdefault(h, i)
     wanted = {(min(i, j), max(i, j)) for (g, i), (h, j) in itertools.combinations(first.items(), 2) if ((g ^ h) & (2**64 - 1)).bit_count() <= 3}
     assert got == wanted
+    near = matching.hash_pairs(df.withColumn("h", F.col("h").bitwiseAND((1 << 20) - 1)), "id", "h", 6, bits=20)
+    small = {}
+    for i, h in enumerate(hashes):
+        small.setdefault(h & (1 << 20) - 1, i)
+    assert {(r.a, r.b) for r in near.collect()} == {(min(i, j), max(i, j)) for (g, i), (h, j) in itertools.combinations(small.items(), 2) if (g ^ h).bit_count() <= 6}
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     roots = {r.node: r.root for r in matching.components(edges, snapshots.written).collect()}
     assert set(roots.values()) == {0, 100} and roots[40] == 0
