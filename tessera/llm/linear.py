@@ -62,10 +62,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int
     w = np.zeros(x.shape[1], np.float32)
     ahead, t = w, 1.0
     v = np.ones(x.shape[1], np.float32)
-    for _ in range(8):  # largest curvature
+    for _ in range(30):  # largest curvature; a step that is too long would never settle
         v = x.T @ (x @ v)
         v /= np.linalg.norm(v) or 1.0
-    step = 1.0 / (0.25 * float(np.linalg.norm(x.T @ (x @ v))) + penalty + 1e-6)
+    step = 1.0 / (0.25 * 1.05 * float(np.linalg.norm(x.T @ (x @ v))) + penalty + 1e-6)
     shrink = np.full(len(w), penalty, np.float32)
     shrink[-1] = 0
     for _ in range(rounds):
