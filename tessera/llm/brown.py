@@ -117,7 +117,7 @@ def _count_pairs(shared, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, codes, size = shared.value.astype(np.int64), [], 0
         matrix = np.zeros(n * n, np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             before, now = bigrams(batch.column("ids"))
             codes.append(symbol[before] * n + symbol[now])
             size += len(now)
@@ -245,7 +245,7 @@ def _contexts(shared, chunks: int):
             rows = [(c, x.astype("<u4").tobytes(), y.astype("<u4").tobytes()) for c, x, y in rows]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["chunk", "codes", "counts"])
 
-        for batch in batches:
+        for batch in parts(batches):
             before, now = (x.astype(np.int64) for x in bigrams(batch.column("ids")))
             same = before == now
             for word, c in ((now, np.where(same, 2 * k, of[before])), (before, k + of[now])):
@@ -263,18 +263,14 @@ def _contexts(shared, chunks: int):
 
 
 def _proposals(shared, chunks: int, classes: int):
-    """Sums the counts of each chunk of words, and finds every word's best class."""
+    """Sums the counts of each chunk of words, which come one chunk after another, and finds every word's best class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, grouped = shared.value
         k, head = len(grouped), len(of) - 1
-        each, sums = -(-head // chunks), {}
-        for batch in batches:
-            for chunk, codes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if chunk not in sums:
-                    sums[chunk] = np.zeros(each * (2 * k + 1), np.int64)
-                sums[chunk][np.frombuffer(codes, "<u4")] += np.frombuffer(counts, "<u4")  # codes are distinct in a row
-        for chunk, table in sums.items():
+        each = -(-head // chunks)
+
+        def out(chunk: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
             words = np.arange(chunk, head, chunks)
             table = table.reshape(each, 2 * k + 1)[: len(words)]
             for start in range(0, len(words), 512):
@@ -282,6 +278,17 @@ def _proposals(shared, chunks: int, classes: int):
                 best, gain = best_classes(part[:, :k], part[:, k : 2 * k], part[:, 2 * k], of[own], grouped, classes)
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(best.astype(np.int32)), pa.array(gain)], ["word", "best", "gain"])
 
+        at, table = None, np.empty(0)
+        for batch in parts(batches, 1):
+            chunk, codes, counts = (c[0].as_py() for c in batch.columns)
+            if chunk != at:
+                if at is not None:
+                    yield from out(at, table)
+                at, table = chunk, np.zeros(each * (2 * k + 1), np.int64)
+            table[np.frombuffer(codes, "<u4")] += np.frombuffer(counts, "<u4")  # codes are distinct in a row
+        if at is not None:
+            yield from out(at, table)
+
     return run
 
 
@@ -321,7 +328,7 @@ def cluster(ids: DataFrame, head: int, core: int, classes: int, rounds: int) ->
     for turn in range(rounds + 1 if core else 0):
         shared = spark.sparkContext.broadcast((of, grouped))
         counts = ids.mapInArrow(_contexts(spark.sparkContext.broadcast((of, k)), chunks), "chunk int, codes binary, counts binary")
-        found = counts.repartition("chunk").mapInArrow(_proposals(shared, chunks, classes), "word int, best int, gain double").toPandas()  # `head` rows
+        found = counts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_proposals(shared, chunks, classes), "word int, best int, gain double").toPandas()  # `head` rows
         word, to = found["word"].to_numpy(), found["best"].to_numpy()
         # Words that move at once may undo one another's gain: half of them a round.
         moves = of[word] == classes if turn == 0 else (found["gain"].to_numpy() > 1e-6) & (of[word] != to) & (word % 2 == turn % 2)
@@ -373,7 +380,7 @@ def _score(shared):
         m: Model = shared.value
         other = len(m.vocabulary.counts)
         base = np.append(np.log10((m.vocabulary.counts + 1) / (m.tokens + m.types + 1)), 0.0)
-        for batch in batches:
+        for batch in parts(batches):
             before, now = bigrams(batch.column("ids"))
             sizes = batch.column("ids").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             starts = np.cumsum(sizes) - sizes  # no document is without its end
