@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import clusters as K
 from ..operators import curation as C
+from ..operators import identities as I
 from ..operators import matching as M
 from .registry import Tables, query
 
@@ -66,6 +67,21 @@ def stitch(t: Tables) -> DataFrame:
     return K.track_identities(rows, "file", 0.3)
 
 
+@query()
+def built_identities(t: Tables) -> DataFrame:
+    """Identities of a file: cores stitched, weak tracks attached, fragments joined, a hint of three met."""
+    rows = t("embeddings").select(F.col("label").alias("file"), F.floor(F.col("vec_id") / 25).alias("track"), F.pmod("vec_id", F.lit(7)).cast("double").alias("ts"), F.col("embedding").alias("vector"))
+    rows = rows.withColumns({"quality": F.lit(1.0), "core": F.pmod("track", F.lit(3)) != 0, "people": F.lit(3)})
+    return I.file_identities(rows, "file", 0.3, "people")
+
+
+@query()
+def compatible_parts(t: Tables) -> DataFrame:
+    """Clusters cut into parts all of whose members are alike."""
+    rows = t("embeddings").select(F.col("label").alias("g"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    return I.compatible_parts(rows, "g", 0.3)
+
+
 @query("""
 WITH c AS (SELECT label, list(m ORDER BY pos) AS v FROM (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x FROM embeddings WHERE vec_id % 3 = 0) GROUP BY 1, 2) GROUP BY 1),
 s AS (SELECT vec_id, c.label, round(list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), v) / sqrt(list_dot_product(v, v)), 6) AS sim FROM embeddings, c WHERE vec_id % 3 <> 0)
