@@ -101,25 +101,27 @@ def joined(banks: list[np.ndarray], label: np.ndarray, core: np.ndarray, views:
 def hinted(banks: list[np.ndarray], label: np.ndarray, cannot: np.ndarray, target: int) -> np.ndarray:
     """Labels (0, 1, ...) after the tracks without one have been dealt to `target` identities, those with most conflicts first.
 
-    A track takes the identity it is likest to if that is at least trackable, else an empty one, else the likest of all; where all
-    are barred there is one identity more than hinted at.
+    A track goes to the likest of the identities that it can be tracked to; if there is none, to the first that is still empty; else to the
+    likest that it isn't barred from; and where it is barred from all, to a new one.
     """
-    out, loose = label.copy(), np.flatnonzero(label < 0)
-    n = max(target, int(label.max(initial=-1)) + 1)
-    degree = cannot[np.ix_(loose, loose)].sum(axis=1)
-    for w in loose[np.lexsort((loose, -degree))]:
-        offers = []
-        for g in range(n):
-            members = np.flatnonzero(out == g)
-            if not len(members):
-                offers.append((1, 0.0, -g))
-            elif not cannot[w, members].any():
-                score = pair_score(banks[w], np.vstack([banks[m] for m in members]), PAIRS)
-                offers.append((2 if score >= TRACKING else 0, score, -g))
-        if offers:
-            out[w] = -max(offers)[2]
-        else:
-            out[w], n = n, n + 1
+    out = label.copy()
+    loose = np.flatnonzero(label < 0)
+    views = [[banks[m] for m in np.flatnonzero(label == g)] for g in range(max(target, label.max(initial=-1) + 1))]
+    column = lambda g: np.array([pair_score(banks[w], np.vstack(views[g]), PAIRS) if views[g] else -np.inf for w in loose])
+    # Of the loose tracks against the identities: likeness, and whether a member is kept apart from the track.
+    like = np.array([column(g) for g in range(len(views))]).reshape(len(views), len(loose)).T
+    barred = np.array([cannot[np.ix_(loose, label == g)].any(axis=1) for g in range(len(views))], bool).reshape(len(views), len(loose)).T
+    for k in np.argsort(-cannot[np.ix_(loose, loose)].sum(axis=1), kind="stable"):
+        free, empty = ~barred[k], np.isneginf(like[k])
+        choices = [np.where(free & (like[k] >= TRACKING), like[k], -np.inf), np.where(free & empty, 0.0, -np.inf), np.where(free & ~empty, like[k], -np.inf)]
+        g = next((int(c.argmax()) for c in choices if np.isfinite(c).any()), len(views))
+        if g == len(views):
+            views.append([])
+            like, barred = np.column_stack((like, np.full(len(loose), -np.inf))), np.column_stack((barred, np.zeros(len(loose), bool)))
+        out[loose[k]] = g
+        views[g].append(banks[loose[k]])
+        like[:, g] = column(g)
+        barred[:, g] |= cannot[loose, loose[k]]
     return out
 
 

@@ -122,7 +122,7 @@ def themes(items: DataFrame, prompts: dict[str, dict[str, list[list[float]]]], p
 
     prompts: descriptions of themes by model and theme (a fixed list: it is broadcast); themes that begin with `not-` spoil an item. An
     item's similarity with a theme is that with its likest description; it counts by how many deviations it lies above the
-    mean of all items of the model, and by how far above their median. Models with too few items give no theme.
+    mean of all items of the model, and by how far above their median (of an even number, the mean of both middle ones). Models with too few items give no theme.
     """
     spark = items.sparkSession
     known = items.where(F.col("vector").isNotNull() & F.col("model").isin(*prompts))
@@ -134,7 +134,7 @@ def themes(items: DataFrame, prompts: dict[str, dict[str, list[list[float]]]], p
 
     rows = _matrices(known, ["key", "model"], "vector", "sims", sims)
     spread = rows.select("model", F.posexplode("sims").alias("pos", "sim"))
-    facts = spread.groupBy("model", "pos").agg(F.avg("sim").alias("mean"), F.greatest(F.stddev_pop("sim"), F.lit(1e-6)).alias("std"), F.percentile_approx("sim", 0.5, ACCURACY).alias("median"), F.count(F.lit(1)).alias("n"))
+    facts = spread.groupBy("model", "pos").agg(F.avg("sim").alias("mean"), F.greatest(F.stddev_pop("sim"), F.lit(1e-6)).alias("std"), ((F.percentile_approx("sim", 0.5, ACCURACY) - F.percentile_approx(-F.col("sim"), 0.5, ACCURACY)) / 2).alias("median"), F.count(F.lit(1)).alias("n"))
     names = spark.createDataFrame([(m, i, t) for m, by in prompts.items() for i, t in enumerate(sorted(by))], "model string, pos int, theme string")
     facts = facts.where(F.col("n") >= p["theme_min_pool"]).join(F.broadcast(names), ["model", "pos"])  # one row a theme and model
     each = rows.select("key", "model", F.posexplode("sims").alias("pos", "sim")).join(F.broadcast(facts), ["model", "pos"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Seconds after which an empty pointer counts as left behind.
+PATIENCE = 600.0
+
+
 class Conflict(Exception):
     """Somebody else published in the meantime."""
 
@@ -27,10 +32,13 @@ class Catalog:
         made = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return made.getFileSystem(self.spark._jsc.hadoopConfiguration()), made
 
-    def version(self, table: str) -> int:
-        """0 before the first snapshot."""
+    def _pointers(self, table: str) -> dict[int, object]:
         fs, path = self._files(self._pointer(table))
-        return max((int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit()), default=0) if fs.exists(path) else 0
+        return {int(s.getPath().getName()): s for s in fs.listStatus(path) if s.getPath().getName().isdigit()} if fs.exists(path) else {}
+
+    def version(self, table: str) -> int:
+        """0 before the first snapshot. A pointer without content is one that is being written, or whose writer died: it doesn't count."""
+        return max((n for n, s in self._pointers(table).items() if s.getLen()), default=0)
 
     def _folder(self, table: str, version: int) -> str:
         """The folder that a version's pointer names."""
@@ -48,7 +56,10 @@ class Catalog:
         """Writes df as the next version. With `expected`, only if that is still the newest.
 
         Rows are written to a folder of their own first. What decides is the pointer file of the next number: it is created only if there
-        is none, so that of two publishers who start from one version one gets a Conflict.
+        is none, so that of two publishers who start from one version one gets a Conflict. A pointer that has stayed empty for
+        longer than PATIENCE was left by a writer that died; it is cleared away. A writer reads its pointer back, and takes what
+        it doesn't find as a Conflict. This needs a store that creates a file for one writer only, as HDFS and local disks do; on an
+        object store without such a create let one application publish.
         """
         before = self.version(table) if expected is None else expected
         name = f"rows-{uuid.uuid4().hex}"
@@ -57,6 +68,9 @@ class Catalog:
         try:
             if self.version(table) != before:
                 raise Conflict(table)
+            started = self._pointers(table).get(before + 1)
+            if started is not None and not started.getLen() and time.time() - started.getModificationTime() / 1000 > PATIENCE:
+                fs.delete(pointer, False)
             out = fs.create(pointer, False)  # refuses a pointer that is there
         except Exception as error:
             fs.delete(self._files(f"{self.folder}/{table}/{name}")[1], True)
@@ -65,6 +79,8 @@ class Catalog:
             raise
         out.write(bytearray(name.encode()))
         out.close()
+        if self._folder(table, before + 1) != f"{self.folder}/{table}/{name}":
+            raise Conflict(table)
         return before + 1
 
     def undo(self, table: str, schema: str) -> int:

@@ -91,7 +91,7 @@ def curation_rows(t: Tables) -> DataFrame:
 @query("""
 WITH m AS (SELECT vec_id AS key, 'm' || CAST(label % 2 AS VARCHAR) AS model, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM embeddings),
 s AS (SELECT key, model, 0 AS pos, 'cats' AS theme, greatest(v[1], v[2]) / n AS sim FROM m UNION ALL SELECT key, model, 1, 'lake', v[3] / n FROM m UNION ALL SELECT key, model, 2, 'not-drawn', v[4] / n FROM m),
-f AS (SELECT model, theme, avg(sim) AS mean, greatest(stddev_pop(sim), 1e-6) AS std, quantile_disc(sim, 0.5) AS median, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) >= 60),
+f AS (SELECT model, theme, avg(sim) AS mean, greatest(stddev_pop(sim), 1e-6) AS std, quantile_cont(sim, 0.5) AS median, count(*) AS n FROM s GROUP BY 1, 2 HAVING count(*) >= 60),
 z AS (SELECT key, pos, theme, (sim - mean) / std AS z, sim - median AS above FROM s JOIN f USING (model, theme)),
 b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY z DESC, pos) AS r FROM z WHERE theme <> 'not-drawn')
 SELECT key, theme, round(z, 5) AS z FROM b WHERE r = 1 AND z >= 2.0 AND above >= 0.018 AND key NOT IN (SELECT key FROM z WHERE theme = 'not-drawn' AND z >= 1.5)""")

@@ -178,11 +178,6 @@ def test_stitching_keeps_tracks_apart():
     assert len(set(clusters.stitched(banks, set()))) == 1
     got = clusters.stitched(banks, {(0, 1)})
     assert got[0] != got[1] and len(set(got)) == 2
-    old = pd.DataFrame({"key": [1, 2, 3, 4], "label": [5, 5, 7, 7]})
-    new = pd.DataFrame({"key": [1, 2, 3, 9], "label": [0, 0, 1, 2]})
-    assert clusters.stable_labels(old, new) == {0: 5, 1: 7, 2: 8}
-    old = pd.DataFrame({"key": [1, 2, 3, 4], "label": [9, 9, 2, 2]})
-    assert clusters.stable_labels(old, pd.DataFrame({"key": [1, 2, 3, 4], "label": [0, 0, 0, 0]})) == {0: 2}  # a tie: the smaller old label
     assert (clusters.density(np.array([[1.0, 0], [1, 0.01], [1, 0.02], [0, 1]]) / 1.0, 0.1, 3) == [0, 0, 0, -1]).all()
 
 
@@ -243,3 +238,62 @@ def test_models(spark):
     assert v[1] == v[2] and v[3] is None and abs(np.linalg.norm(v[1]) - 1) < 1e-9
     scores = models.label_scores(df.where("v is not null"), "id", "v", {"x": v[1], "y": [0.0] * 4}, {"x": [0.0] * 4, "y": v[1]}).collect()
     assert {(r.id, r.label): r.score > 0.5 for r in scores} == {(1, "x"): True, (1, "y"): False, (2, "x"): True, (2, "y"): False}
+
+
+def test_stitching_goes_through_sorted_pairs():
+    """Against a plain version: sets of tracks, pairs by their own score, merged if the least score across reaches the floor."""
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        n = int(rng.integers(2, 9))
+        v = rng.normal(size=(n, 3)) + rng.choice([[1, 0, 0], [0, 1, 0]], n)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        apart = {(int(a), int(b)) for a, b in itertools.combinations(range(n), 2) if rng.random() < 0.15}
+        groups = [{i} for i in range(n)]
+        for a, b in sorted(itertools.combinations(range(n), 2), key=lambda p: (-(v[p[0]] @ v[p[1]]), p)):
+            x, y = (next(g for g in groups if i in g) for i in (a, b))
+            if x is not y and all(v[i] @ v[j] >= 0.5 and (min(i, j), max(i, j)) not in apart for i in x for j in y):
+                groups = [g for g in groups if g is not x and g is not y] + [x | y]
+        got = clusters.stitched([x[None] for x in v], {(b, a) for a, b in apart}, 0.5)
+        assert {frozenset(np.flatnonzero(got == k).tolist()) for k in set(got)} == {frozenset(g) for g in groups}
+    bonus = np.zeros((3, 3))
+    bonus[1, 2] = 0.5
+    three = [np.array([[1.0, 0]]), np.array([[math.cos(0.5), math.sin(0.5)]]), np.array([[math.cos(1.1), math.sin(1.1)]])]
+    assert clusters.stitched(three, set(), 0.7).tolist() == [0, 0, 1] and clusters.stitched(three, set(), 0.7, bonus).tolist() == [0, 1, 1]
+
+
+def label_frames(spark, *rows):
+    return [spark.createDataFrame(r, "key long, label long") for r in rows]
+
+
+def test_stable_labels(spark):
+    final = lambda old, new, **o: {r.label: r.final for r in clusters.stable_labels(*reversed(label_frames(spark, old, new)), snapshots.written, **o).collect()}
+    assert final([(1, 5), (2, 5), (3, 7), (4, 7)], [(1, 0), (2, 0), (3, 1), (9, 2)]) == {0: 5, 1: 7, 2: 8}
+    assert final([(1, 9), (2, 9), (3, 2), (4, 2)], [(1, 0), (2, 0), (3, 0), (4, 0)]) == {0: 2}  # a tie: the smaller old label
+    assert final([(1, -1), (2, -1), (3, -1), (4, 2), (5, 2)], [(1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, -1)]) == {0: 3, 1: 2}
+    assert final([], [(1, 4), (2, 6), (None, 8)], highest=10) == {4: 11, 6: 12}
+
+
+def test_one_to_one_equals_taking_the_highest_first(spark):
+    rng = np.random.default_rng(3)
+    edges = sorted({(int(a), int(b)): float(s) for a, b, s in zip(rng.integers(0, 30, 200), rng.integers(0, 25, 200), rng.integers(0, 9, 200), strict=True)}.items())
+    used_a, used_b, wanted = set(), set(), set()
+    for (a, b), s in sorted(edges, key=lambda e: (-e[1], e[0])):
+        if a not in used_a and b not in used_b:
+            used_a.add(a)
+            used_b.add(b)
+            wanted.add((a, b, s))
+    df = spark.createDataFrame([(a, b, s) for (a, b), s in edges], "a long, b long, score double")
+    assert {tuple(r) for r in matching.one_to_one(df, snapshots.written).collect()} == wanted
+    assert matching.one_to_one(df.limit(0), snapshots.written).collect() == []
+
+
+def test_an_empty_pointer_is_no_version(spark, tmp_path, monkeypatch):
+    catalog = snapshots.Catalog(spark, str(tmp_path))
+    one = spark.range(1)
+    assert catalog.publish("t", one) == 1
+    (tmp_path / "t" / "_versions" / "2").touch()  # a writer that died, or is about to write
+    assert catalog.version("t") == 1 and catalog.read("t", "id long").count() == 1
+    with pytest.raises(snapshots.Conflict):
+        catalog.publish("t", spark.range(2))
+    monkeypatch.setattr(snapshots, "PATIENCE", -1.0)
+    assert catalog.publish("t", spark.range(2)) == 2 and catalog.read("t", "id long").count() == 2
