@@ -20,6 +20,8 @@ STITCH, ATTACH, SINGLE, TRACKING = 0.65, 0.72, 0.78, 0.35
 MARGIN = 0.08
 BANK, PAIRS = 5, 3
 SAME = 0.9999
+# The bonus of a track that begins within so many seconds where another ended, by the overlap of their boxes.
+BONUS, SOON, PLACE = 0.02, 1.2, 0.3
 
 
 def varied(quality: np.ndarray, vectors: np.ndarray, most: int = BANK) -> list[int]:
@@ -143,12 +145,38 @@ def _units(vectors: pd.Series) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
-def file_identities(df: DataFrame, group: str, floor: float = STITCH, people: str | None = None) -> DataFrame:
+def _iou(a: np.ndarray | None, b: np.ndarray | None) -> float:
+    if a is None or b is None:
+        return 0.0
+    sides = np.maximum(0.0, np.minimum(a[2:], b[2:]) - np.maximum(a[:2], b[:2]))
+    common = float(sides.prod())
+    union = float((a[2:] - a[:2]).prod() + (b[2:] - b[:2]).prod()) - common
+    return common / union if union > 0 else 0.0
+
+
+def followed(tracks: list[pd.DataFrame], box: str) -> np.ndarray:
+    """The bonus of two tracks of which one begins soon after the other ends, where that was."""
+    spans = []
+    for rows in tracks:
+        known = rows[rows["ts"].notna()]
+        ends = [None if not len(known) or known[box].iloc[i] is None else np.asarray(known[box].iloc[i], float) for i in (0, -1)]
+        spans.append((known["ts"].min(), known["ts"].max(), *ends) if len(known) else None)
+    out = np.zeros((len(spans), len(spans)))
+    for i, a in enumerate(spans):
+        for j, b in enumerate(spans):
+            if i != j and a and b and 0 <= b[0] - a[1] <= SOON and _iou(a[3], b[2]) >= PLACE:
+                out[i, j] = out[j, i] = BONUS
+    return out
+
+
+def file_identities(df: DataFrame, group: str, floor: float = STITCH, people: str | None = None, person: str | None = None, apart: str | None = None, box: str | None = None) -> DataFrame:
     """(group, track, identity, role) of samples (group, track, ts, quality, core, vector): role is core, attached, hinted or open.
 
     Core tracks are stitched, weak ones attached, fragments joined; where the column `people` gives a number of identities, the
     joining ends there and what is open is dealt out. Samples without track or vector take no part; tracks that share a moment are
-    kept apart. An open track has identity -1. A group above the guard's number of rows is refused.
+    kept apart, and so are those of different names (column `person`) and those that share a scene (column `apart`, an array of strings). With
+    the column `box` (left, top, right, bottom) tracks that follow one another in one place are stitched before equally like ones.
+    An open track has identity -1. A group above the guard's number of rows is refused.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -159,11 +187,17 @@ def file_identities(df: DataFrame, group: str, floor: float = STITCH, people: st
         banks = [v[varied(q, v)] for q, v in views.values()]
         core = np.array([bool(rows["core"].fillna(False).astype(bool).any()) for _, rows in tracks])
         moments = [set(rows["ts"].dropna()) for _, rows in tracks]
+        if apart:
+            moments = [own.union(*(x for x in rows[apart] if x is not None)) for own, (_, rows) in zip(moments, tracks, strict=True)]
         cannot = np.array([[i != j and bool(a & b) for j, b in enumerate(moments)] for i, a in enumerate(moments)])
+        if person:
+            names = pd.factorize(pd.Series([rows[person].dropna().min() if rows[person].notna().any() else None for _, rows in tracks], dtype=object))[0]
+            cannot |= (names[:, None] >= 0) & (names >= 0) & (names[:, None] != names)
         at, label = np.flatnonzero(core), np.full(len(tracks), -1)
         if len(at):
-            apart = {(i, j) for i in range(len(at)) for j in range(i) if cannot[at[i], at[j]]}
-            label[at] = stitched([banks[i] for i in at], apart, floor)
+            barred = {(i, j) for i in range(len(at)) for j in range(i) if cannot[at[i], at[j]]}
+            bonus = followed([tracks[i][1] for i in at], box) if box else None
+            label[at] = stitched([banks[i] for i in at], barred, floor, bonus)
         hint = g[people].max() if people else None
         hint = None if hint is None or pd.isna(hint) else int(hint)
         sure = joined(banks, attached(banks, label, cannot), core, views, cannot, hint)
@@ -172,7 +206,7 @@ def file_identities(df: DataFrame, group: str, floor: float = STITCH, people: st
         role = np.select([core, sure >= 0, out >= 0], ["core", "attached", "hinted"], "open")
         return pd.DataFrame({group: g[group].iloc[0], "track": [k for k, _ in tracks], "identity": out, "role": role})
 
-    columns = [group, "track", "ts", "quality", "core", "vector", *([people] if people else [])]
+    columns = [group, "track", "ts", "quality", "core", "vector", *(c for c in (people, person, apart, box) if c)]
     rows = df.select(*columns).where(F.col("track").isNotNull() & F.col("vector").isNotNull())
     return rows.groupBy(group).applyInPandas(run, f"{group} {dict(df.dtypes)[group]}, track long, identity long, role string")
 

@@ -10,6 +10,8 @@ from ..operators import clusters as K
 from ..operators import curation as C
 from ..operators import identities as I
 from ..operators import matching as M
+from ..operators import people as P
+from ..operators.snapshots import written
 from .registry import Tables, query
 
 
@@ -95,3 +97,17 @@ def assign_nearest(t: Tables) -> DataFrame:
     sims = M.bank_scores(e.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v")), bank)
     best = sims.groupBy("q").agg(F.max(F.struct("sim", (-F.col("person")).alias("m"))).alias("b"))
     return best.select(F.col("q").alias("vec_id"), F.when(F.col("b.sim") >= 0.3, -F.col("b.m")).otherwise(-1).alias("label"), "b.sim")
+
+
+@query()
+def whole_identities(t: Tables) -> DataFrame:
+    """The whole build over files of three tracks and pictures of two faces: labels and names."""
+    e = t("embeddings").select("vec_id", F.pmod("vec_id", F.lit(20)).alias("r"), F.floor(F.col("vec_id") / 20).alias("f"), F.col("embedding").cast("array<double>").alias("vector"), "label")
+    year = (2000 + F.pmod("f", F.lit(12))).cast("int").alias("year")
+    samples = e.where("r < 12").select(F.concat(F.lit("v"), F.col("f").cast("string")).alias("file"), (1_000_000_000 + F.floor(F.col("vec_id") / 4)).alias("track"), F.pmod("r", F.lit(9)).cast("double").alias("ts"), (1 / (1 + F.col("r"))).alias("quality"), F.lit(True).alias("core"), "vector", year)
+    stills = e.where("r >= 12").select(F.concat(F.lit("p"), F.floor(F.col("vec_id") / 2).cast("string")).alias("file"), F.col("vec_id").alias("key"), F.lit(0.5).alias("quality"), "vector", year)
+    given = e.where("r = 12").select(F.col("vec_id").alias("key"), F.col("label").cast("long").alias("person"))
+    old = e.where("r >= 12").select(F.col("vec_id").alias("key"), "label")
+    out = P.build(samples, stills, given, old, written, stitch=0.3, single=0.3, named=0.3, named_margin=0.05, child_margin=0.07, group_floor=0.2, least_group=2)
+    people = out.names.join(out.units.select("unit", F.explode("members").alias("key")), "unit").select("key", "person")
+    return out.labels.join(people, "key", "left")
