@@ -12,6 +12,7 @@ from ..operators import identities as I
 from ..operators import matching as M
 from ..operators import people as P
 from ..operators.snapshots import written
+from ..streaming import tracker as TR
 from .registry import Tables, query
 
 
@@ -111,3 +112,22 @@ def whole_identities(t: Tables) -> DataFrame:
     out = P.build(samples, stills, given, old, written, stitch=0.3, single=0.3, named=0.3, named_margin=0.05, child_margin=0.07, group_floor=0.2, least_group=2)
     people = out.names.join(out.units.select("unit", F.explode("members").alias("key")), "unit").select("key", "person")
     return out.labels.join(people, "key", "left")
+
+
+@query()
+def frame_tracks(t: Tables) -> DataFrame:
+    """Tracks of what the frames of each device show, by boxes and vectors, closed after an hour without a sight (J14, ST3)."""
+    rows = frames(t).select(F.col("device").cast("string").alias("file"), F.timestamp_seconds("ts").alias("ts"), F.col("key").alias("id"), "vector", "score")
+    x = F.pmod("id", F.lit(5)).cast("double")
+    rows = rows.withColumn("box", F.array(x, x, x + 4, x + 4))
+    out = TR.batch_tracks(rows, 3600.0)
+    return out.select("file", "first", "last", "n", "best", F.transform("last_box", lambda c: F.round(c, 6)).alias("last_box"))
+
+
+@query()
+def earlier_tracks(t: Tables) -> DataFrame:
+    """New tracks of a file that go on one of its earlier tracks, unless two come into question."""
+    e = t("embeddings").select(F.floor(F.col("vec_id") / 200).alias("file"), F.col("vec_id").alias("id"), F.pmod("vec_id", F.lit(100)).cast("double").alias("start"), "embedding")
+    rows = e.select("file", "id", "start", (F.col("start") + F.pmod("id", F.lit(9))).alias("stop"), F.col("embedding").alias("vector"))
+    found = M.earlier_tracks(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), written, least=0.1, margin=0.02)
+    return found.select("file", "id", "old_id", F.round("score", 6).alias("score"))

@@ -1,16 +1,10 @@
-"""Continuously arriving observations: sessions, calendar windows, running means, per-file tracks."""
+"""Continuously arriving observations: sessions, calendar windows, running means."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-IDLE, SIMILAR = 0.75, 0.5
-
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str = "5 hours", late: str = "1 day") -> DataFrame:
     """(key, start, stop, n) of sessions that a pause longer than gap ends; batch or stream alike."""
@@ -25,74 +19,6 @@ def buckets(events: DataFrame, ts: str, width: str, *by: Column, late: str = "1
     return rows.groupBy(F.window(ts, width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.col("w.start")).drop("w")
 
 
-def extend(tracks: list[list], observations: list[tuple], idle: float = IDLE, similar: float = SIMILAR) -> list[list]:
-    """Closed tracks, after the observations (ts, id, vector) have extended the open ones in `tracks`.
-
-    A track is [first, last, n, mean]. Observations of one moment join open tracks one to one, most similar pair first; a
-    track that has been idle for longer than `idle` closes.
-    """
-    closed = []
-    for moment, group in _moments(observations):
-        closed += [t for t in tracks if moment - t[1] > idle]
-        tracks[:] = [t for t in tracks if moment - t[1] <= idle]
-        pairs = sorted(((float(v @ t[3]) / max(float(np.linalg.norm(t[3])), 1e-12), -i, -j) for i, (_, v) in enumerate(group) for j, t in enumerate(tracks)), reverse=True)
-        used: set[int] = set()
-        taken: set[int] = set()
-        for cosine, i, j in pairs:
-            if cosine >= similar and -i not in taken and -j not in used:
-                taken.add(-i)
-                used.add(-j)
-                t, v = tracks[-j], group[-i][1]
-                t[1], t[2], t[3] = moment, t[2] + 1, t[3] + (v - t[3]) / (t[2] + 1)
-        tracks += [[moment, moment, 1, v.copy()] for i, (_, v) in enumerate(group) if i not in taken]
-    return closed
-
-
-def _moments(observations: list[tuple]) -> Iterator[tuple[float, list[tuple]]]:
-    at, group = None, []
-    for ts, key, vector in sorted(observations, key=lambda o: (o[0], o[1])):
-        if at is not None and ts != at:
-            yield at, group
-            group = []
-        at = ts
-        group.append((key, np.asarray(vector, float)))
-    if group:
-        yield at, group
-
-
-OUT = "file long, first double, last double, n long"
-
-
-def batch_tracks(df: DataFrame) -> DataFrame:
-    """(file, first, last, n) of the tracks of observations (file, ts, id, vector)."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        tracks: list[list] = []
-        closed = extend(tracks, list(zip(g["ts"], g["id"], g["vector"], strict=True))) + tracks
-        return pd.DataFrame([(g["file"].iloc[0], *t[:3]) for t in closed], columns=["file", "first", "last", "n"])
-
-    return df.groupBy("file").applyInPandas(run, OUT)
-
-
-def stream_tracks(df: DataFrame) -> DataFrame:
-    """The same on a stream: a file's open tracks are its state. Observations of a file arrive in order of time, and a row with null
-    id marks its end, which closes what is open."""
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        tracks = [[f, last, n, np.array(m)] for f, last, n, m in zip(*state.get, strict=True)] if state.exists else []
-        g = pd.concat(list(frames))
-        seen = g[g["id"].notna()]
-        closed = extend(tracks, list(zip(seen["ts"], seen["id"], seen["vector"], strict=True)))
-        if g["id"].isna().any():
-            closed, tracks = closed + tracks, []
-        if tracks:
-            state.update(([t[0] for t in tracks], [t[1] for t in tracks], [t[2] for t in tracks], [t[3].tolist() for t in tracks]))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame([(key[0], *t[:3]) for t in closed], columns=["file", "first", "last", "n"])
-
-    kept = "first array<double>, last array<double>, n array<long>, mean array<array<double>>"
-    return df.groupBy("file").applyInPandasWithState(run, OUT, kept, "append", "NoTimeout")
-
-
 def running_means(df: DataFrame, key: str) -> DataFrame:
     """(key, pos, mean, n): component means that new rows (key, vector) go on updating."""
     rows = df.select(key, F.posexplode("vector").alias("pos", "x"))

@@ -202,20 +202,21 @@ def test_hash_pairs_and_components(spark):
     assert set(roots.values()) == {0, 100} and roots[40] == 0
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rng = np.random.default_rng(4)
-    rows = [(int(f), float(t) / 4, i, rng.standard_normal(4).tolist()) for i, (f, t) in enumerate((f, t) for t in range(40) for f in range(3) if rng.random() < 0.7)]
-    schema = "file long, ts double, id long, vector array<double>"
-    wanted = sorted(map(tuple, tracks.batch_tracks(spark.createDataFrame(rows, schema)).collect()))
-    for i, part in enumerate((rows[:30], rows[30:], [(f, 99.0, None, None) for f in range(3)])):
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    q = tracks.stream_tracks(stream).writeStream.format("memory").queryName("tracks").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(map(tuple, spark.table("tracks").collect())) == wanted
+def test_sessions_buckets_and_running_means(spark, tmp_path):
     events = spark.createDataFrame([(1, datetime.datetime(2024, 1, 1, h), h) for h in (0, 5, 11)], "u long, ts timestamp, h int")
     assert sorted(r.n for r in tracks.sessions(events, "u", "ts").collect()) == [1, 2]
+    hours = {r.start.hour: r.n for r in tracks.buckets(events, "ts", "4 hours").collect()}
+    assert hours == {0: 1, 4: 1, 8: 1}
+    prints = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", [2.0, 4.0]), ("a", [2.0, 2.0])], "k string, vector array<double>")
+    wanted = {("a", 0): (1.0, 3), ("a", 1): (1.0, 3), ("b", 0): (2.0, 1), ("b", 1): (4.0, 1)}
+    assert {(r.k, r.pos): (r.mean, r.n) for r in tracks.running_means(prints, "k").collect()} == wanted
+    for i, part in enumerate((prints.limit(2), prints.subtract(prints.limit(2)))):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(prints.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = tracks.running_means(stream, "k").writeStream.format("memory").queryName("means").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.k, r.pos): (r.mean, r.n) for r in spark.table("means").collect()} == wanted
 
 
 def test_sources(spark, tmp_path):
