@@ -129,5 +129,5 @@ def earlier_tracks(t: Tables) -> DataFrame:
     """New tracks of a file that go on one of its earlier tracks, unless two come into question."""
     e = t("embeddings").select(F.floor(F.col("vec_id") / 200).alias("file"), F.col("vec_id").alias("id"), F.pmod("vec_id", F.lit(100)).cast("double").alias("start"), "embedding")
     rows = e.select("file", "id", "start", (F.col("start") + F.pmod("id", F.lit(9))).alias("stop"), F.col("embedding").alias("vector"))
-    found = M.earlier_tracks(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), written, least=0.1, margin=0.02)
+    found = M.earlier_tracks(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), written, least=0.2, margin=0.02)
     return found.select("file", "id", "old_id", F.round("score", 6).alias("score"))

@@ -23,6 +23,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Seconds until a track closes, least overlap, least likeness with and without overlap, observations that a track keeps.
 GAP, OVERLAP, TRACKABLE, ALIKE, BEST = 1.2, 0.3, 0.35, 0.55, 8
+#: Rows of a file that are worked on together, if its stretches are shorter.
+STRETCH = 5000
 OUT = "file string, first timestamp, last timestamp, n long, best timestamp, box array<double>, vector array<double>, first_box array<double>, last_box array<double>"
 KEPT = "first double, last double, n long, first_box array<double>, last_box array<double>, scores array<double>, times array<double>, boxes array<double>, vectors array<double>"
 WAITING = "ts double, id long, box array<double>, vector array<double>, score double"
@@ -149,14 +151,15 @@ def _columns(df: DataFrame) -> DataFrame:
 def batch_tracks(df: DataFrame, gap: float = GAP) -> DataFrame:
     """Tracks (columns of OUT) of observations (file, ts, id, box, vector, score).
 
-    A file is cut where nothing is seen for longer than the gap, which closes all its tracks, so that only an unbroken stretch is one task's work.
-    Observations without time, id, box or vector are left out; a null file is a file.
+    A file is cut where nothing is seen for longer than the gap, which closes all its tracks; short stretches go together, some `STRETCH` rows at a time. So
+    only an unbroken stretch has to be one task's work. Observations without time, id, box or vector are left out; a null file is a file.
     """
     rows = _columns(df).where("ts IS NOT NULL AND id IS NOT NULL AND box IS NOT NULL AND vector IS NOT NULL")
     by_time = Window.partitionBy("file").orderBy("ts", "id")
     seconds = F.unix_micros("ts") / 1e6
-    rows = rows.withColumn("_pause", (seconds - F.lag(seconds).over(by_time) > gap).cast("int"))
-    rows = rows.withColumn("_part", F.coalesce(F.sum("_pause").over(by_time), F.lit(0)))
+    begins = F.coalesce(seconds - F.lag(seconds).over(by_time) > gap, F.lit(True))
+    rows = rows.withColumn("_first", F.when(begins, F.row_number().over(by_time)))
+    rows = rows.withColumn("_part", F.floor(F.last("_first", ignorenulls=True).over(by_time) / STRETCH))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         tracks: list[Track] = []
