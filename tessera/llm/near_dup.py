@@ -43,6 +43,8 @@ from .store import set_aside, written
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 GOLDEN = 0x9E3779B97F4A7C15
+#: Pairs from which on a head's bag may be broadcast, and bytes of all such bags.
+HOT, SENT = 500, 1 << 25
 #: Hits per register that are read at first, beyond log(registers).
 SLACK = 4.0
 
@@ -186,9 +188,22 @@ def _whole_bags(asked: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: in
 
 def _compared(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes with what their whole bags say: linked, head and size (of a and b), both (their
-    overlap), excess (what b has beyond a)."""
-    for side in "ab":
-        pairs = pairs.join(bags.select(F.col("node").alias(side), F.col("keys").alias(f"keys_{side}"), F.col("counts").alias(f"counts_{side}")), side)
+    overlap), excess (what b has beyond a).
+
+    The bag of a head with many pairs goes to the tasks once, as long as such bags are small enough together, and not once a pair.
+    """
+    side = lambda name: bags.select(F.col("node").alias(name), F.col("keys").alias(f"keys_{name}"), F.col("counts").alias(f"counts_{name}"))
+    often = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(HOT, pairs.count() // 1000))  # a thousand at most
+    sized = often.join(bags.select(F.col("node").alias("a"), (F.length("keys") + F.length("counts")).alias("size")), "a").select("a", "n", "size").collect()
+    hot, total = [], 0
+    for r in sorted(sized, key=lambda r: (-r.n, r.a)):
+        if total + r.size <= SENT:
+            hot.append((r.a,))
+            total += r.size
+    known = F.broadcast(pairs.sparkSession.createDataFrame(hot, "a binary"))
+    cold = pairs.join(known, "a", "left_anti").join(side("a"), "a").join(side("b"), "b")
+    warm = pairs.join(known, "a").join(side("b"), "b").join(F.broadcast(side("a").join(known, "a")), "a")  # `SENT` bytes at most
+    pairs = cold.unionByName(warm) if hot else cold
     return written(pairs.mapInArrow(_verified(similarity), "a binary, b binary, linked boolean, head long, size long, both long, excess array<long>"), "compared")
 
 

@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from tessera.llm import near_dup as N
 
@@ -125,3 +126,21 @@ def test_counts_beyond_a_million_are_unbiased():
     a, b = (keys, np.array([3_000_000, 500_000])), (keys, np.array([2_000_000, 900_000]))
     same = np.mean([(N.signature(a[0] + np.uint64(7 * i), a[1], 96) == N.signature(b[0] + np.uint64(7 * i), b[1], 96)).mean() for i in range(12)])
     assert abs(same - N.overlap(a, b)) < 0.06
+
+
+@pytest.mark.parametrize(("hot", "sent"), [(3, 1 << 25), (3, 4000), (10**6, 0)])
+def test_a_very_large_family(spark, monkeypatch, hot, sent):
+    """Near copies of one text, with its bag broadcast, partly broadcast and joined, and some other families."""
+    monkeypatch.setattr(N, "HOT", hot)
+    monkeypatch.setattr(N, "SENT", sent)
+    rng = np.random.default_rng(8)
+    rows = []
+    for family, n in enumerate((300, 30, 12)):
+        base = [f"f{family}w{i}" for i in rng.integers(0, 500, 150)]
+        for _ in range(n):
+            words = list(base)
+            for at in rng.integers(0, 150, rng.integers(0, 4)):
+                words[at] = f"x{rng.integers(0, 50)}"
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA).repartition(6)
+    assert Counter((r.doc_id, r.class_id) for r in N.near_duplicate_classes(docs).collect()) == brute_classes(rows)
