@@ -139,12 +139,14 @@ class Distributed:
         found = found.select(F.col("key").alias("doc_id"), "hash", F.inline(F.array(*sides))).where(F.col("chance") >= sure)
         found = found.join(self.known, "doc_id", "left_anti")  # numbers, no features
         found = found.groupBy("v", "label", "doc_id").agg(F.max(F.struct("chance", "hash")).alias("_b")).select("v", "label", "doc_id", "_b.*")
-        order = Window.partitionBy("v", "label").orderBy(F.desc("chance"), "doc_id")  # the best of each task
-        marks = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.when(F.col("label"), wanted[True]).otherwise(wanted[False])).collect()
+        order = Window.partitionBy("v", "label").orderBy(F.desc("chance"), "doc_id")
+        # A literal limit: each task sends that many of a view and label at most.
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(wanted.values()))
+        marks = best.where(F.col("rank") <= F.when(F.col("label"), wanted[True]).otherwise(wanted[False])).collect()
         if not marks:
             return [[], []]
         asked = spark.createDataFrame(sorted({(r.doc_id, r.hash) for r in marks}), "doc_id long, hash long")
-        fetched = self.rows.join(F.broadcast(asked), ["doc_id", "hash"]).select("doc_id", "hash", "text", "meta").toPandas()  # the marks' rows
+        fetched = self.rows.join(F.broadcast(asked), ["doc_id", "hash"]).select("doc_id", "hash", "text", "meta").dropDuplicates(["doc_id", "hash"]).toPandas()  # one row a mark
         features = {(i, h): (_unsigned(a), _unsigned(b)) for i, h, a, b in fetched.itertuples(index=False)}
         out: list[list[Mark]] = [[], []]
         for r in sorted(marks, key=lambda r: (r.v, not r.label, r.rank)):
@@ -210,9 +212,9 @@ def train(table: DataFrame, labels: DataFrame, most: int = MOST, pool: int = POO
     """The scorer, or None if the labels don't hold both classes among the fitted and among the held rows."""
     chosen = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality is not null")
     chosen = hash_sample(chosen.join(table.select("doc_id"), "doc_id", "left_semi"), "doc_id", most)
-    sample = table.join(F.broadcast(chosen), "doc_id").select("doc_id", "hash", "quality", "text", "meta").toPandas()  # `most` documents
-    # Of several rows with a doc_id that of the largest hash stands.
-    sample = sample.sort_values(["doc_id", "hash"]).drop_duplicates("doc_id", keep="last")
+    rows = table.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max(F.struct("hash", "text", "meta")).alias("_b"))
+    # Of several rows with a doc_id that of the largest hash stands: one row each, `most` at most.
+    sample = rows.select("doc_id", "quality", "_b.text", "_b.meta").toPandas().sort_values("doc_id")
     good = sample["quality"].to_numpy() > 0
     held = (H.mix(sample["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(4)) == 0
     if any(len(np.unique(good[part])) < 2 for part in (held, ~held)):

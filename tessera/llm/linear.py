@@ -121,7 +121,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most
     chosen = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in columns))
     chosen = chosen.where(" and ".join(f"{c} is not null" for c in columns))
     chosen = hash_sample(chosen.join(docs.select("doc_id"), "doc_id", "left_semi"), "doc_id", most)
-    rows = docs.select("doc_id", "text", *extra).join(F.broadcast(chosen), "doc_id")  # `most` rows
+    # One row a doc_id, `most` at most: where several share it, the text of the largest hash, found on numbers alone.
+    every = docs.select("doc_id", F.xxhash64("text").alias("_version"), "text", *extra).join(F.broadcast(chosen), "doc_id")
+    kept = every.groupBy("doc_id").agg(F.max("_version").alias("_version"))
+    rows = every.join(F.broadcast(kept), ["doc_id", "_version"]).drop("_version")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +133,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(found, pa.list_(pa.int32()))], [*own, "features"])
 
     kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes if c != "text")
-    out = rows.mapInArrow(hashed, f"{kinds}, features array<int>").toPandas()
+    found = rows.mapInArrow(hashed, f"{kinds}, features array<int>")
+    out = found.dropDuplicates(["doc_id"]).toPandas()  # rows equal in doc_id and text
     out["features"] = [np.asarray(x, np.int32).view(np.uint32) for x in out["features"]]
-    out["_hash"] = [int(f.sum(dtype=np.uint64)) for f in out["features"]]
-    return out.sort_values(["doc_id", "_hash"]).drop_duplicates("doc_id", keep="last").drop(columns="_hash").reset_index(drop=True)
+    return out.sort_values("doc_id").reset_index(drop=True)

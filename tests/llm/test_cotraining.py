@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from tessera.llm import cotraining as C
 
@@ -83,3 +84,26 @@ def test_every_unlabelled_document_may_teach(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
     scored = {r.doc_id: r.p_meta for r in C.score_quality(docs, labels, pool=200).collect()}
     assert len(scored) == len(rows) and min(scored[5000 + i] for i in range(12)) > 0.7
+
+
+def test_a_labelled_id_on_many_rows_is_one_row_of_the_sample(spark, monkeypatch):
+    sent = []
+    collect = type(spark.range(1)).toPandas
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda self: sent.append(out := collect(self)) or out)
+    rows = [(i, f"good words stand here {i}" if i % 2 else f"junk ### $$$ {i}", "en", "a", 20, "x", 1) for i in range(80)] + [(3, f"good words again {i % 50}", "en", "a", 20, "x", 1) for i in range(3000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    C.score_quality(spark.createDataFrame(rows, SCHEMA), labels).collect()
+    assert sent and max(map(len, sent)) <= 120
+
+
+def test_marks_are_chosen_task_by_task(spark):
+    """The plan ranks within each task first, so that no task gets all sure documents."""
+    table = spark.createDataFrame([(i, i, [1, 2], [3]) for i in range(100)], "doc_id long, hash long, text array<int>, meta array<int>")
+    plans = []
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    view = C.View(np.array([1], np.uint32), np.array([9.0, 0.0]))
+    collect = type(table).collect
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(table), "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
+        marks = C.Distributed(table, labels, 100).best([view, view], [set(), set()], {True: 7, False: 3}, 0.9)
+    assert any("WindowGroupLimit" in p for p in plans) and [len(m) for m in marks] == [7, 0]
