@@ -38,11 +38,11 @@ def varied(quality: np.ndarray, vectors: np.ndarray, most: int = BANK) -> list[i
     return chosen
 
 
-def _enough(support: int) -> float:
-    return ATTACH if support > 1 else SINGLE
+def _enough(support: int, several: float = ATTACH, single: float = SINGLE) -> float:
+    return several if support > 1 else single
 
 
-def attached(banks: list[np.ndarray], label: np.ndarray, cannot: np.ndarray) -> np.ndarray:
+def attached(banks: list[np.ndarray], label: np.ndarray, cannot: np.ndarray, several: float = ATTACH, single: float = SINGLE) -> np.ndarray:
     """Labels after each track without one has joined the identity that it is surely like.
 
     A track is as like an identity as the identity's least like core; the best identity must reach the threshold and beat the second
@@ -60,7 +60,7 @@ def attached(banks: list[np.ndarray], label: np.ndarray, cannot: np.ndarray) ->
         if len(ranked):
             second = least[ranked[1]] if len(ranked) > 1 else -1.0
             best = ranked[0]
-            if least[best] >= _enough(support[order][first][best]) and least[best] - second >= MARGIN:
+            if least[best] >= _enough(support[order][first][best], several, single) and least[best] - second >= MARGIN:
                 out[w] = identity[best]
     return out
 

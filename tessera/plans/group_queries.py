@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import detectors as D
 from ..functions import vectors as V
+from ..operators import calibration as KA
 from ..operators import clusters as K
 from ..operators import curation as C
 from ..operators import identities as I
@@ -116,11 +118,11 @@ def whole_identities(t: Tables) -> DataFrame:
 
 @query()
 def frame_tracks(t: Tables) -> DataFrame:
-    """Tracks of what the frames of each device show, by boxes and vectors, closed after an hour without a sight (J14, ST3)."""
+    """Tracks of what the frames of each device show, by boxes and vectors, closed after two days without a sight (J14, ST3)."""
     rows = frames(t).select(F.col("device").cast("string").alias("file"), F.timestamp_seconds("ts").alias("ts"), F.col("key").alias("id"), "vector", "score")
     x = F.pmod("id", F.lit(5)).cast("double")
     rows = rows.withColumn("box", F.array(x, x, x + 4, x + 4))
-    out = TR.batch_tracks(rows, 3600.0)
+    out = TR.batch_tracks(rows, 172800.0)
     return out.select("file", "first", "last", "n", "best", F.transform("last_box", lambda c: F.round(c, 6)).alias("last_box"))
 
 
@@ -131,3 +133,21 @@ def earlier_tracks(t: Tables) -> DataFrame:
     rows = e.select("file", "id", "start", (F.col("start") + F.pmod("id", F.lit(9))).alias("stop"), F.col("embedding").alias("vector"))
     found = M.earlier_tracks(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), written, least=0.2, margin=0.02)
     return found.select("file", "id", "old_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def calibrated_thresholds(t: Tables) -> DataFrame:
+    """Thresholds of stitching tried on two thirds of the files and judged on the rest."""
+    rows = t("embeddings").select(F.floor(F.col("vec_id") / 40).cast("string").alias("file"), F.floor(F.col("vec_id") / 4).alias("track"), F.pmod("vec_id", F.lit(9)).cast("double").alias("ts"), F.lit(1.0).alias("quality"), (F.pmod(F.floor(F.col("vec_id") / 4), F.lit(5)) != 0).alias("core"), F.col("embedding").alias("vector"), F.col("label").alias("person"))
+    return KA.calibrated(rows, "file", written, (0.1, 0.2, 0.3, 0.4, 0.5, 0.6))
+
+
+@query("""
+WITH l AS (SELECT doc_id, CAST(u.i AS INTEGER) - 1 AS frame, string_split(coalesce(text, ''), chr(10))[u.i] AS line FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i) u),
+n AS (SELECT doc_id, frame, regexp_extract_all(line, '[0-9]+') AS found FROM l)
+SELECT doc_id, frame, CAST(u.k AS INTEGER) - 1 AS number, CAST(length(found[u.k]) AS INTEGER) AS width FROM n, LATERAL (SELECT unnest(range(1, len(found) + 1)) AS k) u""")
+def file_detections(t: Tables) -> DataFrame:
+    """One file to many rows: the numbers in each line of a text, by a detector."""
+    rows = t("documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    found = D.detections(rows, F.col("lines"), D.number_detector)
+    return found.select("doc_id", "frame", "number", (F.col("stop") - F.col("start")).alias("width"))
