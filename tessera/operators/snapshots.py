@@ -103,6 +103,44 @@ def stage(catalog: Catalog, table: str, schema: str, key: str, version: list[str
     return n
 
 
+def stage_in_parts(catalog: Catalog, table: str, schema: str, key: str, version: list[str], wanted: DataFrame, compute: Callable[[DataFrame], DataFrame], rows: int = 3000) -> int:
+    """stage(), with what is stale computed in parts of some `rows` rows, each kept as soon as it is done; returns the number of computed rows.
+
+    A run that stops half way leaves its finished parts under the table's `_pending` folder; the next run counts them as done and only computes
+    the rest. A part counts once its writer has finished it. The table itself is published once, at the end, from the parts and what it
+    held; a part that has been published is removed. Later runs' parts go before earlier ones', and before the table.
+    """
+    from .scopes import stale
+    from .tables import upsert
+
+    spark, folder = catalog.spark, f"{catalog.folder}/{table}/_pending"
+    fs, path = catalog._files(folder)
+    at = catalog.version(table)
+    done = catalog.read(table, schema, at)
+    earlier = sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+    runs: dict[str, list[str]] = {}
+    for name in earlier:
+        for part in fs.listStatus(catalog._files(f"{folder}/{name}")[1]):
+            if fs.exists(catalog._files(f"{folder}/{name}/{part.getPath().getName()}/_SUCCESS")[1]):
+                runs.setdefault(name, []).append(f"{folder}/{name}/{part.getPath().getName()}")
+    for name in sorted(runs):
+        done = upsert(done, spark.read.schema(schema).parquet(*runs[name]), [key])
+    todo = written(stale(wanted, done, key, version))
+    n = todo.count()
+    now = f"{1 + max((int(x) for x in earlier), default=0):09d}"
+    parts = -(-n // rows)
+    mine = []
+    for i in range(parts):
+        mine.append(f"{folder}/{now}/{i}")
+        compute(todo.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i)).select(*done.columns).write.parquet(mine[-1])
+    if mine:
+        done = upsert(done, spark.read.schema(schema).parquet(*mine), [key])
+    if n or runs:
+        catalog.publish(table, done, at)
+        fs.delete(path, True)
+    return n
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; a temporary one on a single machine without the setting."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
