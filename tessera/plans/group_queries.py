@@ -10,6 +10,7 @@ from ..functions import vectors as V
 from ..operators import calibration as KA
 from ..operators import clusters as K
 from ..operators import curation as C
+from ..operators import hierarchy as H
 from ..operators import identities as I
 from ..operators import matching as M
 from ..operators import people as P
@@ -151,3 +152,10 @@ def file_detections(t: Tables) -> DataFrame:
     rows = t("documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     found = D.detections(rows, F.col("lines"), D.number_detector)
     return found.select("doc_id", "frame", "number", (F.col("stop") - F.col("start")).alias("width"))
+
+
+@query()
+def density_hierarchy(t: Tables) -> DataFrame:
+    """Density clusters of all vectors without a fixed radius."""
+    rows = t("embeddings").select(F.lit(0).alias("g"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    return H.hierarchical(rows, "g", written, size=3, least=0.3).select("key", "label")
