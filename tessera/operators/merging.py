@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from .snapshots import written
 
 
@@ -44,3 +45,28 @@ def rewritten(df: DataFrame, columns: dict[str, DataFrame]) -> DataFrame:
         named = mapping.select(F.col("id").alias(column), F.col("new").alias("_new"))
         df = df.join(named, column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
     return df
+
+
+def keyed(path: Column, source: str) -> Column:
+    """A path as a key of the source; what is a key already, empty or null stays."""
+    return F.when((path == "") | P.is_key(path), path).otherwise(F.concat(F.lit(f"{source}:"), path))
+
+
+def keyed_columns(df: DataFrame, columns: list[str], source: str) -> DataFrame:
+    """df of one computer's catalogue with the paths in these columns as keys of its source: only those whose colon is a drive's, or that have none."""
+    head = F.lit(f"{source}:")
+    for column in columns:
+        path = F.col(column)
+        df = df.withColumn(column, F.when((path != "") & P.is_legacy(path), F.concat(head, path)).otherwise(path))
+    return df
+
+
+def keyed_list(items: Column, source: str) -> Column:
+    """A run's list of roots or paths as keys of the source."""
+    return F.transform(items, lambda x: keyed(x, source))
+
+
+def keyed_rules(rules: Column, source: str) -> Column:
+    """Path rules, one a line, as rules of the source: lines are trimmed, empty ones inside stay, those at both ends go."""
+    lines = F.transform(F.split(F.replace(rules, F.lit("\r"), F.lit("")), "\n"), lambda x: keyed(F.regexp_replace(x, r"^\s+|\s+$", ""), source))
+    return F.trim(F.array_join(lines, "\n"), F.lit("\n"))
