@@ -70,3 +70,15 @@ def funnel(df: DataFrame, rules: list[tuple[Column, str]], passed: str = "passed
     for rule, name in rules[1:]:
         out = out.when(rule, F.lit(name))
     return df.groupBy(out.otherwise(F.lit(passed)).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def prompt_states(expected: DataFrame, stored: DataFrame) -> DataFrame:
+    """(model, missing, current): how many of the expected prompts (name, text) each model of stored (model, name, text) lacks or has with another text.
+
+    A model without any stored prompt isn't listed. What is stored and not expected doesn't count.
+    """
+    good = stored.join(expected.select("name", "text").distinct(), ["name", "text"], "left_semi").groupBy("model").agg(F.count_distinct("name").alias("_good"))
+    wanted = expected.agg(F.count_distinct("name").alias("_wanted"))
+    rows = stored.select("model").distinct().join(good, "model", "left").join(F.broadcast(wanted), F.lit(True))  # one row
+    missing = F.col("_wanted") - F.coalesce("_good", F.lit(0))
+    return rows.select("model", missing.alias("missing"), (missing == 0).alias("current"))

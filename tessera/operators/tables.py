@@ -63,6 +63,24 @@ def ranked(df: DataFrame, order: str, name: str) -> DataFrame:
     return dealt.join(F.broadcast(offsets), "_range").withColumn(name, rank + F.col("_before")).drop("_range", "_before")
 
 
+def standings(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, below, total, median) of every value of each group: how many rows have a smaller one, of how many, and the middle.
+
+    Values are counted first, dealt to ranges of (group, value) and written; what stands before a range comes from one sum per range and
+    group. So a group may hold most rows: no task holds more than its range of different values. Rows without a value don't count.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = written(counts.repartitionByRange(F.col(group), F.col(value)).withColumn("_range", F.spark_partition_id()))
+    parts = dealt.groupBy("_range", group).agg(F.sum("_n").alias("_sum"))  # a row per group, and one per range more
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_range", group, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy(group)).alias("total"))
+    inside = Window.partitionBy("_range", group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = dealt.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offsets, ["_range", group]).withColumn("below", F.col("_before") + F.col("_in"))
+    holds = lambda at: (F.col("below") <= at) & (F.col("below") + F.col("_n") > at)
+    middle = ranks.where(holds(F.floor((F.col("total") - 1) / 2)) | holds(F.floor(F.col("total") / 2))).groupBy(group).agg((F.min(value) * 0.5 + F.max(value) * 0.5).alias("median"))
+    return ranks.select(group, value, "below", "total").join(middle, group)
+
+
 def replaced(old: DataFrame, new: DataFrame, key: str, ident: str) -> DataFrame:
     """new's groups under old's ids where the key is known, else under the next free ones; an empty new keeps old."""
     if new.isEmpty():

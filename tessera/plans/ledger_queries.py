@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import cards as C
 from ..operators import ledger as L
+from ..operators import clusters as U
 from ..operators import merging as G
+from ..operators import scopes as O
+from ..sources import archives as A
 from ..sources import places as K
 from .binding import ALBUMS, PHOTOS, albums, photos
 from .registry import Tables, query
@@ -248,3 +251,53 @@ def place_names(t: Tables) -> DataFrame:
     others = F.concat_ws(",", name, spelt(F.reverse(name)), spelt(F.substring(name, 1, 6)), F.concat(spelt(name), F.lit("I")), spelt(name), spelt(F.col("p_brand")))
     rows = t("part").select(F.col("p_partkey").cast("string").alias("id"), name.alias("ascii"), others.alias("alternates"), F.when(F.col("p_size") < 5, "PPLX").otherwise("PPL").alias("kind"), F.lit("XX").alias("country"), F.col("p_size").cast("string").alias("lat"), F.col("p_retailprice").cast("string").alias("lon"), F.col("p_size").cast("string").alias("population"))
     return K.built(rows)
+
+
+@query("""
+WITH m AS (SELECT s_nationkey AS path, s_suppkey % 5 AS speaker, min(s_name) AS name FROM supplier WHERE s_suppkey % 4 = 0 GROUP BY 1, 2),
+f AS (SELECT c_nationkey AS path, c_custkey % 5 AS speaker, c_name AS name, round(c_acctbal / 10000, 3) AS confidence FROM customer WHERE c_custkey % 9 = 0 QUALIFY row_number() OVER (PARTITION BY c_nationkey, c_custkey % 5 ORDER BY round(c_acctbal / 10000, 3) DESC, c_name) = 1),
+v AS (SELECT p_size AS path, p_partkey % 5 AS speaker, p_name AS name, round(p_retailprice / 3000, 3) AS confidence FROM part QUALIFY row_number() OVER (PARTITION BY p_size, p_partkey % 5 ORDER BY round(p_retailprice / 3000, 3) DESC, p_name) = 1),
+s AS (SELECT user_id % 60 AS path, event_id AS ord, event_type AS text, event_id % 5 AS speaker FROM events)
+SELECT s.path AS path, ord, text, coalesce(m.name, f.name, v.name) AS name, CASE WHEN m.name IS NOT NULL THEN 1.0 WHEN f.name IS NOT NULL THEN f.confidence ELSE v.confidence END AS confidence,
+  CASE WHEN m.name IS NOT NULL THEN 'manual' WHEN f.name IS NOT NULL THEN 'face' WHEN v.name IS NOT NULL THEN 'voice' END AS source, row_number() OVER (PARTITION BY s.path ORDER BY ord) AS position
+FROM s LEFT JOIN m ON m.path = s.path AND m.speaker = s.speaker LEFT JOIN f ON f.path = s.path AND f.speaker = s.speaker LEFT JOIN v ON v.path = s.path AND v.speaker = s.speaker""")
+def speech_pages(t: Tables) -> DataFrame:
+    """Segments in order, each with the name of who speaks: by hand, by face, by voice."""
+    who = lambda df, path, key, name: df.select(F.col(path).cast("long").alias("path"), (F.col(key) % 5).alias("speaker"), F.col(name).alias("name"), "confidence")
+    hand = who(t("supplier").where("s_suppkey % 4 = 0").withColumn("confidence", F.lit(1.0)), "s_nationkey", "s_suppkey", "s_name")
+    face = who(t("customer").where("c_custkey % 9 = 0").withColumn("confidence", F.round(F.col("c_acctbal") / 10000, 3)), "c_nationkey", "c_custkey", "c_name")
+    voice = who(t("part").withColumn("confidence", F.round(F.col("p_retailprice") / 3000, 3)), "p_size", "p_partkey", "p_name")
+    start = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    segments = t("events").select((F.col("user_id") % 60).alias("path"), F.col("event_id").alias("ord"), start.alias("start"), (start + 1).alias("stop"), F.col("event_type").alias("text"), (F.col("event_id") % 5).alias("speaker"))
+    return C.speech(segments, hand, face, voice).drop("start", "stop", "speaker")
+
+
+@query("""
+WITH e AS (SELECT n_nationkey AS name, n_name AS text FROM nation), s AS (SELECT o_orderpriority AS model, c_nationkey AS name, n_name || CASE WHEN o_orderpriority LIKE '1%' AND c_nationkey % 3 = 0 THEN ' (old)' ELSE '' END AS text FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
+SELECT model, missing, missing = 0 AS current FROM (SELECT model, (SELECT count(*) FROM nation) - count(DISTINCT e.name) AS missing FROM s LEFT JOIN e ON e.name = s.name AND e.text = s.text GROUP BY 1)""")
+def prompt_states(t: Tables) -> DataFrame:
+    """Which models have all prompts with the texts of now."""
+    expected = t("nation").select(F.col("n_nationkey").alias("name"), F.col("n_name").alias("text"))
+    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    old = F.col("o_orderpriority").startswith("1") & (F.col("c_nationkey") % 3 == 0)
+    return O.prompt_states(expected, rows.select(F.col("o_orderpriority").alias("model"), F.col("c_nationkey").alias("name"), F.when(old, F.concat("n_name", F.lit(" (old)"))).otherwise(F.col("n_name")).alias("text")))
+
+
+@query("""
+SELECT CAST(doc_id // 20 AS VARCHAR) AS batch, lpad(CAST(row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS VARCHAR), 2, '0') || '.jpg' AS file, md5(text) AS digest FROM documents WHERE text IS NOT NULL""")
+def review_archives(t: Tables) -> DataFrame:
+    """All documents packed into archives of twenty, and what is in them read back."""
+    items = t("documents").select(F.floor(F.col("doc_id") / 20).alias("id"), F.col("doc_id").alias("order"), F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    files = A.unpacked(A.packed(items, {"person": "somebody is seen", "text": "writing is seen"}, "clip")).where("file LIKE '%.jpg'")
+    return files.select(F.col("id").alias("batch"), "file", F.md5("content").alias("digest"))
+
+
+@query()
+def grown_clusters(t: Tables) -> DataFrame:
+    """Two steps of newly come vectors: to the nearest centre, the rest to clusters of its own; centres move between."""
+    e = t("embeddings").select(F.col("vec_id").alias("key"), "label", F.col("embedding").cast("array<double>").alias("vector"))
+    third = F.col("key") % 3
+    known = U.centre_sums(e.where((third == 0) & (F.col("label") < 5)).select("label", "vector"))
+    first, sums = U.grown(known, e.where(third == 1).select("key", "vector"), 0.3)
+    second, _ = U.grown(sums, e.where(third == 2).select("key", "vector"), 0.3)
+    return first.select("key", "label", "how").union(second.select("key", "label", "how"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import scoring as S
 from ..functions import times as D
 from ..functions import vectors as V
+from ..operators import tables as T
 from .binding import PHOTOS, PLACES, photos, places
 from .registry import Tables, query
 
@@ -257,12 +258,9 @@ def metadata_text(t: Tables) -> DataFrame:
 SELECT event_id, round(percent, 6) AS percent, mid FROM (SELECT event_id, (rank() OVER (PARTITION BY event_type ORDER BY value) - 1) * 1.0 / count(*) OVER (PARTITION BY event_type) AS percent, median(value) OVER (PARTITION BY event_type) AS mid FROM events)""")
 def percent_rank(t: Tables) -> DataFrame:
     """Share of smaller scores and the median, by group."""
-    # Scores are counted once a value, so that the window holds distinct values and not rows.
-    counts = t("events").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.withColumn("below", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    whole = t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("total"), F.median("value").alias("mid"))
-    return t("events").join(below, ["event_type", "value"]).join(whole, "event_type").select("event_id", F.round(F.col("below") / F.col("total"), 6).alias("percent"), "mid")
+    e = t("events").select("event_id", "event_type", "value")
+    ranks = T.standings(e, "event_type", "value")
+    return e.join(ranks, ["event_type", "value"]).select("event_id", F.round(F.col("below") / F.col("total"), 6).alias("percent"), F.col("median").alias("mid"))
 
 
 @query("""
