@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from .store import written
 
+#: Parts in which each arc's rows are ranked.
+STRANDS = 32
+
 
 def ring_points(shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted places on the ring (signed 64 bits) and the shard that owns each."""
@@ -74,9 +77,9 @@ def plan_ring(counts: np.ndarray, owner: np.ndarray, capacity: np.ndarray) -> li
 def shard_rows(df: DataFrame, key: str, carry: list[str], shards: int = 8, vnodes: int = 512, epsilon: float = 0.0) -> DataFrame:
     """Rows of (key, *carry) with shard and slot (0 to the shard's rows - 1, without gaps).
 
-    Keys may be null or repeat: a null key hashes like any value, equal rows are counted
-    once with their number before anything is shuffled by arc, and get one slot each. The
-    order in an arc is by place on the ring, then by key and the carried columns, so the
+    Keys may be null or repeat: a row without a key is placed by its carried columns, equal rows are
+    counted once with their number before anything is shuffled by arc, and get one slot each. The
+    order in an arc is by strand, place on the ring, key and the carried columns, so the
     result depends on the rows alone. Columns of df other than key and carry are left out. An
     empty table gives an empty one.
     """
@@ -89,15 +92,20 @@ def shard_rows(df: DataFrame, key: str, carry: list[str], shards: int = 8, vnode
 
     columns = [key, *carry]
     rows = df.select(*columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    rows = written(rows.withColumn("_place", F.xxhash64(key)).withColumn("_arc", arc_of("_place")), "ring")
+    place = F.when(F.col(key).isNull(), F.xxhash64(*columns)).otherwise(F.xxhash64(key))
+    rows = written(rows.withColumn("_place", place).withColumn("_arc", arc_of("_place")).withColumn("_strand", F.pmod(F.xxhash64(*columns), F.lit(STRANDS)).cast("int")), "ring")
     counts = np.zeros(len(points), np.int64)
     for arc, n in rows.groupBy("_arc").agg(F.sum("_copies")).collect():  # shards * vnodes rows at most
         counts[arc] = n
     plan = plan_ring(counts, owner, capacities(int(counts.sum()), shards, epsilon))
     plan = spark.createDataFrame(plan or [(-1, 0, 0, 0, 0)], "_arc int, _from long, _to long, shard int, _slot long")
 
-    order = Window.partitionBy("_arc").orderBy("_place", *columns).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = rows.withColumn("_end", F.sum("_copies").over(order)).withColumn("_start", F.col("_end") - F.col("_copies"))
+    # A key with very many rows falls on one arc: an arc is ranked in strands, by a hash of the whole row, and counted through.
+    before = Window.partitionBy("_arc").orderBy("_strand").rowsBetween(Window.unboundedPreceding, -1)  # STRANDS rows
+    starts = rows.groupBy("_arc", "_strand").agg(F.sum("_copies").alias("_n")).select("_arc", "_strand", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    order = Window.partitionBy("_arc", "_strand").orderBy("_place", *columns).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("_in", F.sum("_copies").over(order)).join(F.broadcast(starts), ["_arc", "_strand"])  # shards * vnodes * STRANDS rows at most
+    ranked = ranked.withColumn("_end", F.col("_first") + F.col("_in")).withColumn("_start", F.col("_end") - F.col("_copies"))
     first, last = F.greatest("_start", "_from"), F.least("_end", "_to") - 1
     placed = ranked.join(F.broadcast(plan), "_arc").where(first <= last)  # the plan's size is bounded by the ring's
     placed = placed.withColumn("_rank", F.explode(F.sequence(first, last)))

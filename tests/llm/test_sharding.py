@@ -71,3 +71,18 @@ def test_documents(spark):
     again = S.shard_documents(spark.createDataFrame(rows[::-1], SCHEMA)).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
     assert S.shard_documents(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_one_key_and_no_key_on_most_rows(spark):
+    rows = [(7, i, i) for i in range(600)] + [(None, i, i) for i in range(600)] + [(i, 1, 1) for i in range(100, 200)] + [(7, 3, 3)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, size long, text_crc32 long")
+    out = S.shard_rows(df, "doc_id", ["size", "text_crc32"], 8, 64).collect()
+    assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in out) == sorted((a or -1, b, c) for a, b, c in rows)
+    for shard in range(8):
+        slots = sorted(r.slot for r in out if r.shard == shard)
+        assert slots == list(range(len(slots))) and len(slots) in (len(rows) // 8, len(rows) // 8 + 1)
+    again = S.shard_rows(df.repartition(7), "doc_id", ["size", "text_crc32"], 8, 64).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+    # Without a bound, rows without a key spread over the shards and those of one key stay together.
+    free = S.shard_rows(df, "doc_id", ["size", "text_crc32"], 8, 64, epsilon=8.0).collect()
+    assert len({r.shard for r in free if r.doc_id is None}) == 8 and len({r.shard for r in free if r.doc_id == 7}) == 1
