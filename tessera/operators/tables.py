@@ -41,6 +41,18 @@ def copies(df: DataFrame, content: str, key: str) -> DataFrame:
     return df.join(first.drop("_n"), content).where(F.col(key) > F.col("original")).select(key, "original")
 
 
+def repeated(df: DataFrame, column: str, most: int = 1_000_000) -> DataFrame:
+    """df without rows whose value of a column stands alone, as a cheap test before a dear one: wide rows don't move for it.
+
+    Up to `most` repeated values are broadcast. If there are more, hardly a row would go, and df is returned as it is: what
+    follows must be right with such rows too. Rows without a value count as having one and the same.
+    """
+    values = df.groupBy(F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_value")
+    if values.limit(most + 1).count() > most:
+        return df
+    return df.join(F.broadcast(values), F.col(column).eqNullSafe(F.col("_value")), "left_semi")
+
+
 def propagate(results: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """results, with those of originals for copies that have none."""
     new = results.join(pairs.select(F.col(key).alias("_copy"), F.col("original").alias(key)), key).drop(key).withColumnRenamed("_copy", key)

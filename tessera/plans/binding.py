@@ -19,6 +19,11 @@ def photos(t: Tables) -> DataFrame:
     return d.select("doc_id", path.alias("path"), folder.alias("dir"), "source", "lang", F.col("n_chars").alias("size"), (F.col("doc_id") * 1000).alias("modified"), "text")
 
 
+def photos_under(t: Tables, folder: str) -> DataFrame:
+    """The files of a folder `source:/...`. Paths are computed here, so the source is tested by itself as well: that reaches the scan."""
+    return photos(t).where(F.col("source").startswith(folder.split(":")[0]) & F.col("path").startswith(folder))
+
+
 #: One place per supplier, from its key by plain arithmetic.
 PLACES = "(SELECT s_suppkey, s_name, s_acctbal, CAST((s_suppkey * 37) % 120 - 60 AS DOUBLE) + 0.25 AS lat, CAST((s_suppkey * 53) % 300 - 150 AS DOUBLE) + 0.5 AS lon FROM supplier)"
 

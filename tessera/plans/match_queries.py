@@ -56,32 +56,43 @@ def vote_dominance(t: Tables) -> DataFrame:
     return best.select("user_id", "face", F.round("part", 4).alias("part"))
 
 
+#: Every vector's hash, and that of a coarse copy of it (steps of 1/64), as a re-encoded picture has: (id, h), ids of copies below zero.
+COPIED = """(SELECT id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, 64), lambda i: CASE WHEN e[i] > e[i + 1] THEN CAST(1 AS BIGINT) ELSE 0 END)), lambda a, b: a * 2 + b) AS h
+  FROM (SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings UNION ALL SELECT -1 - vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) FROM embeddings))"""
+
+
+def copied(t: Tables) -> DataFrame:
+    e, key = t("embeddings"), F.col("vec_id").cast("long")
+    coarse = F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("double"))
+    versions = F.array(F.struct(key.alias("id"), F.col("embedding").cast("array<double>").alias("e")), F.struct((-1 - key).alias("id"), coarse.alias("e")))
+    return e.select(F.inline(versions)).select("id", V.sign_hash(F.col("e")).alias("h"))
+
+
 @query(f"""
-WITH h AS {HASHES} SELECT a, b, distance FROM (SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS distance FROM (SELECT h, min(vec_id) AS vec_id FROM h GROUP BY h) x, (SELECT h, min(vec_id) AS vec_id FROM h GROUP BY h) y WHERE x.vec_id < y.vec_id) WHERE distance <= 7""")
+WITH h AS {COPIED} SELECT a, b, distance FROM (SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS distance FROM (SELECT h, min(id) AS id FROM h GROUP BY h) x, (SELECT h, min(id) AS id FROM h GROUP BY h) y WHERE x.id < y.id) WHERE distance <= 3""")
 def dup_bands(t: Tables) -> DataFrame:
-    """Hashes within a few bits, by bands that lose none."""
-    rows = t("embeddings").select("vec_id", F.shiftright(V.sign_hash(F.col("embedding")), 20).alias("h"))
-    return M.hash_pairs(rows, "vec_id", "h", 7, bits=43)
+    """Hashes within three bits, by two bands that lose none: a bucket is rows that share some thirty bits."""
+    return M.hash_pairs(copied(t), "id", "h", 3, bits=63)
 
 
 @query(f"""
-WITH RECURSIVE h AS {HASHES}, n AS (SELECT h, min(vec_id) AS vec_id FROM h GROUP BY h), e AS (SELECT x.vec_id AS a, y.vec_id AS b FROM n x, n y WHERE x.vec_id <> y.vec_id AND bit_count(xor(x.h, y.h)) <= 7),
+WITH RECURSIVE h AS {COPIED}, n AS (SELECT h, min(id) AS id FROM h GROUP BY h), e AS (SELECT x.id AS a, y.id AS b FROM n x, n y WHERE x.id <> y.id AND bit_count(xor(x.h, y.h)) <= 3),
 r AS (SELECT a AS node, a AS root FROM (SELECT DISTINCT a FROM e) UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
 SELECT node, min(root) AS root FROM r GROUP BY node""")
 def dup_components(t: Tables) -> DataFrame:
     """Connected components over near hashes."""
-    rows = t("embeddings").select("vec_id", F.shiftright(V.sign_hash(F.col("embedding")), 20).alias("h"))
-    return M.components(M.hash_pairs(rows, "vec_id", "h", 7, bits=43), N.written)
+    return M.components(M.hash_pairs(copied(t), "id", "h", 3, bits=63), N.written)
 
 
 @query(f"""
-WITH p AS (SELECT *, sha1(text) AS h FROM {PHOTOS}), g AS (SELECT h, count(*) AS n, arg_max(path, size * 1000000 - doc_id) AS keep, CAST(sum(size) - max(size) AS BIGINT) AS extra, array_to_string(list(path ORDER BY path), ',') AS paths FROM p GROUP BY h HAVING count(*) > 1)
+WITH p AS (SELECT *, sha1(text) AS h FROM {PHOTOS}), g AS (SELECT h, count(*) AS n, arg_max(path, size * 1000000 - doc_id) AS keep, CAST(sum(size) - max(size) AS BIGINT) AS extra, array_to_string(list(path ORDER BY path)[:4], ',') AS paths FROM p GROUP BY h HAVING count(*) > 1)
 SELECT h, n, keep, extra, paths FROM g""")
 def dup_groups_exact(t: Tables) -> DataFrame:
-    """Groups of equal files, what to keep and what it saves."""
-    p = photos(t).withColumn("h", F.sha1("text"))
-    groups = p.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max_by("path", F.struct("size", (-F.col("doc_id")).alias("d"))).alias("keep"), (F.sum("size") - F.max("size")).alias("extra"), F.array_join(F.sort_array(F.collect_list("path")), ",").alias("paths"))
-    return groups.where("n > 1")
+    """Groups of equal files with their first four, what to keep and what it saves; no list grows with its group."""
+    p = photos(t).select("doc_id", "path", "size", F.sha1("text").alias("h"))
+    groups = p.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max_by("path", F.struct("size", (-F.col("doc_id")).alias("d"))).alias("keep"), (F.sum("size") - F.max("size")).alias("extra")).where("n > 1")
+    heads = M.best_per(p.select("h", "path"), ["h"], [F.col("path")], 4).groupBy("h").agg(F.array_join(F.sort_array(F.collect_list("path")), ",").alias("paths"))
+    return groups.join(heads, "h")
 
 
 @query(f"""

@@ -11,7 +11,7 @@ from ..functions import vectors as V
 from ..operators import scopes as O
 from ..operators import tables as T
 from ..operators import trees as R
-from .binding import ALBUMS, PHOTOS, albums, photos
+from .binding import ALBUMS, PHOTOS, albums, photos, photos_under
 from .registry import Tables, query
 
 EXCLUDED_NAMES = ["de", "$recycle.bin", "node_modules", ".git", "thumbnails"]
@@ -23,8 +23,8 @@ page AS (SELECT path, doc_id, size FROM p WHERE path LIKE 'src1:/%' AND doc_id N
 SELECT path, page.doc_id, size, quality, toxic FROM page LEFT JOIN labels ON labels.doc_id = page.doc_id""")
 def page_scope(t: Tables) -> DataFrame:
     """A page of a source's visible files that aren't copies, largest first, then filled in."""
-    rows = photos(t).where(O.folder(F.col("path"), "src1:/"))
-    copies = T.copies(photos(t).withColumn("sha", F.sha1("text")).select("doc_id", "sha"), "sha", "doc_id")
+    rows = photos_under(t, "src1:/")
+    copies = T.copies(T.repeated(photos(t), "size").select("doc_id", F.sha1("text").alias("sha")), "sha", "doc_id")
     rows = O.visible(rows, t("labels").where("toxic = 1"), "doc_id").join(copies, "doc_id", "left_anti")
     page = rows.select("path", "doc_id", "size").orderBy(F.desc("size"), "path").limit(50)
     return page.join(t("labels"), "doc_id", "left").select("path", "doc_id", "size", "quality", "toxic")
@@ -136,9 +136,7 @@ WITH c AS (SELECT path, doc_id, sha1(text) AS h, size FROM {PHOTOS}), s AS (SELE
 SELECT path, original FROM (SELECT path, min(path) OVER (PARTITION BY h) AS original FROM s) WHERE path > original""")
 def size_semi_dups(t: Tables) -> DataFrame:
     """Copies: only files whose size repeats are hashed."""
-    p = photos(t)
-    sizes = p.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hashed = p.join(sizes, "size", "left_semi").select("path", F.sha1("text").alias("sha"))
+    hashed = T.repeated(photos(t), "size").select("path", F.sha1("text").alias("sha"))
     return T.copies(hashed, "sha", "path")
 
 

@@ -202,6 +202,32 @@ def test_hash_pairs_and_components(spark):
     assert set(roots.values()) == {0, 100} and roots[40] == 0
 
 
+def test_banks_and_labels_by_broadcast_and_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    vectors = [[float(x) for x in v] for v in rng.normal(size=(40, 3))]
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate(vectors[:15])], "q long, v array<double>")
+    bank = spark.createDataFrame([(f"p{i % 4}", i, v) for i, v in enumerate(vectors)], "person string, sample long, p array<double>")
+    for best in (None, 2):
+        once, blocks = (sorted((r.q, r.person, r.sample, r.sim) for r in matching.bank_scores(queries, bank, rows, best).collect()) for rows in (100, 6))
+        assert [x[:3] for x in once] == [x[:3] for x in blocks] and len(once) == 15 * (4 * best if best else 40)
+        assert np.allclose([x[3] for x in once], [x[3] for x in blocks], atol=2e-6)
+    samples = spark.createDataFrame([(i, i % 5, i // 4, v) for i, v in enumerate(vectors)], "vec_id long, label long, file long, embedding array<double>")
+    wanted = {}
+    for i, label in itertools.product(range(40), range(5)):
+        if others := [j for j in range(40) if j % 5 == label and j // 4 != i // 4]:
+            wanted[i, label] = np.mean([np.dot(vectors[i], vectors[j]) for j in others])
+    for rows in (100, 2):
+        got = {(r.q, r.person): r.score for r in matching.leave_one_out(samples, rows).collect()}
+        assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-9 for k in wanted)
+
+
+def test_rows_whose_value_repeats(spark):
+    df = spark.createDataFrame([(1, 5), (2, 5), (3, 6), (4, None), (5, None), (6, 7)], "id long, size long")
+    assert sorted(r.id for r in tables.repeated(df, "size").collect()) == [1, 2, 4, 5]
+    assert tables.repeated(df, "size", most=1).count() == 6  # too many values to send: the test is left out
+    assert tables.repeated(df.limit(0), "size").count() == 0
+
+
 def test_sessions_buckets_and_running_means(spark, tmp_path):
     events = spark.createDataFrame([(1, datetime.datetime(2024, 1, 1, h), h) for h in (0, 5, 11)], "u long, ts timestamp, h int")
     assert sorted(r.n for r in tracks.sessions(events, "u", "ts").collect()) == [1, 2]
