@@ -6,20 +6,26 @@ among the digests of known licences. Whole documents are looked up, and each lin
 of its own, since notices stand on lines. Equality of digests is the only test: no window,
 no similarity.
 
-The known digests are the fixed list in licence_texts.py (a few dozen rows), hence the
-broadcast; everything runs in the JVM without a shuffle.
+The known digests are the fixed lists in licence_texts.py (a few dozen rows), hence the
+broadcast; everything runs in the JVM without a shuffle. A caller's list of more than MOST
+texts is joined without that hint. Of long licences (Apache, GPL, LGPL, MPL, GFDL, CC0) the
+list holds digests alone, of the wording that their authors publish, line ends wherever
+they stand, unless a line then begins with the word copyright.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .licence_texts import LICENCES, NOTICES, SPELLINGS
+from .licence_texts import DIGESTS, LICENCES, NOTICES, SPELLINGS
 
 #: A line that says who holds the copyright, on lower-case text.
 COPYRIGHT = r"^[^a-z0-9]*(copyright\b|\(c\) ?[0-9]|© ?[0-9]|all rights reserved).*$"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
+MOST = 100_000
 
 
 def canonical_line(line: Column) -> Column:
@@ -38,10 +44,11 @@ def _whole(lines: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
-    """(digest, license_id), one row a digest; of equal canonical forms the smallest identifier stands."""
+def known_digests(spark: SparkSession, known: list[tuple[str, str]], digests: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """(digest, license_id) of known texts and of given digests, one row a digest; of equal ones the smallest identifier stands."""
     table = spark.createDataFrame(known, "license_id string, text string")
     table = table.select("license_id", F.sha2(_whole(_canonical_lines(F.col("text"))), 256).alias("digest"))
+    table = table.union(spark.createDataFrame(list(digests), "license_id string, digest string"))
     return table.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -51,7 +58,7 @@ def scan_licences(docs: DataFrame, known: list[tuple[str, str]] | None = None) -
     scope is `document` (line -1: the whole text is the licence) or `line` (line counts from 0).
     Null and empty texts, and texts that are all punctuation, match nothing. Equal rows of docs
     give equal rows of the result; other columns of docs are left out. An empty table gives an
-    empty one.
+    empty one. `known` takes the place of the built-in lists; an empty one finds nothing.
     """
     lines = docs.select("doc_id", _canonical_lines(F.col("text")).alias("lines"))
     units = F.concat(
@@ -60,7 +67,8 @@ def scan_licences(docs: DataFrame, known: list[tuple[str, str]] | None = None) -
     )
     rows = lines.select("doc_id", F.inline(F.filter(units, lambda u: u["canonical"] != "")))
     rows = rows.select("doc_id", "scope", "line", F.sha2("canonical", 256).alias("digest"))
-    return rows.join(F.broadcast(known_digests(docs.sparkSession, known or LICENCES + NOTICES)), "digest").select("doc_id", "scope", "line", "license_id", "digest")
+    table = known_digests(docs.sparkSession, LICENCES + NOTICES if known is None else known, DIGESTS if known is None else [])
+    return rows.join(F.broadcast(table) if known is None or len(known) <= MOST else table, "digest").select("doc_id", "scope", "line", "license_id", "digest")
 
 
 def scan_sql(known: list[tuple[str, str]] | None = None) -> str:
@@ -73,11 +81,12 @@ def scan_sql(known: list[tuple[str, str]] | None = None) -> str:
 
     lines = f"list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {canonical('x')})"
     whole = "array_to_string(list_filter(lines, lambda x: x <> ''), ' ')"
-    values = ", ".join(f"('{i}', '{t.replace(chr(39), chr(39) * 2)}')" for i, t in known or LICENCES + NOTICES)
+    values = ", ".join(f"('{i}', '{t.replace(chr(39), chr(39) * 2)}')" for i, t in (LICENCES + NOTICES if known is None else known))
+    given = "".join(f" UNION ALL SELECT '{d}', '{i}'" for i, d in (DIGESTS if known is None else []))
     return f"""
     WITH known_texts(license_id, text) AS (VALUES {values}),
     known_lines AS (SELECT license_id, {lines} AS lines FROM known_texts),
-    known AS (SELECT sha256({whole}) AS digest, min(license_id) AS license_id FROM known_lines GROUP BY 1),
+    known AS (SELECT digest, min(license_id) AS license_id FROM (SELECT sha256({whole}) AS digest, license_id FROM known_lines{given}) GROUP BY 1),
     doc_lines AS (SELECT doc_id, {lines} AS lines FROM documents),
     units AS (
       SELECT doc_id, 'document' AS scope, -1 AS line, {whole} AS canonical FROM doc_lines
