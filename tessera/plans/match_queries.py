@@ -85,14 +85,14 @@ def dup_components(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH p AS (SELECT *, sha1(text) AS h FROM {PHOTOS}), g AS (SELECT h, count(*) AS n, arg_max(path, size * 1000000 - doc_id) AS keep, CAST(sum(size) - max(size) AS BIGINT) AS extra, array_to_string(list(path ORDER BY path)[:4], ',') AS paths FROM p GROUP BY h HAVING count(*) > 1)
+WITH p AS (SELECT *, sha1(text) AS h FROM {PHOTOS}), g AS (SELECT h, count(*) AS n, arg_max(path, size * 1000000 - doc_id) AS keep, CAST(sum(size) - max(size) AS BIGINT) AS extra, array_to_string(list(path ORDER BY path), ',') AS paths FROM p GROUP BY h HAVING count(*) > 1)
 SELECT h, n, keep, extra, paths FROM g""")
 def dup_groups_exact(t: Tables) -> DataFrame:
-    """Groups of equal files with their first four, what to keep and what it saves; no list grows with its group."""
+    """Groups of equal files with all their paths, what to keep and what it saves; a row holds its whole group's paths, as asked."""
     p = photos(t).select("doc_id", "path", "size", F.sha1("text").alias("h"))
-    groups = p.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max_by("path", F.struct("size", (-F.col("doc_id")).alias("d"))).alias("keep"), (F.sum("size") - F.max("size")).alias("extra")).where("n > 1")
-    heads = M.best_per(p.select("h", "path"), ["h"], [F.col("path")], 4).groupBy("h").agg(F.array_join(F.sort_array(F.collect_list("path")), ",").alias("paths"))
-    return groups.join(heads, "h")
+    keep = F.max_by("path", F.struct("size", (-F.col("doc_id")).alias("d"))).alias("keep")
+    paths = F.array_join(F.sort_array(F.collect_list("path")), ",").alias("paths")
+    return p.groupBy("h").agg(F.count(F.lit(1)).alias("n"), keep, (F.sum("size") - F.max("size")).alias("extra"), paths).where("n > 1")
 
 
 @query(f"""
