@@ -9,8 +9,8 @@ words, are taken together; what fills the slots on either side must then be cons
 same value everywhere. So a copy is found (no slot changed), and so is a question with other numbers and names.
 
 All of it is SQL functions. Before the join, a table of at most `max_cells` bytes that marks the hashes of the
-benchmark's runs (false marks possible, missed ones not) sorts out nearly all runs of the documents while
-they are still array elements, so that only runs that may match become rows. How the few rows that remain are
+benchmark's runs by two cells each (false marks possible, missed ones not) sorts out nearly all runs of the documents while
+they are still array elements, so that only runs that may match become rows, and only texts with such runs are cut into their own words. How the few rows that remain are
 joined to the benchmark is left to the planner.
 """
 
@@ -47,10 +47,27 @@ MARKS = [
 BARE = [(r"<([nup])[^>}\]]*[>}\]]", "<$1>"), (r"[^\p{L}\p{N}<> ]+", "")]
 
 
+def _by_first(words: str) -> tuple[str, str]:
+    """Plain words as alternatives of their first letters, and those letters in both cases."""
+    rest: dict[str, list[str]] = {}
+    for word in words.split("|"):
+        rest.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{c}(?:{'|'.join(ends)})" for c, ends in rest.items()), "".join(c + c.upper() for c in rest)
+
+
+_NUMBERS, _FIRST = _by_first(NUMBER_WORDS)
+#: Patterns that match the same, written so that Java's expressions, which try alternatives and classes one by one, give up a plain word at its first letter.
+QUICK = {
+    MARKS[5][0]: rf" (?=[{_FIRST}])(?i:((?:{_NUMBERS})(?:-(?:{_NUMBERS}))*))([^\p{{L}}\p{{N}} ]* )",
+    MARKS[8][0]: r" (?![a-z ])([^\p{L}\p{N} <]*)(\p{Lu}[\p{L}\p{M}]*(?:-\p{Lu}[\p{L}\p{M}]*)*)",
+    BARE[1][0]: r"[^\p{L}\p{N}<> a-z]+",
+}
+
+
 def _steps(text: Column, steps: list[tuple[str, str]]) -> Column:
     for pattern, by in steps:
         plain = by == "_"
-        text = F.replace(text, F.lit(pattern), F.lit(by)) if plain else F.regexp_replace(text, pattern, by)
+        text = F.replace(text, F.lit(pattern), F.lit(by)) if plain else F.regexp_replace(text, QUICK.get(pattern, pattern), by)
     return text
 
 
@@ -59,19 +76,45 @@ def template(marked: Column) -> Column:
     return F.split(F.trim(F.lower(_steps(marked, BARE))), "  ")
 
 
-def _with_words(df: DataFrame, *keys: str) -> DataFrame:
-    """Words and template words, one to one; a placeholder's word holds all words that it stands for."""
-    marked = df.select(*keys, _steps(F.concat(F.lit(" "), F.coalesce(F.col("text"), F.lit("")), F.lit(" ")), MARKS).alias("_marked"))
-    return marked.select(*keys, F.split(F.trim("_marked"), "  ").alias("raw"), template(F.col("_marked")).alias("canon"))
+def _marked(df: DataFrame, *keys: str) -> DataFrame:
+    """Marked texts and their template words."""
+    marked = df.select(*keys, _steps(F.concat(F.lit(" "), F.coalesce(F.col("text"), F.lit("")), F.lit(" ")), MARKS).alias("marked"))
+    return marked.select(*keys, "marked", template(F.col("marked")).alias("canon"))
+
+
+def _raw() -> Column:
+    """A marked text's words, one to one with the template's; a placeholder's word holds all words that it stands for."""
+    return F.split(F.trim("marked"), "  ")
+
+
+def cells_of(hash: Column, cells: int) -> list[Column]:
+    """The two cells of a run's hash; `cells` is a power of two."""
+    return [F.pmod(h, F.lit(cells)).cast("int") for h in (hash, F.shiftright(hash, 24))]
+
+
+def marked_cells(hashes: DataFrame, cells: int) -> bytes:
+    """The table: 1 at both cells of each hash."""
+    marks = bytearray(cells)
+    for (cell,) in hashes.select(F.explode(F.array(*cells_of(F.col("hash"), cells)))).distinct().collect():  # `cells` numbers at most
+        marks[cell] = 1
+    return bytes(marks)
+
+
+def may_be_met(hash: Column, cells: int, marks: bytes) -> Column:
+    """Whether the table has both cells of a hash."""
+    first, second = (F.substring(F.lit(marks), cell + 1, 1) == F.lit(b"\x01") for cell in cells_of(hash, cells))
+    return first & second
 
 
-def _candidates(width: int, cells: int, marks: bytes) -> Column:
-    """The runs of `width` template words whose hash falls on a marked cell, with their words; words are cut for those only."""
+def _spots(rows: DataFrame, width: int, cells: int, marks: bytes) -> DataFrame:
+    """The runs of `width` template words that may be met, with their words; words are cut for those only."""
     last = F.size("canon") - width + 1
     at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
     runs = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("canon", i, width)).alias("hash")))
-    met = F.filter(runs, lambda r: F.substring(F.lit(marks), F.pmod(r["hash"], F.lit(cells)).cast("int") + 1, 1) == F.lit(b"\x01"))
-    return F.transform(met, lambda r: F.struct(r["pos"].alias("pos"), r["hash"].alias("hash"), F.slice("raw", r["pos"], width).alias("doc_raw"), F.slice("canon", r["pos"], width).alias("doc_canon")))
+    met = rows.withColumn("met", F.filter(runs, lambda r: may_be_met(r["hash"], cells, marks)))  # no where(): the planner would compute all of it twice
+    met = met.select("doc_id", "version", "met", "canon", F.when(F.size("met") > 0, _raw()).alias("raw"))
+    cut = F.transform("met", lambda r: F.struct(r["pos"].alias("pos"), r["hash"].alias("hash"), F.slice("raw", r["pos"], width).alias("doc_raw"), F.slice("canon", r["pos"], width).alias("doc_canon")))
+    return met.select("doc_id", "version", F.explode(cut).alias("_run")).select("doc_id", "version", "_run.*")
 
 
 def benchmark_runs(benchmark: DataFrame, width: int, least: int) -> DataFrame:
@@ -82,7 +125,7 @@ def benchmark_runs(benchmark: DataFrame, width: int, least: int) -> DataFrame:
     """
     rows = benchmark.select("item_id", "text").dropDuplicates().withColumn("item", F.xxhash64("text"))
     both = rows.select("item_id", "item", F.lit(0).alias("small"), "text").union(rows.select("item_id", "item", F.lit(1), F.lower("text")))
-    items = _with_words(both, "item_id", "item", "small").where(F.size("canon") >= least)
+    items = _marked(both, "item_id", "item", "small").withColumn("raw", _raw()).where(F.size("canon") >= least)
     items = items.withColumn("width", F.least(F.lit(width), F.size("canon"))).withColumn("runs", F.size("canon") - F.col("width") + 1)
     rows = items.select("item_id", "item", "small", "width", "runs", "raw", "canon", F.explode(F.sequence(F.lit(1), F.col("runs"))).alias("at"))
     cut = lambda c: F.expr(f"slice({c}, at, width)")
@@ -104,14 +147,11 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     items = written(benchmark_runs(benchmark, width, least), "benchmark-runs")
     size = items.agg(F.count(F.lit(1)).alias("n"), F.collect_set("width").alias("widths")).first()  # `width` widths at most
     cells = min(max_cells, 1 << (32 * size.n + 1024).bit_length())
-    rows = _with_words(docs.select("doc_id", F.xxhash64("text").alias("version"), "text"), "doc_id", "version")
+    rows = _marked(docs.select("doc_id", F.xxhash64("text").alias("version"), "text"), "doc_id", "version")
     found = None
     for w in sorted(size.widths) or [width]:
         own = items.where(F.col("width") == w)
-        marks = bytearray(cells)
-        for (cell,) in own.select(F.pmod("hash", F.lit(cells))).distinct().collect():  # `cells` numbers at most
-            marks[cell] = 1
-        spots = rows.select("doc_id", "version", F.explode(_candidates(w, cells, bytes(marks))).alias("_run")).select("doc_id", "version", "_run.*")
+        spots = _spots(rows, w, cells, marked_cells(own, cells))
         hits = spots.join(own, (spots["hash"] == own["hash"]) & (spots["doc_canon"] == own["item_canon"]))
         hits = hits.select("doc_id", "version", "item_id", "item", "at", "runs", (F.col("pos") - F.col("at")).alias("shift"), "item_raw", "item_canon", "doc_raw")
         found = hits if found is None else found.unionByName(hits)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate as D
 
@@ -60,3 +61,22 @@ def test_variants_of_one_item(spark, changes, found):
     con.register("documents", docs.toPandas())
     con.register("benchmark", items.toPandas())
     assert sorted(con.execute(f"SELECT doc_id, item_id, n_runs, item_runs, n_slots, n_changed FROM ({D.contaminated_sql()})").fetchall()) == sorted(tuple(r) for r in got)
+
+
+def test_quick_patterns_match_as_the_plain_ones(spark):
+    words = "six sixty sixteen Six-teen twenty-five TWENTY-one, seventy. (eight) eighth ten- -ten one-two-x one--two nine<n Anna \"Bob New-York Élan ÉLAN ſix straße x-Anna 'Anna' Anna-b 5kg 7 KM. 1 200 1,200.5 {a}_[b] ### --Paris- 日本 ١٢ é̀ A a\u2028b \u00a0 K".split(" ")
+    texts = [" ".join(words[(i * step) % len(words)] for i in range(len(words))) for step in range(1, len(words))] + ["", " ", "  one  ", "one", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(F.concat(F.lit(" "), F.coalesce("text", F.lit("")), F.lit(" ")).alias("m"))
+    for pattern, by in [s for s in D.MARKS + D.BARE if s[1] != "_"]:
+        quick = D._steps(F.col("m"), [(pattern, by)])
+        assert df.where(quick != F.regexp_replace("m", pattern, by)).count() == 0
+        df = df.select(quick.alias("m"))
+    assert len(D.QUICK) == 3 and set(D.QUICK) <= {p for p, _ in D.MARKS + D.BARE}
+
+
+def test_few_runs_are_met_falsely(spark):
+    hashes, cells = spark.range(4000).select(F.xxhash64("id").alias("hash")), 1 << 17  # as many cells as contaminated_pairs takes for them
+    marks = D.marked_cells(hashes, cells)
+    assert hashes.where(D.may_be_met(F.col("hash"), cells, marks)).count() == 4000
+    others = spark.range(10000, 210000).select(F.xxhash64("id").alias("hash"))
+    assert others.where(D.may_be_met(F.col("hash"), cells, marks)).count() < 2000  # with one cell a run: some 6,000
