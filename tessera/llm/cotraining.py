@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .batches import parts
+from .batches import parts, small_batches
 from .linear import fit_logistic, fit_platt, matrix, pick_features, short, sigmoid, text_features
 from .store import hash_sample, written
 
@@ -129,7 +129,7 @@ class Distributed:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             views, gone = shared.value
-            for batch in batches:
+            for batch in parts(batches):
                 ids = batch.column("key").to_numpy(zero_copy_only=False)
                 p = [pa.array(sigmoid(view.raw_column(batch.column(c))), mask=np.isin(ids, none)) for view, c, none in zip(views, ("text", "meta"), gone, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("hash"), *p], ["key", "hash", "p0", "p1"])
@@ -230,13 +230,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, mo
     both classes, every score is 0.5 and all documents are kept. Equal rows get equal scores. Other columns are
     left out; an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     table = view_table(docs)
     scorer = docs.sparkSession.sparkContext.broadcast(train(table, labels, most, pool))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = scorer.value
-        for batch in batches:
+        for batch in parts(batches):
             text, meta, both = np.full((3, batch.num_rows), 0.5)
             if model:
                 text, meta, both = model.score_columns(batch.column("text"), batch.column("meta"))

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import cotraining as C
@@ -107,3 +108,19 @@ def test_marks_are_chosen_task_by_task(spark):
         m.setattr(type(table), "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
         marks = C.Distributed(table, labels, 100).best([view, view], [set(), set()], {True: 7, False: 3}, 0.9)
     assert any("WindowGroupLimit" in p for p in plans) and [len(m) for m in marks] == [7, 0]
+
+
+def test_features_are_scored_in_small_parts(spark, monkeypatch):
+    frame, given = type(spark.range(1)), []
+    map_in_arrow = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema: given.append(f) or map_in_arrow(self, f, schema))
+    view = C.View(np.array([1], np.uint32), np.array([9.0, 0.0]))
+    table = spark.range(3000).selectExpr("id AS doc_id", "id AS hash", "array(1, 2) AS text", "array(3) AS meta")
+    C.Distributed(table, spark.createDataFrame([], "doc_id long, quality int"), 100).best([view, view], [set(), set()], {True: 7, False: 3}, 0.9)
+    monkeypatch.setattr(C, "train", lambda *_: C.Scorer(view, view, np.array([1.0, 1.0, 0.0])))
+    C.score_quality(spark.range(9).selectExpr("id AS doc_id", "'some words' AS text", "'en' AS lang", "'a' AS source", "10L AS n_chars"), table)
+    ids, lists = pa.array(range(3000)), pa.array([[1, 2]] * 3000, pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([ids, ids, ids, lists, lists], ["doc_id", "key", "hash", "text", "meta"])
+    for run in (given[0], given[-1]):
+        rows = [b.num_rows for b in run(iter([batch]))]
+        assert sum(rows) == 3000 and max(rows) <= 256
