@@ -1,5 +1,7 @@
 from collections import Counter
 
+import pyarrow as pa
+
 import corpus_pipeline
 from tessera.llm.decontaminate import contaminated_pairs
 from tessera.llm.near_dup import near_duplicate_classes
@@ -60,3 +62,21 @@ def test_stages_on_odd_tables(spark):
 
 def kept_rows(spark, docs):
     return {r._version_of for n in (1, 5) for r in corpus_pipeline.keep_one(docs.repartition(n)).where("doc_id = 4").collect()}
+
+
+def test_stages_hand_python_small_batches(spark):
+    from tessera.llm.batches import ROWS, SETTING
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        spark.conf.unset(SETTING)
+        stage(spark, docs, "")
+        assert max(r.n for r in spark.range(5000).coalesce(1).mapInArrow(sizes, "n long").collect()) <= ROWS
+    spark.conf.set(SETTING, "50")
+    corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert spark.conf.get(SETTING) == "50"
+    spark.conf.unset(SETTING)
