@@ -8,7 +8,7 @@ document writes small are met as plain words. Matching runs of one document and
 words, are taken together; what fills the slots on either side must then be consistent: an item's value may be replaced, but by the
 same value everywhere. So a copy is found (no slot changed), and so is a question with other numbers and names.
 
-All of it is SQL functions. Before the join, a table of at most `max_cells` bytes that marks the hashes of the
+All of it is SQL functions. Before the join, a table of at most `max_cells` cells, seven to a byte, that marks the hashes of the
 benchmark's runs by two cells each (false marks possible, missed ones not) sorts out nearly all runs of the documents while
 they are still array elements, so that only runs that may match become rows, and only texts with such runs are cut into their own words. How the few rows that remain are
 joined to the benchmark is left to the planner.
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .store import set_aside, written
 
 WIDTH, LEAST, RUNS = 8, 4, 6
-#: Bytes of the table that marks the hashes of the benchmark's runs.
+#: Cells of the table that marks the hashes of the benchmark's runs. Plans hold the table, and Spark's driver writes plans out as text again and again.
 MAX_CELLS = 1 << 22
+#: Cells of a byte: a byte below 128 is a character of its own, so that `ascii` gives its number.
+PER_BYTE = 7
 #: Shifts that differ by less than half of this are met together in one group.
 NEAR = 16
 #: Number words and units that count as such.
@@ -87,31 +89,32 @@ def _raw() -> Column:
     return F.split(F.trim("marked"), "  ")
 
 
-def cells_of(hash: Column, cells: int) -> list[Column]:
-    """The two cells of a run's hash; `cells` is a power of two."""
-    return [F.pmod(h, F.lit(cells)).cast("int") for h in (hash, F.shiftright(hash, 24))]
+def cells_of(hash: Column, size: int) -> list[Column]:
+    """The two cells of a run's hash, as byte and bit, in a table of `size` bytes (a power of two)."""
+    at = lambda byte, bit: F.struct(F.pmod(byte, F.lit(size)).cast("int").alias("byte"), F.pmod(bit, F.lit(PER_BYTE)).cast("int").alias("bit"))
+    return [at(hash, F.shiftright(hash, 44)), at(F.shiftright(hash, 24), F.shiftright(hash, 54))]
 
 
-def marked_cells(hashes: DataFrame, cells: int) -> bytes:
+def marked_cells(hashes: DataFrame, size: int) -> bytes:
     """The table: 1 at both cells of each hash."""
-    marks = bytearray(cells)
-    for (cell,) in hashes.select(F.explode(F.array(*cells_of(F.col("hash"), cells)))).distinct().collect():  # `cells` numbers at most
-        marks[cell] = 1
+    marks = bytearray(size)
+    for byte, bit in hashes.select(F.explode(F.array(*cells_of(F.col("hash"), size))).alias("cell")).select("cell.*").distinct().collect():  # PER_BYTE * `size` rows at most
+        marks[byte] |= 1 << bit
     return bytes(marks)
 
 
-def may_be_met(hash: Column, cells: int, marks: bytes) -> Column:
+def may_be_met(hash: Column, size: int, marks: bytes) -> Column:
     """Whether the table has both cells of a hash."""
-    first, second = (F.substring(F.lit(marks), cell + 1, 1) == F.lit(b"\x01") for cell in cells_of(hash, cells))
+    first, second = (F.getbit(F.ascii(F.substring(F.lit(marks), cell["byte"] + 1, 1).cast("string")), cell["bit"]) == 1 for cell in cells_of(hash, size))
     return first & second
 
 
-def _spots(rows: DataFrame, width: int, cells: int, marks: bytes) -> DataFrame:
+def _spots(rows: DataFrame, width: int, size: int, marks: bytes) -> DataFrame:
     """The runs of `width` template words that may be met, with their words; words are cut for those only."""
     last = F.size("canon") - width + 1
     at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
     runs = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("canon", i, width)).alias("hash")))
-    met = rows.withColumn("met", F.filter(runs, lambda r: may_be_met(r["hash"], cells, marks)))  # no where(): the planner would compute all of it twice
+    met = rows.withColumn("met", F.filter(runs, lambda r: may_be_met(r["hash"], size, marks)))  # no where(): the planner would compute all of it twice
     met = met.select("doc_id", "version", "met", "canon", F.when(F.size("met") > 0, _raw()).alias("raw"))
     cut = F.transform("met", lambda r: F.struct(r["pos"].alias("pos"), r["hash"].alias("hash"), F.slice("raw", r["pos"], width).alias("doc_raw"), F.slice("canon", r["pos"], width).alias("doc_canon")))
     return met.select("doc_id", "version", F.explode(cut).alias("_run")).select("doc_id", "version", "_run.*")
@@ -146,12 +149,12 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     """
     items = written(benchmark_runs(benchmark, width, least), "benchmark-runs")
     size = items.agg(F.count(F.lit(1)).alias("n"), F.collect_set("width").alias("widths")).first()  # `width` widths at most
-    cells = min(max_cells, 1 << (32 * size.n + 1024).bit_length())
+    table = max(1, min(max_cells, 1 << (32 * size.n + 1024).bit_length()) // 8)  # bytes: a power of two
     rows = _marked(docs.select("doc_id", F.xxhash64("text").alias("version"), "text"), "doc_id", "version")
     found = None
     for w in sorted(size.widths) or [width]:
         own = items.where(F.col("width") == w)
-        spots = _spots(rows, w, cells, marked_cells(own, cells))
+        spots = _spots(rows, w, table, marked_cells(own, table))
         hits = spots.join(own, (spots["hash"] == own["hash"]) & (spots["doc_canon"] == own["item_canon"]))
         hits = hits.select("doc_id", "version", "item_id", "item", "at", "runs", (F.col("pos") - F.col("at")).alias("shift"), "item_raw", "item_canon", "doc_raw")
         found = hits if found is None else found.unionByName(hits)

@@ -80,3 +80,18 @@ def test_few_runs_are_met_falsely(spark):
     assert hashes.where(D.may_be_met(F.col("hash"), cells, marks)).count() == 4000
     others = spark.range(10000, 210000).select(F.xxhash64("id").alias("hash"))
     assert others.where(D.may_be_met(F.col("hash"), cells, marks)).count() < 2000  # with one cell a run: some 6,000
+
+
+def test_plans_stay_small_and_no_run_is_missed(spark):
+    """The table of a benchmark's runs stands in every plan that the driver writes out: 200 items as long as those of sf0.1."""
+    word = lambda i, j: "w" + f"{i * 60 + j:05d}".translate(str.maketrans("0123456789", "abcdefghij"))  # noqa: E731  figures would fill slots
+    rows = [(i, " ".join(word(i, j) for j in range(60)), "x", 1) for i in range(200)]
+    docs, items = spark.createDataFrame(rows, DOCS), spark.createDataFrame([r[:3] for r in rows], ITEMS)
+    pairs = D.contaminated_pairs(docs, items)
+    assert len(pairs._jdf.queryExecution().executedPlan().toString()) < 500_000
+    assert {(r.doc_id, r.item_id) for r in pairs.select("doc_id", "item_id").collect()} == {(i, i) for i in range(200)}
+    hashes = spark.range(-3000, 3000).select(F.xxhash64("id").alias("hash"))
+    marks = D.marked_cells(hashes.where("hash % 2 = 0"), 4096)
+    met = {r.hash for r in hashes.where(D.may_be_met(F.col("hash"), 4096, marks)).collect()}
+    kept = {r.hash for r in hashes.collect() if r.hash % 2 == 0}
+    assert max(marks) < 128 and kept <= met and len(met - kept) < 300
