@@ -112,3 +112,18 @@ def test_compatible_parts_in_spark(spark):
     df = spark.createDataFrame([("g", 1, A.tolist()), ("g", 2, B.tolist()), ("g", 3, near(A, 0.9, 2).tolist()), ("h", 1, A.tolist()), ("h", 2, None)], "g string, key long, vector array<double>")
     got = {(r.g, r.key): r.part for r in I.compatible_parts(df, "g", 0.5).collect()}
     assert got == {("g", 1): 0, ("g", 2): 1, ("g", 3): 0, ("h", 1): 0}
+
+
+def test_compatible_parts_of_a_large_group(spark):
+    """More rows than one task took before."""
+    v = np.random.default_rng(1).normal(size=(12_500, 2))
+    df = spark.createDataFrame([("g", i, x) for i, x in enumerate(v.tolist())], "g string, key long, vector array<double>")
+    parts = {r.key: r.part for r in I.compatible_parts(df, "g", 0.0).collect()}
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    lows, wanted = [], []
+    for x in v:
+        wanted.append(next((k for k, members in enumerate(lows) if (np.array(members) @ x >= 0).all()), len(lows)))
+        if wanted[-1] == len(lows):
+            lows.append([])
+        lows[wanted[-1]].append(x)
+    assert [parts[i] for i in range(len(v))] == wanted
