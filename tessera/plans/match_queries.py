@@ -36,8 +36,9 @@ SELECT event_id, speaker, round(shared, 3) AS shared FROM (SELECT *, row_number(
 def overlap_speaker(t: Tables) -> DataFrame:
     """For each segment the turn that overlaps it most."""
     rows = turns(t).withColumn("room", F.pmod("event_id", F.lit(4)))
-    pairs = M.overlaps(rows.where("event_type = 'click'").select("room", "event_id", "start", "stop"), rows.where("event_type <> 'click'").select("room", "event_id", "start", "stop"), "room")
-    best = pairs.groupBy("event_id").agg(F.min(F.struct((-F.round("shared", 5)).alias("s"), F.col("b_start").alias("at"), F.col("b_event_id").alias("speaker"))).alias("b"))
+    side = lambda kind: rows.where(kind).select("room", F.col("event_id").alias("id"), "start", "stop")
+    best = M.best_overlaps(side("event_type = 'click'"), side("event_type <> 'click'"), "room").withColumnRenamed("id", "event_id")
+    best = best.groupBy("event_id").agg(F.min(F.struct((-F.round("shared", 5)).alias("s"), F.col("b_start").alias("at"), F.col("b_id").alias("speaker"))).alias("b"))
     return best.select("event_id", "b.speaker", F.round(-F.col("b.s"), 3).alias("shared"))
 
 
@@ -49,8 +50,8 @@ SELECT user_id, face, round(part, 4) AS part FROM r WHERE r = 1 AND part >= 0.4"
 def vote_dominance(t: Tables) -> DataFrame:
     """Turns that one face alone overlaps vote for it; the dominant face is taken."""
     rows = turns(t).withColumn("room", F.pmod("event_id", F.lit(4)))
-    side = lambda kind: rows.where(F.col("event_type") == kind).select("room", "event_id", "user_id", "start", "stop")
-    pairs = M.overlaps(side("click"), side("view"), "room").where("shared >= 0.3").select("event_id", "user_id", F.col("b_user_id").alias("face"), F.round("shared", 5).alias("shared"))
+    side = lambda kind: rows.where(F.col("event_type") == kind).select("room", F.col("event_id").alias("id"), F.col("user_id").alias("who"), "start", "stop")
+    pairs = M.few_overlaps(side("click"), side("view"), "room", 0.3).select(F.col("id").alias("event_id"), F.col("who").alias("user_id"), F.col("b_who").alias("face"), F.round("shared", 5).alias("shared"))
     one = pairs.groupBy("event_id").agg(F.min("face").alias("_a"), F.max("face").alias("_b")).where("_a = _b").select("event_id")
     best = M.dominant(pairs.join(one, "event_id"), "user_id", "face", "shared", 0.4)
     return best.select("user_id", "face", F.round("part", 4).alias("part"))
