@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tessera.operators import clusters
 from tessera.operators import identities as I
 
 
@@ -127,3 +128,44 @@ def test_compatible_parts_of_a_large_group(spark):
             lows.append([])
         lows[wanted[-1]].append(x)
     assert [parts[i] for i in range(len(v))] == wanted
+
+
+def some_banks(r, n):
+    out = []
+    for _ in range(n):
+        v = r.normal(size=(int(r.integers(1, 6)), 3))
+        out.append(v / np.linalg.norm(v, axis=1, keepdims=True))
+    return out
+
+
+def test_scores_in_strips_equal_single_ones():
+    a, b = some_banks(np.random.default_rng(1), 40), some_banks(np.random.default_rng(2), 30)
+    got = np.vstack([scores for _, scores in clusters.score_strips(a, b)])
+    assert got == pytest.approx(np.array([[clusters.pair_score(x, y) for y in b] for x in a]))
+
+
+def test_no_pair_of_tracks_is_scored_alone(monkeypatch):
+    """Before, each two tracks were one call: minutes for some thousand tracks of a file."""
+    calls = []
+
+    def counted(a, b, most=3, whole=clusters.pair_score):
+        calls.append(1)
+        return whole(a, b, most)
+
+    monkeypatch.setattr(clusters, "pair_score", counted)
+    monkeypatch.setattr(I, "pair_score", counted)
+    banks = some_banks(np.random.default_rng(3), 120)
+    core, cannot = np.arange(120) % 3 > 0, none(120)
+    at, label = np.flatnonzero(core), np.full(120, -1)
+    label[at] = clusters.stitched([banks[i] for i in at], set(), 0.65)
+    views = {i: (np.ones(len(b)), b) for i, b in enumerate(banks)}
+    out = I.joined(banks, I.attached(banks, label, cannot), core, views, cannot, 3)
+    out[out >= 0] = np.unique(out[out >= 0], return_inverse=True)[1]
+    dealt = I.hinted(banks, out, cannot, 3)
+    assert (dealt >= 0).all() and len(calls) < 1000
+
+
+def test_a_file_of_more_samples_than_before_is_stitched(spark):
+    df = spark.range(20_400).selectExpr("'f' AS file", "floor(id / 100) AS track", "id * 1D AS ts", "array(cast(floor(id / 100) % 3 = 0 AS double), cast(floor(id / 100) % 3 = 1 AS double), cast(floor(id / 100) % 3 = 2 AS double)) AS vector")
+    got = {r.track: r.identity for r in clusters.track_identities(df, "file", 0.3).collect()}
+    assert got == {t: t % 3 for t in range(204)}
